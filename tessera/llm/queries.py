@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .mixing import op6_mixing
 from .packing import op1_packing
+from .records import op4_records
+from .warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing}
+    return {"op1_packing": op1_packing, "op4_records": op4_records, "op6_mixing": op6_mixing, "op8_warc": op8_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc": OP8_SQL}
