@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ctph import op3_ctph
 from .mixing import op6_mixing
 from .packing import op1_packing
 from .records import op4_records
@@ -9,7 +10,7 @@ from .warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op4_records": op4_records, "op6_mixing": op6_mixing, "op8_warc": op8_warc}
+    return {"op1_packing": op1_packing, "op3_ctph": op3_ctph, "op4_records": op4_records, "op6_mixing": op6_mixing, "op8_warc": op8_warc}
 
 
 def oracle_sql() -> dict[str, str]:
