@@ -6,6 +6,7 @@ from .ctph import op3_ctph
 from .langid import op10_langid
 from .mixing import op6_mixing
 from .neighbours import OP5_SQL, op5_neighbours
+from .ngrams import op7_ngram_jaccard
 from .packing import op1_packing
 from .quality import op9_quality
 from .records import op4_records
@@ -14,7 +15,7 @@ from .warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_suffixes": op2_suffixes, "op3_ctph": op3_ctph, "op4_records": op4_records, "op5_neighbours": op5_neighbours, "op6_mixing": op6_mixing, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_langid": op10_langid}
+    return {"op1_packing": op1_packing, "op2_suffixes": op2_suffixes, "op3_ctph": op3_ctph, "op4_records": op4_records, "op5_neighbours": op5_neighbours, "op6_mixing": op6_mixing, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_warc": op8_warc, "op9_quality": op9_quality, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
