@@ -37,6 +37,41 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Filed:
+    """A table in the shared folder whose row numbers ``rid`` hold their file's number (rid >> 33).
+
+    Small rows about its rows are written to a folder for each file, so a task reads a file and what belongs to it, and the large
+    columns are never shuffled.
+    """
+
+    def __init__(self, df: DataFrame, name: str, codec: str = "snappy"):
+        self.spark, self.rows = df.sparkSession, stored(df, name, codec)
+        found = self.rows.select(F.expr("shiftright(rid, 33)").alias("pid"), F.input_file_name().alias("path")).distinct().collect()
+        self.files = {r.pid: r.path for r in found}
+
+    def tasks(self, beside: DataFrame, name: str) -> DataFrame | None:
+        """A row for each file: pid, texts (the file), beside (the folder of the rows beside it); None for an empty table."""
+        path = shared_dir(self.spark, name)
+        beside.withColumn("pid", F.expr("shiftright(rid, 33)")).repartition("pid").sortWithinPartitions("pid", "rid").write.partitionBy("pid").parquet(path)
+        rows = [(p, f, f"{path}/pid={p}") for p, f in self.files.items()]
+        return self.spark.createDataFrame(rows, "pid long, texts string, beside string").repartition(len(rows), "pid") if rows else None
+
+
+def read_folder(folder: str, columns: list[str]):
+    """The Parquet files of a folder of the shared store as a table; None if there is none."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyarrow import fs as pafs
+
+    fs, name = file_system(folder)
+    files = [x.path for x in fs.get_file_info(pafs.FileSelector(name, allow_not_found=True)) if x.path.endswith(".parquet")]
+    tables = []
+    for x in files:
+        with fs.open_input_file(x) as f:
+            tables.append(pq.ParquetFile(f).read(columns=columns))
+    return pa.concat_tables(tables) if tables else None
+
+
 def file_system(uri: str):
     """(Arrow file system, path in it) of a file on whatever store the shared folder is on."""
     from pyarrow import fs
@@ -94,6 +129,42 @@ def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix64((s[end] - s[start]) * powers(BASE, len(s))[end])
 
 
+class Pieces(dict):
+    """ids of a text's pieces, each without the space in front; a piece not seen lately is encoded by the library.
+
+    Pre-tokenization makes one token of letters with a space in front, and cuts before the punctuation that follows them; for such
+    pieces the library's model is asked directly.
+    """
+
+    def __init__(self, tokenizer, most: int):
+        self.tokenizer, self.model, self.most = tokenizer, tokenizer.model, most
+        self.marks = {c: whole(tokenizer, c) for c in ".,;:!?"}
+        # byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on, in order
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.letters = [chr(b) for b in range(256)]
+        for i, b in enumerate(hidden):
+            self.letters[b] = chr(256 + i)
+        self.space = self.letters[32]
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > self.most:
+            self.clear()
+        if piece.isalpha():
+            shown = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(self.space + shown)])
+        elif piece[-1] in self.marks and piece[:-1].isalpha():
+            ids = self[piece[:-1]] + self.marks[piece[-1]]
+        else:
+            ids = whole(self.tokenizer, " " + piece)
+        self[piece] = ids
+        return ids
+
+
+def whole(tokenizer, text: str) -> bytes:
+    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 class Encoder:
     """ids of whole texts by the ``tokenizers`` library, as little-endian uint32 bytes.
 
@@ -104,30 +175,21 @@ class Encoder:
 
     CUT = re.compile(r" (?=\S)")
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.seen = most, {}
+        self.pieces = Pieces(self.tokenizer, most)
 
     def __call__(self, texts: list) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), 200):
-            cut = [self.CUT.split(t or "") for t in texts[at : at + 200]]
-            if len(self.seen) > self.most:
-                self.seen.clear()
-            seen = self.seen
-            firsts = self._encode([x[0] for x in cut])
-            new = [p for p in dict.fromkeys(p for x in cut for p in x[1:]) if p not in seen]
-            seen.update(zip(new, self._encode([" " + p for p in new])))
-            out += [first + b"".join([seen[p] for p in x[1:]]) for first, x in zip(firsts, cut)]
+        out, pieces = [], self.pieces
+        for text in texts:
+            first, *rest = self.CUT.split(text or "")
+            out.append(whole(self.tokenizer, first) + b"".join([pieces[p] for p in rest]))
         return out
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
 
 def encoder(path: str) -> Encoder:
     """One encoder for each vocabulary file and worker process."""
