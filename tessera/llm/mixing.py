@@ -123,7 +123,7 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: fl
     last = f"(start + size - 1) div {block_words}"
     cut = documents.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block_words}, {last})")))
     cut = cut.select("source_no", "block", "doc_id", F.col("start").alias("doc_start"), F.expr(f"greatest(block * {block_words} - start, 0L)").alias("word"), F.expr(f"least(start + size, (block + 1) * {block_words}) - greatest(start, block * {block_words})").alias("words"))
-    pieces = placed.join(cut, ["source_no", "block"]).select("shard", "slot", "epoch", "source_no", "block", "doc_id", "doc_start", "word", "words")
+    pieces = placed.hint("merge").join(cut, ["source_no", "block"]).select("shard", "slot", "epoch", "source_no", "block", "doc_id", "doc_start", "word", "words")
     return documents, pieces
 
 
