@@ -134,7 +134,7 @@ def build(rows: DataFrame, path: str, shard_rows: int, leaf: int = 48) -> None:
 
         def done():
             ids, vectors = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            return pa.record_batch([pa.array([int(key[0])]), pa.array([int(key[1])]), pa.array([Tree(ids, vectors, leaf).save()], pa.binary())], names=["shard", "dim", "tree"])
+            return pa.record_batch([pa.array([int(key[0])]), pa.array([int(key[1])], pa.int32()), pa.array([Tree(ids, vectors, leaf).save()], pa.binary())], names=["shard", "dim", "tree"])
 
         for batch in batches:
             shard, dim, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "dim", "id"))
@@ -201,9 +201,9 @@ def op5_neighbours(spark, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 WITH e AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))) AS score
   FROM e q JOIN e c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 50 = 0
