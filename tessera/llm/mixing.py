@@ -127,6 +127,42 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: fl
     return documents, pieces
 
 
+def mixed_texts(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents: for each document and pass, a row with the words taken, and the document's other columns.
+
+    A document taken whole gives its text as it is; of one taken in part, each stretch of consecutive blocks gives its slice of the
+    text, and stretches are joined by a line feed. Texts without words aren't taken. Rows are dealt out by a hash of their shard.
+    """
+    spark = docs.sparkSession
+    numbered = stored(docs.withColumn("mix_row", F.monotonically_increasing_id()), "mix-input")
+    documents, pieces = mix(numbered.select(F.col("mix_row").alias("doc_id"), "text", "source"), **options)
+    taken = pieces.groupBy("doc_id", "epoch").agg(F.sort_array(F.collect_list(F.struct("word", "words"))).alias("spans"), F.sum("words").alias("n"), F.min(F.xxhash64("shard", "slot")).alias("place"))
+    whole = documents.filter("size > 0").select(F.col("doc_id").alias("mix_row"), "size")
+    rows = taken.withColumnRenamed("doc_id", "mix_row").join(whole, "mix_row").join(numbered, "mix_row")
+    names = docs.columns
+
+    def cut(batches):
+        import re
+
+        word = re.compile(WORD)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                some, texts = batch.slice(lo, 500), []
+                for text, spans, n, size in zip(*(some.column(c).to_pylist() for c in ("text", "spans", "n", "size"))):
+                    if n < size:
+                        at, parts, lines = [m.span() for m in word.finditer(text)], [], []
+                        for s in spans:
+                            if parts and parts[-1][1] == s["word"]:
+                                parts[-1][1] += s["words"]
+                            else:
+                                parts.append([s["word"], s["word"] + s["words"]])
+                        text = "\n".join(text[at[a][0] : at[b - 1][1]] for a, b in parts)
+                    texts.append(text)
+                yield pa.record_batch([pa.array(texts, pa.string()) if c == "text" else some.column(c) for c in names], names=names)
+
+    return rows.select(*names, "spans", "n", "size").mapInArrow(cut, docs.schema)
+
+
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken."""
     documents, pieces = mix(table(spark, sf_dir, "documents"))
