@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import aggregate_queries  # noqa: F401  importing registers
+from .registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
