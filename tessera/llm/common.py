@@ -130,14 +130,14 @@ def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 class Pieces(dict):
-    """ids of a text's pieces, each without the space in front; a piece not seen lately is encoded by the library.
+    """ids of pieces of text, each with ``front`` (a space, or nothing) before it; a piece not seen lately is encoded by the library.
 
     Pre-tokenization makes one token of letters with a space in front, and cuts before the punctuation that follows them; for such
     pieces the library's model is asked directly.
     """
 
-    def __init__(self, tokenizer, most: int):
-        self.tokenizer, self.model, self.most = tokenizer, tokenizer.model, most
+    def __init__(self, tokenizer, front: str, most: int):
+        self.tokenizer, self.model, self.front, self.most = tokenizer, tokenizer.model, front, most
         self.marks = {c: whole(tokenizer, c) for c in ".,;:!?"}
         # byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on, in order
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -145,18 +145,18 @@ class Pieces(dict):
         self.letters = [chr(b) for b in range(256)]
         for i, b in enumerate(hidden):
             self.letters[b] = chr(256 + i)
-        self.space = self.letters[32]
+        self.shown_front = "".join([self.letters[b] for b in front.encode()])
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) > self.most:
             self.clear()
         if piece.isalpha():
             shown = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(self.space + shown)])
-        elif piece[-1] in self.marks and piece[:-1].isalpha():
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(self.shown_front + shown)])
+        elif piece[-1:] in self.marks and piece[:-1].isalpha():
             ids = self[piece[:-1]] + self.marks[piece[-1]]
         else:
-            ids = whole(self.tokenizer, " " + piece)
+            ids = whole(self.tokenizer, self.front + piece)
         self[piece] = ids
         return ids
 
@@ -168,12 +168,13 @@ def whole(tokenizer, text: str) -> bytes:
 class Encoder:
     """ids of whole texts by the ``tokenizers`` library, as little-endian uint32 bytes.
 
-    Byte-level pre-tokenization always cuts before a space that precedes a non-space, so a text falls into pieces there, and the
-    ids of pieces seen lately are looked up; the rest go to the library. The ids are those of the whole text.
-    Strings of special tokens in a text are ordinary text. ``most`` bounds the pieces kept.
+    Byte-level pre-tokenization always cuts before a space that precedes a non-space, and makes a token of its own of a line feed
+    between non-spaces. A text falls into pieces there, and the ids of pieces seen lately are looked up; the rest go to the
+    library. The ids are those of the whole text. Strings of special tokens in a text are ordinary text. ``most`` bounds the pieces
+    kept.
     """
 
-    CUT = re.compile(r" (?=\S)")
+    CUT, LINE = re.compile(r" (?=\S)"), re.compile(r"(?<=\S)\n(?=\S)")
 
     def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -181,13 +182,17 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces = Pieces(self.tokenizer, most)
+        self.pieces, self.starts = Pieces(self.tokenizer, " ", most), Pieces(self.tokenizer, "", most // 5)
+        self.feed = whole(self.tokenizer, "\n")
 
     def __call__(self, texts: list) -> list[bytes]:
-        out, pieces = [], self.pieces
+        pieces, starts, out = self.pieces, self.starts, []
         for text in texts:
-            first, *rest = self.CUT.split(text or "")
-            out.append(whole(self.tokenizer, first) + b"".join([pieces[p] for p in rest]))
+            lines = []
+            for line in self.LINE.split(text) if text else ():
+                first, *rest = self.CUT.split(line)
+                lines.append(starts[first] + b"".join([pieces[p] for p in rest]))
+            out.append(self.feed.join(lines))
         return out
 
 

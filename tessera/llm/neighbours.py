@@ -27,7 +27,7 @@ def valid(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
 class Tree:
     """Unit vectors in leaf order; node k splits rows lo..hi at mid by distance from its vantage point (the row at lo)."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = 48):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = 256):
         self.norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
         unit, order, nodes = vectors / self.norms[:, None], np.argsort(ids, kind="stable"), []
         todo = [(0, len(ids))]
@@ -106,23 +106,29 @@ class Search:
                     stack += [(second, q[own], y[own]), (first, q[own], x[own])]
 
     def offer(self, q: np.ndarray, tree: Tree, lo: int, hi: int) -> None:
-        for some in np.array_split(q, max(1, len(q) * (hi - lo) * self.vectors.shape[1] >> 21)):
-            ids = tree.ids[lo:hi]
-            # the same order of additions for any pair, so that equal vectors have equal scores
-            dots = (self.vectors[some][:, None, :] * tree.vectors[None, lo:hi, :]).sum(2)
-            score = dots / (self.norms[some][:, None] * tree.norms[None, lo:hi])
-            score[self.ids[some][:, None] == ids[None, :]] = -np.inf
-            self.compared += score.size
-            scores = np.concatenate([self.best_score[some], score], 1)
-            names = np.concatenate([self.best_id[some], np.broadcast_to(ids, score.shape)], 1)
-            names = np.where(np.isneginf(scores), np.iinfo(np.int64).max, names)
-            by = np.lexsort((names, -scores), axis=1)[:, : self.k]
-            self.best_score[some], self.best_id[some] = np.take_along_axis(scores, by, 1), np.take_along_axis(names, by, 1)
-            self.radius[some] = chord(np.maximum(self.best_score[some, -1], -1)) if self.k else 0
-            self.radius[some[np.isneginf(self.best_score[some, -1])]] = np.inf
-
-
-def build(rows: DataFrame, path: str, shard_rows: int, leaf: int = 48) -> None:
+        """Compare queries with rows lo..hi of a tree: a matrix product finds who could be among the nearest, those get exact scores."""
+        close = self.unit[q] @ tree.unit[lo:hi].T >= self.best_score[q, -1][:, None] - 1e-9
+        close &= self.ids[q][:, None] != tree.ids[None, lo:hi]
+        self.compared += close.size
+        i, j = np.nonzero(close)
+        if not len(i):
+            return
+        who, row = q[i], lo + j
+        # the same order of additions for any pair, so that equal vectors have equal scores
+        score = (self.vectors[who] * tree.vectors[row]).sum(1) / (self.norms[who] * tree.norms[row])
+        have = np.unique(who)
+        who = np.concatenate([np.repeat(have, self.k), who])
+        score = np.concatenate([self.best_score[have].ravel(), score])
+        name = np.concatenate([self.best_id[have].ravel(), tree.ids[row]])
+        by = np.lexsort((name, -score, who))
+        start = np.searchsorted(who[by], have)
+        top = by[start[:, None] + np.arange(self.k)]
+        self.best_score[have], self.best_id[have] = score[top], name[top]
+        last = self.best_score[have, -1]
+        self.radius[have] = np.where(np.isneginf(last), np.inf, chord(np.maximum(last, -1)))
+
+
+def build(rows: DataFrame, path: str, shard_rows: int, leaf: int = 256) -> None:
     """Deal all vectors to shards of about ``shard_rows`` by a hash of the id (and by dimension), and write each shard's tree."""
     n = rows.count()
     shards = max(1, math.ceil(n / shard_rows))
@@ -153,7 +159,7 @@ def build(rows: DataFrame, path: str, shard_rows: int, leaf: int = 48) -> None:
     dealt.mapInArrow(write, "shard long, dim int, tree binary").write.option("compression", "uncompressed").parquet(path)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_column: str = "vec_id", column: str = "embedding", k: int = 5, factor: float = 1.1, shard_rows: int = 4096, block: int = 512) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, id_column: str = "vec_id", column: str = "embedding", k: int = 5, factor: float = 1.0, shard_rows: int = 4096, block: int = 512) -> DataFrame:
     """The ``k`` nearest rows of ``vectors`` by cosine for each row of ``queries`` but itself (by id): query_id, rank, vec_id, score.
 
     Every row is in a tree of its shard. Blocks of ``block`` queries go through all shards' trees, each query keeping its k best, so

@@ -1,7 +1,8 @@
 """Token ids in length-delimited binary records, with an offset index for shuffled reads.
 
 A record is: length (uint64), masked CRC-32C of those 8 bytes (uint32), payload, masked CRC-32C of the payload (uint32), all little-endian.
-A payload is: doc_id (int64), flags (uint32, 1: doc_id is null), then the ids (uint32 each).
+A payload is: doc_id (int64), flags (uint32; 1: doc_id is null; 2: ids take two bytes each; 4: an odd number of those, two zero bytes
+follow), then the ids (uint16 where all of a document's ids are below 65536, else uint32).
 A shard's index holds 24 bytes a record: offset (uint64), payload length (uint64), doc_id (int64).
 """
 
@@ -22,26 +23,25 @@ MANIFEST = "shard int, path string, n_records long, n_ids long, n_bytes long"
 HEAD = 12
 
 
-def _shift_tables(n_levels: int = 32) -> np.ndarray:
-    """tables[k][j][byte]: what byte j of a CRC state becomes after 4 * 2**k zero bytes."""
+def _shift_tables(n_levels: int = 24) -> np.ndarray:
+    """tables[k][j][x]: what half j (16 bits) of a CRC state becomes after 4 * 2**k zero bytes."""
     table = np.arange(256, dtype=np.uint32)
     for _ in range(8):
         table = np.where(table & 1, (table >> 1) ^ np.uint32(CASTAGNOLI), table >> 1)
-    step = lambda x: table[x & 0xFF] ^ (x >> np.uint32(8))  # noqa: E731  one zero byte
-    out = np.zeros((n_levels, 4, 256), np.uint32)
-    for j in range(4):
-        x = np.arange(256, dtype=np.uint32) << np.uint32(8 * j)
+    out = np.zeros((n_levels, 2, 65536), np.uint32)
+    for j in range(2):
+        x = np.arange(65536, dtype=np.uint32) << np.uint32(16 * j)
         for _ in range(4):
-            x = step(x)
+            x = table[x & 0xFF] ^ (x >> np.uint32(8))  # one zero byte
         out[0, j] = x
     for k in range(1, n_levels):
-        for j in range(4):
+        for j in range(2):
             out[k, j] = _shift(out[k - 1], out[k - 1, j])
     return out
 
 
 def _shift(t: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return t[0][x & 0xFF] ^ t[1][(x >> np.uint32(8)) & 0xFF] ^ t[2][(x >> np.uint32(16)) & 0xFF] ^ t[3][x >> np.uint32(24)]
+    return t[0].take(x & np.uint32(0xFFFF)) ^ t[1].take(x >> np.uint32(16))
 
 
 def masked_crc32c(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -74,7 +74,13 @@ def masked_crc32c(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def framed(doc_ids: list, ids: list[bytes]) -> tuple[bytes, np.ndarray]:
     """The records of a batch as bytes, and their payloads' lengths."""
-    payload = [(d or 0).to_bytes(8, "little", signed=True) + (d is None).to_bytes(4, "little") + x for d, x in zip(doc_ids, ids)]
+    payload = []
+    for d, x in zip(doc_ids, ids):
+        wide = np.frombuffer(x, "<u4")
+        short = not len(wide) or bool(wide.max() < 65536)
+        flags = int(d is None) | int(short) << 1 | (len(wide) & 1 if short else 0) << 2
+        body = wide.astype("<u2").tobytes() + b"\0\0" * (len(wide) & 1) if short else x
+        payload.append((d or 0).to_bytes(8, "little", signed=True) + flags.to_bytes(4, "little") + body)
     lengths = np.array([len(x) for x in payload], np.int64)
     heads = lengths.astype("<u8")
     head_crc = masked_crc32c(heads.view("<u4"), np.full(len(payload), 2))
@@ -109,11 +115,12 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, s
                 doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
                 for k in range(0, len(doc_ids), 200):
                     some = doc_ids[k : k + 200]
-                    data, lengths = framed(some, [x + end for x in encode(texts[k : k + 200].to_pylist())])
+                    encoded = [x + end for x in encode(texts[k : k + 200].to_pylist())]
+                    data, lengths = framed(some, encoded)
                     out.write(data)
                     offsets = at + np.concatenate([[0], np.cumsum(lengths + 16)[:-1]])
                     index.write(np.stack([offsets, lengths, [d or 0 for d in some]], 1).astype("<i8").tobytes())
-                    n, ids_in, at = n + len(some), ids_in + int((lengths - HEAD).sum()) // 4, at + len(data)
+                    n, ids_in, at = n + len(some), ids_in + sum(map(len, encoded)) // 4, at + len(data)
         if not n:
             for kind in ("rec", "idx"):
                 fs.delete_file(f"{own}.{kind}")
@@ -139,7 +146,14 @@ def parsed(data: bytes, want: np.ndarray) -> list[tuple]:
     good &= masked_crc32c(np.frombuffer(b"".join(payload), "<u4"), want // 4) == crc
     if not good.all():
         raise ValueError(f"{int((~good).sum())} damaged records")
-    return [(None if x[8] else int.from_bytes(x[:8], "little", signed=True), x[HEAD:]) for x in payload]
+    return [(None if x[8] & 1 else int.from_bytes(x[:8], "little", signed=True), _wide(x)) for x in payload]
+
+
+def _wide(payload: bytes) -> bytes:
+    """The ids of a payload as uint32."""
+    if not payload[8] & 2:
+        return payload[HEAD:]
+    return np.frombuffer(payload, "<u2", (len(payload) - HEAD) // 2 - (payload[8] >> 2 & 1), HEAD).astype("<u4").tobytes()
 
 
 def read_records(spark: SparkSession, path: str, batch_bytes: int = 8 << 20) -> DataFrame:
