@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from ..operators import sequences as S
 from .registry import query
 
-W = Window.partitionBy("conv_id").orderBy("turn")
 CONV_W = "WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"
 
 
+def turns():
+    """The window over a conversation, in order of turns (made on use: it needs a session)."""
+    return Window.partitionBy("conv_id").orderBy("turn")
+
+
 @query("f01_speaker_runs")
 def f01(t):
     return S.speaker_runs(t.conversations, ["conv_id"], "turn", "role", "text", 2000)
@@ -19,7 +23,7 @@ def f01(t):
 
 @query("f02_merge_narrators", f"WITH x AS (SELECT *, CASE WHEN role = lag(role) OVER w THEN 0 ELSE 1 END AS new FROM conversations {CONV_W}), r AS (SELECT *, sum(new) OVER w AS run FROM x {CONV_W}) SELECT conv_id, any_value(role) AS role, min(turn) AS turn, count(*) AS n_lines, sum(length(text))::BIGINT AS chars FROM r GROUP BY conv_id, run")
 def f02(t):
-    rows = S.run_id(t.conversations, ["conv_id"], "turn", F.col("role") != F.lag("role").over(W))
+    rows = S.run_id(t.conversations, ["conv_id"], "turn", F.col("role") != F.lag("role").over(turns()))
     return rows.groupBy("conv_id", "run").agg(F.first("role").alias("role"), F.min("turn").alias("turn"), F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("chars")).drop("run")
 
 
@@ -32,7 +36,7 @@ def f03(t):
 
 @query("f05_neighbour_context", f"SELECT conv_id, turn, concat_ws('|', lag(role, 2) OVER w, lag(role) OVER w) AS before, concat_ws('|', lead(role) OVER w, lead(role, 2) OVER w) AS after FROM conversations {CONV_W}")
 def f05(t):
-    return t.conversations.select("conv_id", "turn", F.array_join(F.collect_list("role").over(W.rowsBetween(-2, -1)), "|").alias("before"), F.array_join(F.collect_list("role").over(W.rowsBetween(1, 2)), "|").alias("after"))
+    return t.conversations.select("conv_id", "turn", F.array_join(F.collect_list("role").over(turns().rowsBetween(-2, -1)), "|").alias("before"), F.array_join(F.collect_list("role").over(turns().rowsBetween(1, 2)), "|").alias("after"))
 
 
 @query("f07_nearby_lines", "SELECT DISTINCT b.conv_id, b.turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND abs(a.turn - b.turn) <= 2 WHERE a.role = 'system' AND b.role <> 'system'")
@@ -43,18 +47,18 @@ def f07(t):
 
 @query("f08_recent_speakers", f"SELECT conv_id, turn, concat_ws(',', lag(role) OVER w, CASE WHEN lag(role, 2) OVER w <> lag(role) OVER w THEN lag(role, 2) OVER w END) AS recent FROM conversations {CONV_W}")
 def f08(t):
-    last = F.reverse(F.collect_list("role").over(W.rowsBetween(-2, -1)))
+    last = F.reverse(F.collect_list("role").over(turns().rowsBetween(-2, -1)))
     return t.conversations.select("conv_id", "turn", F.array_join(F.array_distinct(last), ",").alias("recent"))
 
 
 @query("f09_continuation_rate", f"WITH x AS (SELECT role = lag(role) OVER w AS same FROM conversations {CONV_W}) SELECT round(avg(same::INT), 6) AS rate FROM x")
 def f09(t):
-    return t.conversations.withColumn("same", (F.col("role") == F.lag("role").over(W)).cast("int")).agg(F.round(F.avg("same"), 6).alias("rate"))
+    return t.conversations.withColumn("same", (F.col("role") == F.lag("role").over(turns())).cast("int")).agg(F.round(F.avg("same"), 6).alias("rate"))
 
 
 @query("f10_turn_neighbours", f"SELECT conv_id, turn, lag(role) OVER w AS previous, lead(role) OVER w AS following FROM conversations {CONV_W}")
 def f10(t):
-    return t.conversations.select("conv_id", "turn", F.lag("role").over(W).alias("previous"), F.lead("role").over(W).alias("following"))
+    return t.conversations.select("conv_id", "turn", F.lag("role").over(turns()).alias("previous"), F.lead("role").over(turns()).alias("following"))
 
 
 @query("f11_alternation_repair")
@@ -64,7 +68,7 @@ def f11(t):
 
 @query("f12_timeline", f"WITH x AS (SELECT conv_id, turn, length(text) AS n, CASE WHEN lag(role) OVER w IS NULL THEN 0 WHEN lag(role) OVER w = role THEN 250 ELSE 500 END AS gap FROM conversations {CONV_W}) SELECT conv_id, turn, (sum(gap + n) OVER w - n)::BIGINT AS start FROM x {CONV_W}")
 def f12(t):
-    gap = F.when(F.lag("role").over(W) == F.col("role"), 250).otherwise(500)
+    gap = F.when(F.lag("role").over(turns()) == F.col("role"), 250).otherwise(500)
     return S.timeline(t.conversations, ["conv_id"], "turn", F.length("text"), gap).select("conv_id", "turn", "start")
 
 
@@ -124,7 +128,7 @@ def f22(t):
 @query("f23_fold_pauses", f"WITH x AS (SELECT *, length(text) > 200 AS spoken FROM conversations), i AS (SELECT *, sum(spoken::INT) OVER w AS island FROM x {CONV_W}) SELECT conv_id, island::BIGINT AS island, min(turn) AS turn, max(CASE WHEN spoken THEN 0 ELSE length(text) END)::BIGINT AS pause FROM i GROUP BY conv_id, island")
 def f23(t):
     x = t.conversations.withColumn("spoken", F.length("text") > 200)
-    i = x.withColumn("island", F.sum(F.col("spoken").cast("int")).over(W))
+    i = x.withColumn("island", F.sum(F.col("spoken").cast("int")).over(turns()))
     return i.groupBy("conv_id", "island").agg(F.min("turn").alias("turn"), F.max(F.when(F.col("spoken"), 0).otherwise(F.length("text"))).cast("long").alias("pause"))
 
 
@@ -142,7 +146,7 @@ def f26(t):
 
 @query("f29_neighbour_voters", f"SELECT conv_id, turn, CASE WHEN lag(role) OVER w = lead(role) OVER w AND role <> lag(role) OVER w THEN 1 ELSE 0 END AS island, CASE WHEN regexp_matches(text, '[.!?]$') THEN 0 ELSE 1 END AS unterminated FROM conversations {CONV_W}")
 def f29(t):
-    p, n = F.lag("role").over(W), F.lead("role").over(W)
+    p, n = F.lag("role").over(turns()), F.lead("role").over(turns())
     return t.conversations.select("conv_id", "turn", F.when((p == n) & (F.col("role") != p), 1).otherwise(0).alias("island"), F.when(F.col("text").rlike(r"[.!?]\z"), 0).otherwise(1).alias("unterminated"))
 
 
@@ -153,7 +157,7 @@ def f30(t):
 
 @query("n07_maximal_runs", f"WITH i AS (SELECT *, sum((role = 'system')::INT) OVER w AS island FROM conversations {CONV_W}) SELECT conv_id, island::BIGINT AS island, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS n FROM i WHERE role <> 'system' GROUP BY conv_id, island")
 def n07(t):
-    i = t.conversations.withColumn("island", F.sum((F.col("role") == "system").cast("int")).over(W)).filter("role <> 'system'")
+    i = t.conversations.withColumn("island", F.sum((F.col("role") == "system").cast("int")).over(turns())).filter("role <> 'system'")
     return i.groupBy("conv_id", "island").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("n"))
 
 
