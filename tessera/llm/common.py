@@ -72,6 +72,14 @@ def read_folder(folder: str, columns: list[str]):
     return pa.concat_tables(tables) if tables else None
 
 
+def gathered(batches):
+    """A task's batches as a table; None if there are no rows."""
+    import pyarrow as pa
+
+    batches = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(batches) if batches else None
+
+
 def file_system(uri: str):
     """(Arrow file system, path in it) of a file on whatever store the shared folder is on."""
     from pyarrow import fs

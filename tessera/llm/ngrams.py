@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Filed, file_system, kept, mix64, prefix_hash, read_folder, span_hash, stored, table
+from .common import Filed, file_system, gathered, kept, mix64, prefix_hash, read_folder, span_hash, stored, table
 
 COORDINATES = 32
 _SPACE = np.zeros(256, bool)
@@ -149,8 +149,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 def _sorted_cells(batches):
     """Rows (key, node) of a bucket, of keys that come twice, and of those at its ends, which may go on in the next bucket."""
-    rows = pa.Table.from_batches(list(batches))
-    if not rows.num_rows:
+    rows = gathered(batches)
+    if rows is None:
         return
     key, node = rows.column("key").to_numpy(), rows.column("node").to_numpy()
     by = np.lexsort((node, key))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import file_system, prefix_hash, shared_dir, span_hash, stored, table
+from .common import file_system, gathered, prefix_hash, shared_dir, span_hash, stored, table
 
 ANCHORS = "a array<int>, d array<int>, n array<int>, lead array<long>, cls array<long>, full array<long>"
 SUFFIX = "rid long, a int, d int, n int, lead long, cls long, full long"
@@ -91,8 +91,8 @@ def sorted_bucket(batches):
     ``ask`` marks one row of each context of a class that has several contexts, some of them not repeated; and of the classes
     at the bucket's two ends, which may go on in the next bucket.
     """
-    rows = pa.Table.from_batches(list(batches))
-    if not rows.num_rows:
+    rows = gathered(batches)
+    if rows is None:
         return
     c = {x: rows.column(x).to_numpy() for x in rows.column_names}
     by = multikey_quicksort(np.stack([c["lead"], c["cls"], c["full"], c["rid"], c["a"].astype(np.int64)], 1))
@@ -224,8 +224,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, window: int = 150, gram:
                             yield _batch(CONTEXT + ", hot boolean", [c[k][of] for k in ("rid", "a", "cls", "weight", "d")] + [[x for x, _ in out], [y for _, y in out], c["hot"][of]])
 
     def compare(batches):
-        rows = pa.Table.from_batches(list(batches))
-        if not rows.num_rows:
+        rows = gathered(batches)
+        if rows is None:
             return
         lead, contexts = rows.column("lead").to_pylist(), rows.column("context").to_pylist()
         wide = -(-(length - window + 1) // 8) * 8
