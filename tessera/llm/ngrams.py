@@ -3,23 +3,25 @@
 Shingles are hashed to groups, and a document's counts by group are a point. The overlap of two sets is at most the sum, over any
 division of the hash space into groups, of the smaller counts. The index has two levels:
 
-* Fine groups, cut into bands. Linked sets differ in at most D shingles ((1-t)/(1+t) of their sizes' sum), so of D+1 bands one at
-  least agrees in all of its coordinates: points that agree on a band are a *cell*, a box of no extent in those coordinates.
+* Fine groups, cut into bands. Linked sets differ in at most D shingles ((1-t)/(1+t) of their sizes' sum), so of D+1+s bands 1+s at
+  least agree in all of their coordinates: points that agree on a band are a *cell*, a box of no extent in those coordinates. With
+  all cells in one order, by how full they are, sets that agree on 1+s share one among each one's D+1 emptiest cells, so a set leaves
+  its s fullest cells: those are what a passage makes that many documents share.
 * In a cell, an R-tree of coarse counts, packed by sort-tile-recursive: a box's upper corner bounds the overlap with all below it by
-  summed coordinate minima; surviving pairs are verified on the shingles themselves.
+  summed coordinate minima. Pairs that survive are bounded once more by finer counts, and then verified on the shingles themselves.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Filed, file_system, gathered, kept, mix64, prefix_hash, read_folder, span_hash, stored, table
 
-COORDINATES = 32
+COORDINATES = 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -57,11 +59,14 @@ def layouts(threshold: float, top: int = 1 << 40) -> list[tuple[int, int, int]]:
 
 
 def spare(d: int) -> int:
-    return 2 if d >= 7 else 1
+    """Bands beyond D + 1: linked sets agree on as many more, so each may stay out of that many of its cells, the fullest ones."""
+    return max(1, -(-6 * d // 10))
 
 
-def band_keys(h: np.ndarray, threshold: float) -> np.ndarray:
-    """Keys of the cells that a set is in. Sets so small that only equal ones link are in none.
+def band_keys(h: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the cells that a set is in, and for each the number of its class's cells that it can do without. Sets so small that only equal ones link are in none.
+
+    A key's last bit is that of its class, so a set's keys of its two classes can be told apart.
 
     A set is in the cells of its size's class, and of the next class if a larger partner could be there. Bands without shingles agree
     among strangers, so they make no cell: of two linked sets, one with few empty bands (no more than there are spare ones) is
@@ -79,19 +84,36 @@ def band_keys(h: np.ndarray, threshold: float) -> np.ndarray:
         n = np.diff(limit)
         key = mix64(mix64(sums[limit[1:]] - sums[limit[:-1]] + np.uint64(j * int(ODD[2]) % (1 << 64))) + (np.arange(bands, dtype=np.uint64) * np.uint64(1 << 20) + n.astype(np.uint64)) * ODD[0])
         d = int(2 * (classes[j][1] - 1) * (1 - threshold) / (1 + threshold) + 1e-9)
-        out.append(key if (n == 0).sum() > spare(d) else key[n > 0])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        key = key & ~np.uint64(1) | np.uint64(j & 1)
+        own = key if (n == 0).sum() > spare(d) else key[n > 0]
+        out.append((own, np.full(len(own), max(0, (n > 0).sum() - d - 1), np.int32)))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+
+
+def point(h: np.ndarray, groups: int | None = None) -> bytes:
+    """Group counts of a set, a group for about two shingles (a power of two, ``COORDINATES`` at least); the first byte is a count's width."""
+    groups = groups or max(COORDINATES, 1 << max(0, len(h) // 2 - 1).bit_length())
+    c = np.bincount((h & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    width = 1 if c.max() < 256 else 4
+    return bytes([width]) + c.astype(f"<u{width}").tobytes()
+
 
+def coordinates(data) -> np.ndarray:
+    """The counts in a ``point``."""
+    return np.frombuffer(data, f"<u{memoryview(data)[0]}", offset=1).astype(np.int64)
 
-def counts(h: np.ndarray) -> np.ndarray:
-    return np.bincount((h & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES).astype(np.uint32)
+
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """Summed coordinate minima of two points, the finer one folded to the other's groups: no less than the overlap of the sets."""
+    groups = min(len(a), len(b))
+    return int(np.minimum(a.reshape(-1, groups).sum(0), b.reshape(-1, groups).sum(0)).sum())
 
 
 class RTree:
     """Points packed by sort-tile-recursive: leaves of ``leaf`` points, nodes of ``leaf`` children, each with its upper corner and least size."""
 
     def __init__(self, points: np.ndarray, leaf: int = 16):
-        order = self.tiled(points, np.arange(len(points)), leaf, np.argsort(-points.var(0))[:4])
+        order = self.tiled(points, np.arange(len(points)), leaf, np.argsort(-points.var(0))[:4]) if len(points) > leaf else np.arange(len(points))
         self.order, self.levels, at = order, [], np.arange(0, len(order), leaf)
         top, low = np.maximum.reduceat(points[order], at), np.minimum.reduceat(points[order].sum(1), at)
         self.levels.append((top, low))
@@ -110,18 +132,37 @@ class RTree:
             rows = np.concatenate([r[np.argsort(points[r, axis], kind="stable")] for r in np.split(rows, range(tile, len(rows), tile))])
         return rows
 
-    def above(self, point: np.ndarray, threshold: float) -> np.ndarray:
-        """Rows whose overlap with the point could be large enough."""
-        size, share = int(point.sum()), threshold / (1 + threshold)
-        nodes = np.arange(len(self.levels[-1][0]))
+    def pairs(self, threshold: float, label: np.ndarray):
+        """(rows, rows, least overlaps needed) of pairs with different labels whose overlap could be large enough: the tree joined with itself, level by level."""
+        share, label = threshold / (1 + threshold), label[self.order]
+        points, sizes = self.points[self.order].astype(np.int32), self.sizes[self.order]
+        n = len(self.levels[-1][0])
+        i, j = np.triu_indices(n)
+        below = np.arange(self.leaf)
         for depth in range(len(self.levels) - 1, -1, -1):
             top, low = self.levels[depth]
-            nodes = nodes[np.minimum(top[nodes], point).sum(1) >= share * (size + low[nodes]) - 1e-9]
-            below = len(self.order) if depth == 0 else len(self.levels[depth - 1][0])
-            nodes = (nodes[:, None] * self.leaf + np.arange(self.leaf)).ravel()
-            nodes = nodes[nodes < below]
-        rows = self.order[nodes]
-        return rows[np.minimum(self.points[rows], point).sum(1) >= share * (size + self.sizes[rows]) - 1e-9]
+            good = np.minimum(top[i], top[j]).sum(1) >= share * (low[i] + low[j]) - 1e-9
+            i, j = i[good], j[good]
+            if depth:
+                i, j = (np.broadcast_to(x, (len(i), self.leaf, self.leaf)).ravel() for x in (i[:, None, None] * self.leaf + below[None, :, None], j[:, None, None] * self.leaf + below))
+                good = (i <= j) & (j < len(self.levels[depth - 1][0]))
+                i, j = i[good], j[good]
+        for at in range(0, len(i), 256):
+            a, b = (np.broadcast_to(x, (len(x), self.leaf, self.leaf)).ravel() for x in (i[at : at + 256, None, None] * self.leaf + below[None, :, None], j[at : at + 256, None, None] * self.leaf + below))
+            good = (a < b) & (b < len(points))
+            a, b, need = leaf_pairs(points, sizes, label, a[good], b[good], share)
+            yield self.order[a], self.order[b], need
+
+
+def leaf_pairs(points: np.ndarray, sizes: np.ndarray, label: np.ndarray, a: np.ndarray, b: np.ndarray, share: float):
+    """Of pairs of rows, those with different labels whose summed minima are large enough; and the least overlap that each needs."""
+    good = label[a] != label[b]
+    a, b = a[good], b[good]
+    need = share * (sizes[a] + sizes[b]) - 1e-9
+    good = np.minimum(sizes[a], sizes[b]) >= need
+    a, b, need = a[good], b[good], need[good]
+    good = np.minimum(points[a], points[b]).sum(1) >= need
+    return a[good], b[good], need[good]
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -147,20 +188,40 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
+def _groups(batches, keys: list[str]):
+    """(key, lists of the columns' values) of each run of equal keys in a task's sorted rows."""
+    key, held = None, {}
+    for batch in batches:
+        ks = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+        columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+        lo = 0
+        for hi in range(1, len(ks) + 1):
+            if hi == len(ks) or ks[hi] != ks[lo]:
+                if ks[lo] != key:
+                    if held:
+                        yield key, held
+                    key, held = ks[lo], {c: [] for c in columns}
+                for c, x in columns.items():
+                    held[c] += x[lo:hi]
+                lo = hi
+    if held:
+        yield key, held
+
+
 def _sorted_cells(batches):
-    """Rows (key, node) of a bucket, of keys that come twice, and of those at its ends, which may go on in the next bucket."""
+    """Rows of a bucket, of keys that come twice, and of those at its ends, which may go on in the next bucket."""
     rows = gathered(batches)
     if rows is None:
         return
-    key, node = rows.column("key").to_numpy(), rows.column("node").to_numpy()
+    key, node, extra = (rows.column(c).to_numpy() for c in ("key", "node", "extra"))
     by = np.lexsort((node, key))
-    key, node = key[by], node[by]
+    key, node, extra = key[by], node[by], extra[by]
     run = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
     n = np.bincount(run)
     keep = n > 1
     keep[[0, -1]] = True
     keep = keep[run]
-    yield pa.record_batch([pa.array(key[keep]), pa.array(node[keep])], names=["key", "node"])
+    yield pa.record_batch([pa.array(key[keep]), pa.array(node[keep]), pa.array(extra[keep])], names=["key", "node", "extra"])
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = 0.9, words: int = 3, bucket_rows: int = 400_000, block: int = 1024) -> tuple[DataFrame, Filed]:
@@ -192,11 +253,12 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.9, words: int = 3, buc
                 first = [int(mix64(h * ODD[1]).sum(dtype=np.uint64).view(np.int64)) for h in sets]
                 second = [int(mix64(h * ODD[2]).sum(dtype=np.uint64).view(np.int64)) for h in sets]
                 columns = [pa.array(np.arange(rid, rid + len(texts))), pa.array(list(map(len, sets)), pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64())]
-                columns += [pa.array([band_keys(h, threshold).view(np.int64) for h in sets], pa.list_(pa.int64())), pa.array([pack.compress(t) for t in texts], pa.binary())]
-                yield pa.record_batch([*(some.column(c) for c in names), *columns], names=[*names, "rid", "n_shingles", "set1", "set2", "keys", "ztext"])
+                keys = [band_keys(h, threshold) for h in sets]
+                columns += [pa.array([k.view(np.int64) for k, _ in keys], pa.list_(pa.int64())), pa.array([x for _, x in keys], pa.list_(pa.int32())), pa.array([pack.compress(t) for t in texts], pa.binary())]
+                yield pa.record_batch([*(some.column(c) for c in names), *columns], names=[*names, "rid", "n_shingles", "set1", "set2", "keys", "extra", "ztext"])
                 rid += len(texts)
 
-    added = T._parse_datatype_string("rid long, n_shingles long, set1 long, set2 long, keys array<long>, ztext binary")
+    added = T._parse_datatype_string("rid long, n_shingles long, set1 long, set2 long, keys array<long>, extra array<int>, ztext binary")
     have = Filed(docs.mapInArrow(first, T.StructType([*(docs.schema[c] for c in names), *added])), "shingled")
     same = stored(have.rows.filter("n_shingles > 0").groupBy("set1", "set2", "n_shingles").agg(F.min("rid").alias("node"), F.count("*").alias("copies")), "sets")
 
@@ -209,57 +271,75 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.9, words: int = 3, buc
                 own = np.sort(own.column("rid").to_numpy()) if own is not None else np.zeros(0, np.int64)
                 fs, name = file_system(texts)
                 with fs.open_input_file(name) as f:
-                    for part in pq.ParquetFile(f).iter_batches(batch_size=2000, columns=["rid", "keys"]):
+                    for part in pq.ParquetFile(f).iter_batches(batch_size=2000, columns=["rid", "keys", "extra"]):
                         part = part.filter(pa.array(np.isin(part.column("rid").to_numpy(), own)))
                         lists = part.column("keys")
                         n = np.diff(lists.offsets.to_numpy())
-                        yield pa.record_batch([lists.flatten(), pa.array(np.repeat(part.column("rid").to_numpy(), n))], names=["key", "node"])
+                        yield pa.record_batch([lists.flatten(), pa.array(np.repeat(part.column("rid").to_numpy(), n)), part.column("extra").flatten()], names=["key", "node", "extra"])
 
-    nothing = spark.createDataFrame([], "key long, node long")
+    cell = "key long, node long, extra int"
+    nothing = spark.createDataFrame([], cell)
     todo = have.tasks(same.select(F.col("node").alias("rid")), "kept-sets")
     total = have.rows.agg(F.sum(F.size("keys"))).first()[0] or 0
-    keys = nothing if todo is None else todo.mapInArrow(emit, "key long, node long").repartitionByRange(max(1, -(-total // bucket_rows)), "key", "node").mapInArrow(_sorted_cells, "key long, node long")
+    keys = nothing if todo is None else todo.mapInArrow(emit, cell).repartitionByRange(max(1, -(-total // bucket_rows)), "key", "node").mapInArrow(_sorted_cells, cell)
     cells = stored(keys, "cells")
-    heads = cells.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("m")).filter("m > 1")
+    full = cells.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    fullest = Window.partitionBy("node", F.expr("key & 1")).orderBy(F.desc("m"), F.desc("key"))
+    cells = stored(cells.join(full, "key").withColumn("rank", F.row_number().over(fullest)).filter("rank > extra").select("key", "node"), "cells")
+    mark = [F.bit_xor(F.xxhash64(F.col("node"), F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
+    heads = cells.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("m"), *mark).filter("m > 1")
+    heads = heads.groupBy("head", "m", "mark1", "mark2").agg(F.min("key").alias("key")).select("key", "head", "m")  # of cells with the same members, one
     cells = stored(cells.join(heads, "key"), "cells")
 
-    def fetch(batches):
-        import pyarrow.parquet as pq
-        import zstandard
+    def fetch(rids: DataFrame, what: str, name: str) -> DataFrame:
+        """node and ``what`` (corner: a point of few groups; point; hashes) of the rows numbered in ``rids``, made anew from their texts."""
+        made = {"corner": lambda h: point(h, COORDINATES), "point": point, "hashes": np.ndarray.tobytes}[what]
 
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for texts, where in zip(batch.column("texts").to_pylist(), batch.column("beside").to_pylist()):
-                own = read_folder(where, ["rid"])
-                if own is None:
-                    continue
-                own = np.sort(own.column("rid").to_numpy())
-                fs, name = file_system(texts)
-                with fs.open_input_file(name) as f:
-                    for part in pq.ParquetFile(f).iter_batches(batch_size=500, columns=["rid", "ztext"]):
-                        part = part.filter(pa.array(np.isin(part.column("rid").to_numpy(), own)))
-                        sets = [shingles(unpack.decompress(z), words) for z in part.column("ztext").to_pylist()]
-                        yield pa.record_batch([part.column("rid"), pa.array([counts(h).tobytes() for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "point", "hashes"])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs (u, v), those that link. Both sets' hashes meet in a task, a pair at a time."""
-        sets = have.tasks(pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct(), "asked-sets")
-        sets = stored(sets.mapInArrow(fetch, "node long, point binary, hashes binary"), "asked-sets", "lz4")
-        half = pairs.join(sets.select(F.col("node").alias("u"), F.col("point").alias("pu"), F.col("hashes").alias("hu")), "u")
-        whole = half.join(sets.select(F.col("node").alias("v"), F.col("point").alias("pv"), F.col("hashes").alias("hv")), "v")
+        def run(batches):
+            import pyarrow.parquet as pq
+            import zstandard
 
-        def test(batches):
+            unpack = zstandard.ZstdDecompressor()
             for batch in batches:
-                good = []
-                for pu, pv, hu, hv in zip(*(batch.column(c) for c in ("pu", "pv", "hu", "hv"))):
-                    a, b = np.frombuffer(hu.as_buffer(), np.uint64), np.frombuffer(hv.as_buffer(), np.uint64)
-                    need = threshold / (1 + threshold) * (len(a) + len(b)) - 1e-9
-                    bound = np.minimum(np.frombuffer(pu.as_buffer(), np.uint32), np.frombuffer(pv.as_buffer(), np.uint32)).sum()
-                    both = len(np.intersect1d(a, b, assume_unique=True)) if bound >= need else 0
-                    good.append(both > 0 and both >= threshold * (len(a) + len(b) - both) - 1e-9)
-                yield pa.record_batch([batch.column("u").filter(pa.array(good, pa.bool_())), batch.column("v").filter(pa.array(good, pa.bool_()))], names=["u", "v"])
+                for texts, where in zip(batch.column("texts").to_pylist(), batch.column("beside").to_pylist()):
+                    own = read_folder(where, ["rid"])
+                    if own is None:
+                        continue
+                    own = np.sort(own.column("rid").to_numpy())
+                    fs, path = file_system(texts)
+                    with fs.open_input_file(path) as f:
+                        for part in pq.ParquetFile(f).iter_batches(batch_size=500, columns=["rid", "ztext"]):
+                            part = part.filter(pa.array(np.isin(part.column("rid").to_numpy(), own)))
+                            found = [made(shingles(unpack.decompress(z), words)) for z in part.column("ztext").to_pylist()]
+                            yield pa.record_batch([part.column("rid"), pa.array(found, pa.binary())], names=["node", what])
+
+        return have.tasks(rids.distinct(), name).mapInArrow(run, f"node long, {what} binary")
+
+    def tested(pairs: DataFrame, what: str, test) -> DataFrame:
+        """Of pairs (u, v), those that ``test`` lets pass; what it compares meets in a task, a pair at a time."""
+        sides = stored(fetch(pairs.select(F.explode(F.array("u", "v")).alias("rid")), what, f"asked-{what}"), f"asked-{what}", "lz4")
+        half = pairs.join(sides.select(F.col("node").alias("u"), F.col(what).alias("x")), "u")
+        whole = half.join(sides.select(F.col("node").alias("v"), F.col(what).alias("y")), "v")
+
+        def run(batches):
+            for batch in batches:
+                good = pa.array([test(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("x"), batch.column("y"))], pa.bool_())
+                yield pa.record_batch([batch.column("u").filter(good), batch.column("v").filter(good)], names=["u", "v"])
+
+        return whole.mapInArrow(run, "u long, v long")
+
+    def near_enough(x, y) -> bool:
+        a, b = coordinates(x), coordinates(y)
+        return overlap_bound(a, b) >= threshold / (1 + threshold) * (a.sum() + b.sum()) - 1e-9
 
-        return whole.mapInArrow(test, "u long, v long")
+    def linked_sets(x, y) -> bool:
+        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both > 0 and both >= threshold * (len(a) + len(b) - both) - 1e-9
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of pairs (u, v), those that link: points first, a byte for two shingles; the sets' hashes only of pairs that these leave."""
+        return tested(stored(tested(pairs, "point", near_enough), "near-pairs"), "hashes", linked_sets)
 
     star = stored(cells.filter("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
     links = stored(verified(star), "links") if have.files else star
@@ -270,32 +350,54 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.9, words: int = 3, buc
     apart = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
     apart = stored(labelled.join(apart, "key").select("key", "node", "comp", "head", "m"), "apart")
     if not apart.isEmpty():
-        points = have.tasks(apart.select(F.col("node").alias("rid")).distinct(), "asked-points").mapInArrow(fetch, "node long, point binary, hashes binary").drop("hashes")
+        points = fetch(apart.select(F.col("node").alias("rid")), "corner", "asked-corners")
         blocks = F.expr(f"cast(ceil(m / {block}) as int)")
         own = F.pmod(F.xxhash64("node"), blocks).cast("int")
         dealt = apart.join(points, "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "head", "point")
-
-        def join(key: tuple, group: pa.Table) -> pa.Table:
-            node, comp_of, own_of, head = (group.column(c).to_numpy() for c in ("node", "comp", "own", "head"))
-            point = np.frombuffer(b"".join(group.column("point").to_pylist()), np.uint32).reshape(-1, COORDINATES).astype(np.int64)
-            tree, u, v = RTree(point), [], []
-            across = key[1].as_py() != key[2].as_py()
-            for row in range(len(node)):
-                near = tree.above(point[row], threshold)
-                near = near[(node[near] > node[row]) & (comp_of[near] != comp_of[row]) & (node[near] != head[row])]
-                near = near[own_of[near] != own_of[row]] if across else near
-                if node[row] != head[row]:
-                    u += [int(node[row])] * len(near)
-                    v += node[near].tolist()
-            return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-        more = stored(dealt.groupBy("key", "i", "j").applyInArrow(join, "u long, v long").distinct(), "pairs")
+        dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "head", "corner")
+
+        def join(batches):
+            share, small, pairs = threshold / (1 + threshold), [], 0
+
+            def search(groups):
+                """Pairs (u, v) of groups: small ones are a leaf each and go together, a large one has a tree."""
+                sizes = [len(c["node"]) for _, c in groups]
+                node, comp_of, own_of, head = (np.array([x for _, c in groups for x in c[name]]) for name in ("node", "comp", "own", "head"))
+                points = np.stack([coordinates(p) for _, c in groups for p in c["corner"]]).astype(np.int32)
+                across = np.repeat([i != j for (_, i, j), _ in groups], sizes)
+                if len(groups) == 1:
+                    found = RTree(points).pairs(threshold, comp_of)
+                else:
+                    begin = np.cumsum([0, *sizes[:-1]])
+                    every = [np.stack(np.triu_indices(n, 1)) + at for n, at in zip(sizes, begin)]
+                    found = [leaf_pairs(points, points.sum(1), comp_of, *np.concatenate(every, 1), share)]
+                u, v = [], []
+                for a, b, need in found:
+                    good = (node[a] != head[a]) & (node[b] != head[b]) & (~across[a] | (own_of[a] != own_of[b]))
+                    u.append(np.minimum(node[a[good]], node[b[good]]))
+                    v.append(np.maximum(node[a[good]], node[b[good]]))
+                return pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (u, v)], names=["u", "v"])
+
+            for group in _groups(batches, ["key", "i", "j"]):
+                m = len(group[1]["node"])
+                if m > 64:
+                    yield search([group])
+                    continue
+                small.append(group)
+                pairs += m * m // 2
+                if pairs > 100_000:
+                    yield search(small)
+                    small, pairs = [], 0
+            if small:
+                yield search(small)
+
+        dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        more = stored(dealt.mapInArrow(join, "u long, v long").distinct(), "pairs")
         links = links.unionByName(stored(verified(more), "links"))
         comp = components(links, "components")
 
     linked = same.join(comp, "node", "left").select("set1", "set2", "n_shingles", F.coalesce("comp", "node").alias("comp"))
-    rows = have.rows.drop("keys", "ztext")
+    rows = have.rows.drop("keys", "extra", "ztext")
     return rows.join(linked, ["set1", "set2", "n_shingles"], "left").withColumn("comp", F.coalesce("comp", "rid")).drop("set1", "set2"), have
 
 

@@ -295,11 +295,22 @@ def test_tree_bound_loses_nothing():
     rng = np.random.default_rng(1)
     points = rng.poisson(4, (500, ngrams.COORDINATES)).astype(np.int64)
     points[100:200] = np.maximum(points[:100] + rng.integers(-1, 2, (100, ngrams.COORDINATES)), 0)
-    tree = ngrams.RTree(points)
-    for i in range(0, 500, 7):
-        overlap = np.minimum(points[i], points).sum(1)
-        want = np.flatnonzero(overlap >= 0.9 / 1.9 * (points[i].sum() + points.sum(1)) - 1e-9)
-        assert sorted(tree.above(points[i], 0.9)) == want.tolist()
+    label = rng.integers(0, 40, len(points))
+    got = {(min(a, b), max(a, b)) for x, y, _ in ngrams.RTree(points).pairs(0.9, label) for a, b in zip(x.tolist(), y.tolist())}
+    overlap = np.minimum(points[:, None], points[None]).sum(2)
+    good = (overlap >= 0.9 / 1.9 * (points.sum(1)[:, None] + points.sum(1)) - 1e-9) & (label[:, None] != label)
+    assert got == {(a, b) for a, b in np.argwhere(good).tolist() if a < b}
+
+
+def test_points_bound_the_overlap():
+    rng = np.random.default_rng(6)
+    for n, m in ((1, 1), (50, 900), (3000, 2500), (70_000, 60_000)):
+        pool = np.unique(rng.integers(0, 1 << 64, n + m, np.uint64))
+        a, b = np.sort(pool[:n]), np.sort(rng.choice(pool, m, replace=False))
+        x, y = (ngrams.coordinates(ngrams.point(h)) for h in (a, b))
+        assert (x.sum(), y.sum()) == (n, m) and ngrams.overlap_bound(x, y) >= len(np.intersect1d(a, b))
+    same = np.arange(5000, dtype=np.uint64) << np.uint64(32)  # all in one group
+    assert ngrams.coordinates(ngrams.point(same)).max() == 5000
 
 
 def test_warc_round_trip(spark):
