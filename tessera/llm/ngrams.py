@@ -60,7 +60,7 @@ def layouts(threshold: float, top: int = 1 << 40) -> list[tuple[int, int, int]]:
 
 def spare(d: int) -> int:
     """Bands beyond D + 1: linked sets agree on as many more, so each may stay out of that many of its cells, the fullest ones."""
-    return max(1, -(-6 * d // 10))
+    return max(1, -(-3 * d // 10))
 
 
 def band_keys(h: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +271,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.9, words: int = 3, buc
                 own = np.sort(own.column("rid").to_numpy()) if own is not None else np.zeros(0, np.int64)
                 fs, name = file_system(texts)
                 with fs.open_input_file(name) as f:
-                    for part in pq.ParquetFile(f).iter_batches(batch_size=2000, columns=["rid", "keys", "extra"]):
+                    for part in pq.ParquetFile(f).iter_batches(batch_size=256, columns=["rid", "keys", "extra"]):
                         part = part.filter(pa.array(np.isin(part.column("rid").to_numpy(), own)))
                         lists = part.column("keys")
                         n = np.diff(lists.offsets.to_numpy())
