@@ -35,3 +35,41 @@ def test_words_come_from_the_whole_text(spark, tmp_path):
     text = "a " * 100 + "one two\nthree two four " + "b " * 90 + "five"
     spark.createDataFrame([(1, text)], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [r.words for r in catalogue.queries()["d15_unique_extend_whole"](spark, str(tmp_path)).collect()] == ["a,one,two,three,four,b,five"]
+
+
+def write(spark, folder, **tables):
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+
+
+def test_alias_classes_give_all_pairs_of_parts(spark, tmp_path):
+    rng = random.Random(4)
+    parts = [(i, f"B{rng.randrange(9)}", rng.choice(["B1", "T1", "T2", "T3", None])) for i in range(120)]
+    write(spark, tmp_path, part=(parts, "p_partkey int, p_brand string, p_type string"))
+    rows = catalogue.queries()["g06_alias_classes"](spark, str(tmp_path)).collect()
+    classes = {}
+    for r in rows:
+        classes.setdefault(r.name, set()).add(r.p_partkey)
+    assert all(r.members == len(classes[r.name]) for r in rows) and len(rows) == sum(map(len, classes.values()))
+    got = {(a, b) for c in classes.values() for a in c for b in c if a < b}
+    want = {(a, b) for a, *x in parts for b, *y in parts if a < b and set(x) & set(y) - {None}}
+    assert got == want
+    assert {(r.a, r.b) for r in catalogue.queries()["g06_alias_groups"](spark, str(tmp_path)).collect()} < got
+
+
+def test_coverage_looks_at_all_ids(spark, tmp_path):
+    write(spark, tmp_path, customer=([(i,) for i in range(1, 7)], "c_custkey int"), orders=([(1,), (2,), (2,), (9,), (9,), (None,)], "o_custkey int"))
+    got = {tuple(r) for r in catalogue.queries()["j15_span_coverage_whole"](spark, str(tmp_path)).select("id", "finding", "n").collect()}
+    assert got == {(i, "missing", 0) for i in (3, 4, 5, 6)} | {(9, "unknown", 2), (None, "malformed", 1)}
+
+
+def test_overlaps_are_with_any_other_interval(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    rng = random.Random(5)
+    ats = [(i, rng.randrange(4), rng.randrange(200_000), rng.choice([0.0, 0.5, 1.0, 5.0, 20.0])) for i in range(150)]
+    write(spark, tmp_path, events=([(i, u, datetime(2024, 1, 1) + timedelta(seconds=a), v) for i, u, a, v in ats], "event_id int, user_id int, ts timestamp_ntz, value double"))
+    spans = [(i, u, a, a + round(v * 600)) for i, u, a, v in ats if v]
+    want = {i for i, u, a, b in spans if any(j != i and w == u and a < d and c < b for j, w, c, d in spans)}
+    got = [r.event_id for r in catalogue.queries()["g12_overlap_semi_whole"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and 0 < len(want) < len(spans)
