@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import blocks as B
 from ..operators import quotes as Q
 from .registry import query
 
@@ -45,3 +46,8 @@ def g12_whole(t):
     w = Window.partitionBy("user_id").orderBy("a", "event_id")
     reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
     return i.withColumn("reach", reach).withColumn("next", F.lead("a").over(w)).filter("reach > a OR next < b").select("event_id")
+
+
+@query("f03_duplicate_blocks")
+def f03_whole(t):
+    return B.adjacent_duplicates(t.documents, "doc_id", "text")

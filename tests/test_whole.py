@@ -3,6 +3,7 @@
 import random
 import re
 
+from tessera.operators import blocks
 from tessera.operators import quotes as Q
 from tessera.plans import catalogue
 
@@ -73,3 +74,28 @@ def test_overlaps_are_with_any_other_interval(spark, tmp_path):
     want = {i for i, u, a, b in spans if any(j != i and w == u and a < d and c < b for j, w, c, d in spans)}
     got = [r.event_id for r in catalogue.queries()["g12_overlap_semi_whole"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and 0 < len(want) < len(spans)
+
+
+def test_duplicate_blocks_follow_the_greedy_rule(spark):
+    def brute(texts):
+        found, occupied = [], set()
+        for size in range(5, 1, -1):
+            i = 0
+            while i + 2 * size <= len(texts):
+                left, at = texts[i : i + size], set(range(i, i + 2 * size))
+                if not at & occupied and left == texts[i + size : i + 2 * size] and all(len(x) >= 8 for x in left):
+                    found.append((i + 1, size))
+                    occupied |= at
+                    i += 2 * size
+                else:
+                    i += 1
+        return found
+
+    rng = random.Random(6)
+    pool = ["line number one", "line number two", "line number three", "short"]
+    docs = [(i, "\n".join(rng.choice(pool[: rng.randrange(1, 5)]) for _ in range(rng.randrange(40)))) for i in range(400)]
+    a, b = pool[0], pool[1]
+    docs += [(1000, "\n".join([a, b, a, b])), (1001, f"{a}\n{a}"), (1002, None), (1003, "")]
+    want = sorted((i, *x) for i, text in docs if text is not None for x in brute(text.split("\n")))
+    got = sorted(tuple(r) for r in blocks.adjacent_duplicates(spark.createDataFrame(docs, "doc_id int, text string"), "doc_id", "text").collect())
+    assert got == want and [x for x in got if x[0] >= 1000] == [(1000, 1, 2)] and {x[2] for x in got} == {2, 3, 4, 5}
