@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import blocks as B
+from ..operators import cascades as C
 from ..operators import quotes as Q
 from .registry import query
 
@@ -51,3 +52,14 @@ def g12_whole(t):
 @query("f03_duplicate_blocks")
 def f03_whole(t):
     return B.adjacent_duplicates(t.documents, "doc_id", "text")
+
+
+@query("g14_fuzzy_cascade_whole")
+def g14_whole(t):
+    c = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
+    return C.fuzzy_cascade(t.benchmark, c, "item_id", "turn_id", "text").withColumn("score", F.round("score", 6))
+
+
+@query("g15_token_f1_whole")
+def g15_whole(t):
+    return C.token_f1(t.pages.select("page_id", F.col("url").alias("text")), t.benchmark, "page_id", "item_id", "text").withColumn("score", F.round("score", 6))

@@ -3,7 +3,7 @@
 import random
 import re
 
-from tessera.operators import blocks
+from tessera.operators import blocks, cascades
 from tessera.operators import quotes as Q
 from tessera.plans import catalogue
 
@@ -99,3 +99,39 @@ def test_duplicate_blocks_follow_the_greedy_rule(spark):
     want = sorted((i, *x) for i, text in docs if text is not None for x in brute(text.split("\n")))
     got = sorted(tuple(r) for r in blocks.adjacent_duplicates(spark.createDataFrame(docs, "doc_id int, text string"), "doc_id", "text").collect())
     assert got == want and [x for x in got if x[0] >= 1000] == [(1000, 1, 2)] and {x[2] for x in got} == {2, 3, 4, 5}
+
+
+def test_cascade_ranks_by_tier_and_has_a_limit(spark):
+    def resolve(raw, names):
+        norm = lambda x: re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", "", x.lower())).strip()
+        r = norm(raw)
+        if not r:
+            return None
+        keyed = [(i, norm(n)) for i, n in names if norm(n)]
+        for i, n in keyed:
+            if n == r:
+                return i, 1
+        for i, n in keyed:
+            if re.search(rf"\b{r}\b", n) or re.search(rf"\b{n}\b", r):
+                return i, 2
+            if min(len(r), len(n)) >= 3 and abs(len(r) - len(n)) <= 2 and (n.startswith(r) or r.startswith(n)):
+                return i, 2
+        score = lambda n: len(set(r.split()) & set(n.split())) / len(set(r.split()) | set(n.split()))
+        best = max(keyed, key=lambda x: (score(x[1]), -x[0]), default=None)
+        return (best[0], 3) if best and score(best[1]) >= 0.4 else None
+
+    rng = random.Random(8)
+    pool = ["Ann", "Anna", "al", "Allan", "john", "johnson", "Mr.", "Darcy", "of", "the", "Bennet", "Annabel"]
+    some = lambda n: [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(5)))) for i in range(n)]
+    raws, names = [*some(120), (500, "?!"), (501, "an of x y z")], some(14)
+    got = cascades.fuzzy_cascade(spark.createDataFrame(raws, "raw int, text string"), spark.createDataFrame(names, "name int, text string"), "raw", "name", "text").collect()
+    want = {i: x for i, raw in raws if (x := resolve(raw, names))}
+    assert {r.raw: (r["name"], r.tier) for r in got} == want and len(got) == len(want)
+    assert {t for _, t in want.values()} == {1, 2, 3} and len(want) < len(raws)
+
+
+def test_files_match_by_stem_then_by_f1(spark):
+    files = [(1, "Book1"), (2, "Michael Kramer The Hero of Ages-converted"), (3, "entirely other words of mine"), (4, "Volume 12")]
+    books = [(1, "book1 hero"), (2, "Book1"), (3, "Hero of Ages "), (4, "Mistborn The Hero of Ages by some others in a series"), (5, "Volume 13")]
+    got = cascades.token_f1(spark.createDataFrame(files, "f int, stem string"), spark.createDataFrame(books, "s int, stem string"), "f", "s", "stem").collect()
+    assert {(r.f, r.s, r.tier) for r in got} == {(1, 2, 1), (2, 3, 2)}
