@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ordered(keys: list[str], pos: str | list[str]):
@@ -16,25 +17,53 @@ def run_id(df: DataFrame, keys: list[str], pos: str, changed: Column, name: str
     return df.withColumn("_new", F.coalesce(changed, F.lit(True)).cast("int")).withColumn(name, F.sum("_new").over(w)).drop("_new")
 
 
+def folded(df: DataFrame, keys: list[str], pos: list[str], inputs: list[str], out: str, kind: str, start, step) -> DataFrame:
+    """Adds ``out``: ``step(state, *inputs)`` gives (state, out) for each row of a key in order, from ``start()`` on.
+
+    Rows are sorted, by Spark and on disk where need be, and streamed: a task holds a batch and one state, however long a key is.
+    """
+    names = [*df.columns, out]
+
+    def fold(batches):
+        import pyarrow as pa
+
+        last, state = object(), None
+        for batch in batches:
+            found = []
+            for key, *row in zip(zip(*(batch.column(k).to_pylist() for k in keys)), *(batch.column(c).to_pylist() for c in inputs)):
+                if key != last:
+                    last, state = key, start()
+                state, x = step(state, *row)
+                found.append(x)
+            yield pa.record_batch([*batch.columns, pa.array(found, {"int": pa.int32(), "string": pa.string()}[kind])], names=names)
+
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.IntegerType() if kind == "int" else T.StringType())])
+    return df.repartition(*keys).sortWithinPartitions(*keys, *pos).mapInArrow(fold, schema)
+
+
 def speaker_runs(df: DataFrame, keys: list[str], pos: str, speaker: str, text: str, most: int) -> DataFrame:
     """Merge consecutive rows of a speaker while the merged text stays within ``most`` characters.
 
-    Runs come from a window; a long run is cut by a fold over its rows' lengths alone, since each cut depends on the one before.
+    Runs come from a window; a long run is cut by a streamed fold over its rows' lengths, since each cut depends on the one before.
     """
     w = ordered(keys, pos)
-    rows = run_id(df, keys, pos, F.col(speaker) != F.lag(speaker).over(w))
-    lines = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(text).alias("text"))))
-    runs = rows.groupBy(*keys, "run").agg(F.first(speaker).alias(speaker), lines.alias("lines"))
-    step = lambda s, x: F.struct(
-        F.when((s["n"] > 0) & (s["n"] + 1 + F.length(x["text"]) > most), s["chunk"] + 1).otherwise(s["chunk"]).alias("chunk"),
-        F.when((s["n"] > 0) & (s["n"] + 1 + F.length(x["text"]) > most), F.length(x["text"])).otherwise(s["n"] + F.when(s["n"] > 0, 1).otherwise(0) + F.length(x["text"])).alias("n"),
-        F.array_append(s["of"], F.when((s["n"] > 0) & (s["n"] + 1 + F.length(x["text"]) > most), s["chunk"] + 1).otherwise(s["chunk"])).alias("of"),
-    )
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("of"))
-    of = F.aggregate("lines", start, step, lambda s: s["of"])
-    placed = runs.select(*keys, "run", speaker, F.explode(F.arrays_zip("lines", of.alias("of"))).alias("x"))
-    placed = placed.select(*keys, "run", speaker, F.col("x.of").alias("chunk"), F.col("x.lines").alias("line"))
-    merged = placed.groupBy(*keys, "run", "chunk").agg(F.first(speaker).alias(speaker), F.min("line.pos").alias(pos), F.array_join(F.transform(F.sort_array(F.collect_list("line")), lambda x: x["text"]), " ").alias(text), F.count("*").alias("n_lines"))
+    rows = run_id(df, keys, pos, F.col(speaker) != F.lag(speaker).over(w)).select(*keys, "run", speaker, pos, F.col(text).alias("_text"), F.length(text).alias("_n"))
+
+    def step(s, run, n):
+        last, chunk, size = s
+        if run != last:
+            chunk, size = 0, 0
+        if n is None:
+            return (run, chunk, size), chunk
+        if size > 0 and size + 1 + n > most:
+            chunk, size = chunk + 1, n
+        else:
+            size += (size > 0) + n
+        return (run, chunk, size), chunk
+
+    placed = folded(rows, keys, [pos], ["run", "_n"], "chunk", "int", lambda: (None, 0, 0), step)
+    line = F.struct(F.col(pos).alias("pos"), F.col("_text").alias("text"))
+    merged = placed.groupBy(*keys, "run", "chunk").agg(F.first(speaker).alias(speaker), F.min(pos).alias(pos), F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["text"]), " ").alias(text), F.count("*").alias("n_lines"))
     return merged.drop("run", "chunk")
 
 
@@ -64,27 +93,27 @@ def timeline(df: DataFrame, keys: list[str], pos: str, length: Column, gap: Colu
 
 
 def tumbling(df: DataFrame, keys: list[str], pos: list[str], size: Column, most: float) -> DataFrame:
-    """Deal rows to chunks, in order; a chunk closes with the row that brings it to ``most``. A fold over the group's sizes."""
-    lines = F.sort_array(F.collect_list(F.struct(*pos, size.alias("size"))))
-    groups = df.groupBy(*keys).agg(lines.alias("lines"))
-    step = lambda s, x: F.struct(
-        F.when(s["sum"] + x["size"] >= most, s["chunk"] + 1).otherwise(s["chunk"]).alias("chunk"),
-        F.when(s["sum"] + x["size"] >= most, 0.0).otherwise(s["sum"] + x["size"]).alias("sum"),
-        F.array_append(s["of"], s["chunk"]).alias("of"),
-    )
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0.0).alias("sum"), F.array().cast("array<int>").alias("of"))
-    out = groups.select(*keys, F.explode(F.arrays_zip("lines", F.aggregate("lines", start, step, lambda s: s["of"]).alias("of"))).alias("x"))
-    return out.select(*keys, *[F.col(f"x.lines.{p}").alias(p) for p in pos], F.col("x.lines.size").alias("size"), F.col("x.of").alias("chunk"))
+    """Deal rows to chunks, in order; a chunk closes with the row that brings it to ``most``. A streamed fold over the group's sizes."""
+
+    def step(s, size):
+        chunk, total = s
+        if total is None or size is None:
+            return (chunk, None), chunk
+        return ((chunk + 1, 0.0) if not total + size < most else (chunk, total + size)), chunk
+
+    rows = df.select(*keys, *pos, size.alias("size"))
+    return folded(rows, keys, [*pos, "size"], ["size"], "chunk", "int", lambda: (0, 0.0), step)
 
 
 def alternating(df: DataFrame, keys: list[str], pos: str, speaker: str) -> DataFrame:
     """Repair turns: a row with the same speaker as the last *output* row gets the last other speaker, if there was one."""
-    lines = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(speaker).alias("who"))))
-    step = lambda s, x: F.struct(
-        F.when((x["who"] == s["last"]) & s["other"].isNotNull(), s["other"]).otherwise(x["who"]).alias("last"),
-        F.when((x["who"] == s["last"]) & s["other"].isNotNull(), s["last"]).otherwise(F.when(x["who"] == s["last"], s["other"]).otherwise(s["last"])).alias("other"),
-        F.array_append(s["out"], F.when((x["who"] == s["last"]) & s["other"].isNotNull(), s["other"]).otherwise(x["who"])).alias("out"),
-    )
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(None).cast("string").alias("other"), F.array().cast("array<string>").alias("out"))
-    out = df.groupBy(*keys).agg(lines.alias("lines")).select(*keys, F.explode(F.arrays_zip("lines", F.aggregate("lines", start, step, lambda s: s["out"]).alias("out"))).alias("x"))
-    return out.select(*keys, F.col("x.lines.pos").alias(pos), F.col("x.lines.who").alias(speaker), F.col("x.out").alias("repaired"))
+
+    def step(s, who):
+        last, other = s
+        same = who is not None and who == last
+        if same and other is not None:
+            return (other, last), other
+        return (who, other if same else last), who
+
+    rows = df.select(*keys, pos, speaker)
+    return folded(rows, keys, [pos, speaker], [speaker], "repaired", "string", lambda: (None, None), step)

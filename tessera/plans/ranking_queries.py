@@ -226,8 +226,29 @@ def b06(t):
 
 @query("b09_lineage", "SELECT source, count(*) AS inputs, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1")
 def b09(t):
-    each = F.sort_array(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h"))))
-    return t.documents.groupBy("source").agg(F.count("*").alias("inputs"), F.sha2(F.array_join(F.transform(each, lambda x: x["h"]), ""), 256).alias("digest"))
+    # the digest runs over a source's hashes in order: sorted rows are streamed, so a task holds a batch and one running digest
+    def digests(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        source, n, digest, out = None, 0, None, []
+        for batch in batches:
+            for s, h in zip(batch.column("source").to_pylist(), batch.column("h").to_pylist()):
+                if digest is None or s != source:
+                    if digest is not None:
+                        out.append((source, n, digest.hexdigest() if some else None))
+                    source, n, digest, some = s, 0, hashlib.sha256(), False
+                n += 1
+                if h is not None:
+                    digest.update(h.encode())
+                    some = True
+        if digest is not None:
+            out.append((source, n, digest.hexdigest() if some else None))
+        yield pa.record_batch([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.string())], names=["source", "inputs", "digest"])
+
+    each = t.documents.select("source", "doc_id", F.sha2("text", 256).alias("h"))
+    return each.repartition("source").sortWithinPartitions("source", F.asc_nulls_last("doc_id"), "h").mapInArrow(digests, "source string, inputs long, digest string")
 
 
 @query("b10_retention", "WITH r AS (SELECT event_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) SELECT event_id FROM r WHERE (rn > 20 OR ts < TIMESTAMP '2024-01-05') AND event_type <> 'purchase'")

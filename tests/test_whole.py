@@ -3,7 +3,9 @@
 import random
 import re
 
-from tessera.operators import blocks, cascades
+from pyspark.sql import functions as F
+
+from tessera.operators import blocks, cascades, sequences
 from tessera.operators import quotes as Q
 from tessera.plans import catalogue
 
@@ -135,3 +137,62 @@ def test_files_match_by_stem_then_by_f1(spark):
     books = [(1, "book1 hero"), (2, "Book1"), (3, "Hero of Ages "), (4, "Mistborn The Hero of Ages by some others in a series"), (5, "Volume 13")]
     got = cascades.token_f1(spark.createDataFrame(files, "f int, stem string"), spark.createDataFrame(books, "s int, stem string"), "f", "s", "stem").collect()
     assert {(r.f, r.s, r.tier) for r in got} == {(1, 2, 1), (2, 3, 2)}
+
+
+def planned(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_a_long_group_is_streamed_not_collected(spark, tmp_path):
+    import hashlib
+
+    rng = random.Random(9)
+    docs = [(i, rng.choice("ab"), None if i % 50 == 7 else f"text {rng.random()}") for i in range(3000)]
+    docs += [(9001, None, "no source"), (9002, "nulls", None)]
+    talk = [(c, i, rng.choice(["x", "y", "z"])) for c in (1, 2) for i in range(3000)]
+    sizes = [(u, i, rng.choice([1.0, 50.0, 249.0, 250.0, 300.0])) for u in (1, 2) for i in range(3000)]
+    write(spark, tmp_path, documents=(docs, "doc_id int, source string, text string"))
+    df = catalogue.queries()["b09_lineage"](spark, str(tmp_path))
+    assert "collect_list" not in planned(df)
+    want = {}
+    for i, s, x in docs:
+        want.setdefault(s, []).append(x)
+    line = lambda xs: "".join(hashlib.sha256(x.encode()).hexdigest() for x in xs if x is not None)
+    want = {s: (len(xs), hashlib.sha256(line(xs).encode()).hexdigest() if line(xs) else None) for s, xs in want.items()}
+    assert {r.source: (r.inputs, r.digest) for r in df.collect()} == want
+
+    df = sequences.alternating(spark.createDataFrame(talk, "conv int, turn int, who string").repartition(5), ["conv"], "turn", "who")
+    assert "collect_list" not in planned(df)
+    want, last, other = [], None, None
+    for c, i, who in talk:
+        last, other = (None, None) if i == 0 else (last, other)
+        out = other if who == last and other else who
+        last, other = out, last if out != last else other
+        want.append((c, i, who, out))
+    assert sorted(tuple(r) for r in df.collect()) == want
+
+    df = sequences.tumbling(spark.createDataFrame(sizes, "u int, i int, v double").repartition(5), ["u"], ["i"], F.col("v"), 250.0)
+    assert "collect_list" not in planned(df)
+    want, chunk, total = [], 0, 0.0
+    for u, i, v in sizes:
+        chunk, total = (0, 0.0) if i == 0 else (chunk, total)
+        want.append((u, i, v, chunk))
+        chunk, total = (chunk + 1, 0.0) if total + v >= 250 else (chunk, total + v)
+    assert sorted(tuple(r) for r in df.collect()) == want
+
+
+def test_speaker_runs_merge_within_their_limit(spark):
+    rng = random.Random(10)
+    rows = [(c, i, rng.choice("xxxy"), "w" * rng.randrange(30)) for c in (1, 2) for i in range(800)]
+    df = sequences.speaker_runs(spark.createDataFrame(rows, "conv int, turn int, who string, text string").repartition(5), ["conv"], "turn", "who", "text", 60)
+    assert "array_append" not in planned(df)
+    want = []
+    for c, i, who, text in rows:
+        if want and want[-1][0] == c and want[-1][2] == who and (not want[-1][3].strip() and not want[-1][5] or want[-1][5] + 1 + len(text) <= 60):
+            old = want.pop()
+            n = old[5] + (old[5] > 0) + len(text)
+            want.append((c, old[1], who, old[3] + " " + text, old[4] + 1, n))
+        else:
+            want.append((c, i, who, text, 1, len(text)))
+    got = df.select("conv", "turn", "who", "text", "n_lines").collect()
+    assert sorted(tuple(r) for r in got) == [x[:5] for x in want]
