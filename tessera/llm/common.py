@@ -178,8 +178,8 @@ class Encoder:
 
     Byte-level pre-tokenization always cuts before a space that precedes a non-space, and makes a token of its own of a line feed
     between non-spaces. A text falls into pieces there, and the ids of pieces seen lately are looked up; the rest go to the
-    library. The ids are those of the whole text. Strings of special tokens in a text are ordinary text. ``most`` bounds the pieces
-    kept.
+    library. The ids are those of the whole text. A text that holds the string of an added token goes to the library whole, as the
+    token ends a run of spaces before it. ``most`` bounds the pieces kept.
     """
 
     CUT, LINE = re.compile(r" (?=\S)"), re.compile(r"(?<=\S)\n(?=\S)")
@@ -189,13 +189,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces, self.starts = Pieces(self.tokenizer, " ", most), Pieces(self.tokenizer, "", most // 5)
         self.feed = whole(self.tokenizer, "\n")
 
     def __call__(self, texts: list) -> list[bytes]:
         pieces, starts, out = self.pieces, self.starts, []
         for text in texts:
+            if text and any(a in text for a in self.added):
+                out.append(whole(self.tokenizer, text))
+                continue
             lines = []
             for line in self.LINE.split(text) if text else ():
                 first, *rest = self.CUT.split(line)

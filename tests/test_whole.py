@@ -196,3 +196,16 @@ def test_speaker_runs_merge_within_their_limit(spark):
             want.append((c, i, who, text, 1, len(text)))
     got = df.select("conv", "turn", "who", "text", "n_lines").collect()
     assert sorted(tuple(r) for r in got) == [x[:5] for x in want]
+
+
+def test_added_tokens_have_their_own_id():
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from tessera.llm import common
+
+    fresh, end = Tokenizer.from_file(common.vocabulary()), "<|endoftext|>"
+    texts = [f"{end} x", f"a{end}", f"a {end}b", f"a  {end}", f"a\n {end}  b", f"a\n\n{end}\n\nb", f"é {end}{end} .", "no token", f"{end[:-1]} >"]
+    want = [np.array(fresh.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert common.Encoder(common.vocabulary())(texts) == want
+    assert want[0][:4] == (50256).to_bytes(4, "little")
