@@ -131,12 +131,14 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: for each document and pass, a row with the words taken, and the document's other columns.
 
     A document taken whole gives its text as it is; of one taken in part, each stretch of consecutive blocks gives its slice of the
-    text, and stretches are joined by a line feed. Texts without words aren't taken. Rows are dealt out by a hash of their shard.
+    text, and stretches are joined by a line feed. Texts without words aren't taken. A row goes
+    by the shard and slot of its first words: rows are dealt out by a hash of the shard, and lie by shard and slot in
+    a partition, those of one slot in the order of the input.
     """
     spark = docs.sparkSession
     numbered = stored(docs.withColumn("mix_row", F.monotonically_increasing_id()), "mix-input")
     documents, pieces = mix(numbered.select(F.col("mix_row").alias("doc_id"), "text", "source"), **options)
-    taken = pieces.groupBy("doc_id", "epoch").agg(F.sort_array(F.collect_list(F.struct("word", "words"))).alias("spans"), F.sum("words").alias("n"), F.min(F.xxhash64("shard", "slot")).alias("place"))
+    taken = pieces.groupBy("doc_id", "epoch").agg(F.sort_array(F.collect_list(F.struct("word", "words"))).alias("spans"), F.sum("words").alias("n"), F.min_by(F.struct("shard", "slot"), "word").alias("place"))
     whole = documents.filter("size > 0").select(F.col("doc_id").alias("mix_row"), "size")
     rows = taken.withColumnRenamed("doc_id", "mix_row").join(whole, "mix_row").join(numbered, "mix_row")
     names = docs.columns
@@ -160,7 +162,8 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
                     texts.append(text)
                 yield pa.record_batch([pa.array(texts, pa.string()) if c == "text" else some.column(c) for c in names], names=names)
 
-    return rows.select(*names, "spans", "n", "size").mapInArrow(cut, docs.schema)
+    dealt = rows.select(*names, "spans", "n", "size", "place", "mix_row").repartition("place.shard").sortWithinPartitions("place.shard", "place.slot", "mix_row")
+    return dealt.mapInArrow(cut, docs.schema)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
