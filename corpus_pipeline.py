@@ -17,10 +17,10 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn languages from the labelled texts at hand; documents without a letter, or hardly any n-gram of any language, go."""
+    """Learn languages from the labelled texts at hand; documents without a letter go, and where any text has a label, those with hardly any n-gram that two texts of a language have."""
     filters = langid.fit(docs)
     said = langid.identify(docs.select(*COLUMNS), filters)
-    keep = (F.col("lang_pred") != "und") & (F.col("known") >= 0.1) if filters.languages else F.lit(True)
+    keep = (F.col("lang_pred") != "und") & (F.col("known") >= 0.1) if filters.languages else F.col("text").rlike(r"\p{L}")
     return said.filter(keep).select(*COLUMNS)
 
 

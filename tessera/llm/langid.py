@@ -80,9 +80,11 @@ def fit(docs: DataFrame, bits: int = 21, hashes: int = 4, least_rate: float = 2e
     """Learn from docs (text, lang; rows with a null lang don't count): n-gram counts of all texts, by language.
 
     A language holds an n-gram that makes up at least ``least_rate`` of its n-grams (so 1 / least_rate of them at most, however
-    much text there is) and ``near_top`` of the rate where it is most frequent. The driver gets the filter alone, 2**bits rows.
+    much text there is) and ``near_top`` of the rate where it is most frequent, if two different texts of the language have it: a text
+    and its copies don't vouch for themselves. The driver gets the filter alone, 2**bits rows.
     """
     docs = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null")
+    docs = docs.withColumn("mark", F.xxhash64("text"))
 
     def count(batches):
         sums: dict[str, list] = {}
@@ -90,42 +92,46 @@ def fit(docs: DataFrame, bits: int = 21, hashes: int = 4, least_rate: float = 2e
 
         def flush():
             for lang, parts in sums.items():
-                g, n = added(parts)
-                yield pa.record_batch([pa.array([lang] * len(g)), pa.array(g.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+                g, n, lo, hi = added(*(np.concatenate(x) for x in zip(*parts)))
+                yield pa.record_batch([pa.array([lang] * len(g)), pa.array(g.astype(np.int64)), pa.array(n), pa.array(lo), pa.array(hi)], names=["lang", "gram", "n", "lo", "hi"])
 
-        def added(parts):
-            g, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            return g, np.bincount(at, np.concatenate([p[1] for p in parts]), len(g)).astype(np.int64)
+        def added(g, n, lo, hi):
+            order = np.argsort(g, kind="stable")
+            g = g[order]
+            at = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            return g[at], np.add.reduceat(n[order], at), np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at)
 
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for lo in range(0, len(langs), 500):
                 by: dict[str, list] = {}
-                for lang, text in zip(langs[lo : lo + 500], batch.column("text").slice(lo, 500).to_pylist()):
-                    by.setdefault(lang, []).append(grams(text))
-                for lang, all_grams in by.items():
-                    g, n = np.unique(np.concatenate(all_grams), return_counts=True)
+                for lang, text, mark in zip(langs[lo : lo + 500], batch.column("text").slice(lo, 500).to_pylist(), batch.column("mark").slice(lo, 500).to_pylist()):
+                    g = grams(text)
+                    by.setdefault(lang, []).append((g, np.full(len(g), mark, np.int64)))
+                for lang, found in by.items():
+                    g, marks = (np.concatenate(x) for x in zip(*found))
                     if len(g):
+                        g, n, first, last = added(g, np.ones(len(g), np.int64), marks, marks)
                         parts = sums.setdefault(lang, [])
-                        parts.append((g, n))
+                        parts.append((g, n, first, last))
                         held += len(g)
                         if len(parts) >= 16:
                             held -= sum(len(p[0]) for p in parts)
-                            sums[lang] = [added(parts)]
+                            sums[lang] = [added(*(np.concatenate(x) for x in zip(*parts)))]
                             held += len(sums[lang][0][0])
                 if held > 4_000_000:
                     yield from flush()
                     sums, held = {}, 0
         yield from flush()
 
-    counts = stored(docs.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    counts = stored(docs.mapInArrow(count, "lang string, gram long, n long, lo long, hi long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "grams")
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
     kind = next(t for t, most in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 1 << 30)) if len(languages) <= most)
     rows = np.zeros((max(1, -(-len(languages) // 64)), 1 << bits), kind)
     if languages:
         numbered = counts.sparkSession.createDataFrame([(x, i, float(totals[x])) for i, x in enumerate(languages)], "lang string, number int, total double")
-        rates = counts.join(numbered, "lang").withColumn("rate", F.col("n") / F.col("total"))
+        rates = counts.filter("lo < hi").join(numbered, "lang").withColumn("rate", F.col("n") / F.col("total"))
         top = rates.groupBy("gram").agg(F.max("rate").alias("top"))
         own = rates.filter(F.col("rate") >= least_rate).join(top, "gram").filter(F.col("rate") >= near_top * F.col("top")).select("gram", "number")
 

@@ -237,3 +237,16 @@ def test_mixed_rows_lie_by_shard_and_slot(spark):
         while at < len(ids):
             shard = next(s for s in shards if s > last and ids[at : at + len(shards[s])] == shards[s])
             at, last = at + len(shards[shard]), shard
+
+
+def test_a_text_does_not_vouch_for_itself(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    pool = ["".join(rng.choice("abcde") for _ in range(6)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(80)), "en") for i in range(30)]
+    noise = "".join(rng.choice("qwxzjkvy") for _ in range(300))
+    rows += [(100, noise, "en"), (101, noise, "en"), (102, "12 !!", "en")]
+    docs = spark.createDataFrame([(i, t, l, "s", len(t)) for i, t, l in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()} == set(range(30))
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), "").collect()} == {*range(30), 100, 101}
