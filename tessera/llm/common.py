@@ -13,63 +13,199 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict = {}
+MADE: list[str] = []  # folders that this process's operators have made
+
+# Settings for tasks that carry whole texts: small Arrow batches, scans and row groups; each is only set where it stands at Spark's own default.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, "4194304"), "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"), "parquet.block.size": (None, "16777216")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a task holds of long texts at a time; settings that the session already has stay."""
+    if _LOCAL.get("session") is spark:
+        return
+    _LOCAL["session"] = spark
+    explicit = {r.key for r in spark.sql("SET").collect()}
+    for key, (usual, wanted) in BATCHES.items():
+        if key not in explicit or usual and spark.conf.get(key) == usual:
+            spark.conf.set(key, wanted)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; only where that is unset (tests), under a local one."""
+    """A fresh folder under ``spark.checkpoint.dir``. Where that is unset, a local one will do for a local master (tests), and nothing else."""
+    small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="tessera-"))
     if "://" not in base and not base.startswith("file:"):
         base = f"file://{base}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
 
+def dropped(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders of the shared store that nothing reads any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if folder in MADE:
+            MADE.remove(folder)
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage, and lost executors cost no recomputation."""
+
+def stored(df: DataFrame, name: str, codec: str = "zstd", instead_of: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: cuts the lineage, and lost executors cost no recomputation.
+
+    ``instead_of``: a stored table that ``df`` is made of and nothing else needs; it goes when ``df`` is written.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if instead_of is not None:
+        dropped(spark, [instead_of._stored])
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, rows: int, how: str = "inner", most: int = 500) -> DataFrame:
+    """Join ``right``, which has each key once and in ``weight`` the number of ``left``'s rows that have it (``rows`` in all).
+
+    Keys with over a ``most``-th of the rows can't be more than ``most``, so that part of ``right`` is broadcast, whatever the corpus;
+    of the other keys none fills a task, so they are shuffled.
+    """
+    limit = max(1, rows // most)
+    heavy, light = right.filter(F.col(weight) > limit).drop(weight), right.filter(F.col(weight) <= limit).drop(weight)
+    names = [c for c in right.columns if c not in (*keys, weight)]
+    met = left.join(F.broadcast(heavy.withColumn("dealt_heavy", F.lit(True))), keys, "left")
+    first = met.filter("dealt_heavy").drop("dealt_heavy")
+    rest = met.filter("dealt_heavy is null").drop("dealt_heavy", *names).join(light, keys, how)
+    return first.unionByName(rest)
 
 
 class Filed:
-    """A table in the shared folder whose row numbers ``rid`` hold their file's number (rid >> 33).
+    """A table in the shared folder whose row numbers ``rid`` hold their file's number (rid >> 33), in small row groups.
 
-    Small rows about its rows are written to a folder for each file, so a task reads a file and what belongs to it, and the large
-    columns are never shuffled.
+    Small rows about its rows are dealt out by file number, so a task reads files and what belongs to them, and large columns are
+    never shuffled. Of a file, only row groups with a wanted row are read, and of files without one, nothing.
     """
 
     def __init__(self, df: DataFrame, name: str, codec: str = "snappy"):
-        self.spark, self.rows = df.sparkSession, stored(df, name, codec)
-        found = self.rows.select(F.expr("shiftright(rid, 33)").alias("pid"), F.input_file_name().alias("path")).distinct().collect()
-        self.files = {r.pid: r.path for r in found}
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.path = shared_dir(self.spark, name)
+        df.write.option("compression", codec).option("parquet.block.size", 4 << 20).parquet(self.path)
+        self.rows = self.spark.read.schema(df.schema).parquet(self.path)
+        self.numbers = self.rows.select(F.expr("shiftright(rid, 33)").alias("pid")).distinct()
+        self.files = (self.numbers.agg(F.max("pid")).first()[0] or 0) + 1
+
+    def tasks(self, beside: DataFrame, all_files: bool = False) -> DataFrame:
+        """``beside`` (columns rid and others), dealt out by file and sorted by rid, pid first; ``all_files``: with a row of rid -1 for every file."""
+        rows = beside.withColumn("pid", F.expr("shiftright(rid, 33)"))
+        if all_files:
+            rows = rows.unionByName(self.numbers.withColumn("rid", F.lit(-1).cast("long")), allowMissingColumns=True)
+        rows = rows.select("pid", *beside.columns)
+        return rows.repartitionById(self.files, F.col("pid").cast("int")).sortWithinPartitions("pid", "rid")
+
+    def reader(self, columns: list[str], every: bool = False):
+        """A function for mapInArrow over ``tasks``: yields (columns of ``beside`` as arrays, record batch of the file's wanted rows) in file order.
+
+        With ``every``, all rows of a file come, wanted or not.
+        """
+        path = self.path
+
+        def run(batches):
+            import pyarrow.parquet as pq
+            from pyarrow import fs as pafs
+
+            fs, root = file_system(path)
+            files = {int(x.base_name.split("-")[1]): x.path for x in fs.get_file_info(pafs.FileSelector(root)) if x.path.endswith(".parquet")}
+            for pid, beside in by_file(batches):
+                wanted = beside["rid"][beside["rid"] >= 0]
+                with fs.open_input_file(files[pid]) as f:
+                    file = pq.ParquetFile(f)
+                    number = next(i for i in range(file.metadata.num_columns) if file.metadata.schema.column(i).path == "rid")  # leaves, not fields
+                    for group in range(file.num_row_groups):
+                        s = file.metadata.row_group(group).column(number).statistics
+                        lo, hi = np.searchsorted(wanted, [s.min, s.max + 1])
+                        if lo == hi and not every:
+                            continue
+                        for part in file.iter_batches(batch_size=256, row_groups=[group], columns=["rid", *columns]):
+                            if not every:
+                                part = part.filter(pa_bool(np.isin(part.column("rid").to_numpy(), wanted[lo:hi])))
+                            if part.num_rows:
+                                yield beside, part
+
+        return run
+
+
+def pa_bool(mask: np.ndarray):
+    import pyarrow as pa
 
-    def tasks(self, beside: DataFrame, name: str) -> DataFrame | None:
-        """A row for each file: pid, texts (the file), beside (the folder of the rows beside it); None for an empty table."""
-        path = shared_dir(self.spark, name)
-        beside.withColumn("pid", F.expr("shiftright(rid, 33)")).repartition("pid").sortWithinPartitions("pid", "rid").write.partitionBy("pid").parquet(path)
-        rows = [(p, f, f"{path}/pid={p}") for p, f in self.files.items()]
-        return self.spark.createDataFrame(rows, "pid long, texts string, beside string").repartition(len(rows), "pid") if rows else None
+    return pa.array(mask, pa.bool_())
 
 
-def read_folder(folder: str, columns: list[str]):
-    """The Parquet files of a folder of the shared store as a table; None if there is none."""
-    import pyarrow as pa
-    import pyarrow.parquet as pq
-    from pyarrow import fs as pafs
+def by_file(batches):
+    """(pid, {column: array}) for each run of equal pid in a task's sorted rows."""
+    pid, held = None, []
+
+    def joined():
+        return {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+
+    for batch in batches:
+        pids = batch.column("pid").to_numpy()
+        columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c != "pid"}
+        for own in np.split(np.arange(len(pids)), np.flatnonzero(np.diff(pids)) + 1):
+            if not len(own):
+                continue
+            if pids[own[0]] != pid and held:
+                yield pid, joined()
+                held = []
+            pid = int(pids[own[0]])
+            held.append({c: x[own] for c, x in columns.items()})
+    if held:
+        yield pid, joined()
+
+
+def lean(run):
+    """A task's function that takes Arrow's buffers from the C heap and gives the heap's free pages back at its end, so a reused worker stays small."""
+
+    def task(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
+
+    return task
+
 
-    fs, name = file_system(folder)
-    files = [x.path for x in fs.get_file_info(pafs.FileSelector(name, allow_not_found=True)) if x.path.endswith(".parquet")]
-    tables = []
-    for x in files:
-        with fs.open_input_file(x) as f:
-            tables.append(pq.ParquetFile(f).read(columns=columns))
-    return pa.concat_tables(tables) if tables else None
+def slices(batch, column: str = "text", rows: int = 200, size: int = 1 << 20):
+    """A batch in slices of at most ``rows`` rows and about ``size`` bytes of ``column``, or one row."""
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    long = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    begin, held = 0, 0
+    for i, n in enumerate(long):
+        if i > begin and (i - begin >= rows or held + n > size):
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += int(n)
+    yield batch.slice(begin)
 
 
 def gathered(batches):
@@ -80,11 +216,25 @@ def gathered(batches):
     return pa.Table.from_batches(batches) if batches else None
 
 
+# Names that Hadoop's and Arrow's file systems have for the same store.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def arrow_uri(uri: str) -> str:
+    """A Hadoop path as Arrow's file systems name it."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon:
+        return f"file://{uri}"
+    if scheme == "file":
+        return "file:///" + rest.lstrip("/")
+    return f"{SCHEMES.get(scheme, scheme)}:{rest}"
+
+
 def file_system(uri: str):
     """(Arrow file system, path in it) of a file on whatever store the shared folder is on."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", uri))
+    return fs.FileSystem.from_uri(arrow_uri(uri))
 
 
 def utf8(column: str = "text"):
@@ -114,6 +264,10 @@ def kept(name: str, make):
     return store[name]
 
 
+#: Texts are hashed in stretches of at most so many bytes, so a worker's tables of powers stay small.
+STRETCH = 1 << 19
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept and grown by doubling."""
     tables = kept("powers", dict)
@@ -121,7 +275,9 @@ def powers(base: int, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         have = np.full(1 << max(12, (n - 1).bit_length()), base, np.uint64)
         have[0] = 1
-        have = tables[base] = np.cumprod(have, dtype=np.uint64)
+        have = np.cumprod(have, dtype=np.uint64)
+        if n <= 4 * STRETCH:
+            tables[base] = have
     return have[:n]
 
 
@@ -156,6 +312,8 @@ class Pieces(dict):
         self.shown_front = "".join([self.letters[b] for b in front.encode()])
 
     def __missing__(self, piece: str) -> bytes:
+        if len(piece) > 64:  # long pieces hardly come twice
+            return whole(self.tokenizer, self.front + piece)
         if len(self) > self.most:
             self.clear()
         if piece.isalpha():
@@ -179,12 +337,12 @@ class Encoder:
     Byte-level pre-tokenization always cuts before a space that precedes a non-space, and makes a token of its own of a line feed
     between non-spaces. A text falls into pieces there, and the ids of pieces seen lately are looked up; the rest go to the
     library. The ids are those of the whole text. A text that holds the string of an added token goes to the library whole, as the
-    token ends a run of spaces before it. ``most`` bounds the pieces kept.
+    token ends a run of spaces before it. ``most`` bounds the number of pieces kept, of 64 characters at most each.
     """
 
     CUT, LINE = re.compile(r" (?=\S)"), re.compile(r"(?<=\S)\n(?=\S)")
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -9,45 +9,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, prefix_hash, span_hash, table
+from .common import STRETCH, lean, slices, table
 
 # The characters of a signature; bytes in the rolling window; most chunks in a signature.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 WINDOW = 7
 MOST = 64
-_CODES = np.frombuffer(ALPHABET.encode(), np.uint8)
+
+
+def boundaries(data: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+    """(level, ends, levels): the smallest level with at most ``MOST`` chunks, the ends of its chunks before the last, and each end's own level.
+
+    A byte ends a chunk of level k if the hash of the 7 bytes up to it has k trailing zero bits. Long texts are hashed in stretches; as
+    the number of ends only grows, the level never falls, and what lies under it can go at once.
+    """
+    level, ends, zeros = 1, np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    for at in range(0, len(data), STRETCH):
+        b = np.frombuffer(data, np.uint8)[max(0, at - WINDOW + 1) : at + STRETCH]
+        roll = np.zeros(len(b), np.uint32)
+        for j in range(min(WINDOW, len(b))):
+            roll[j:] += (b[: len(b) - j].astype(np.uint32) + np.uint32(1)) * np.uint32(pow(0x01000193, j + 1, 1 << 32))
+        roll ^= roll >> np.uint32(15)
+        roll *= np.uint32(0x2C1B3C6D)
+        roll ^= roll >> np.uint32(12)
+        roll = roll[at - max(0, at - WINDOW + 1) :]
+        mine = np.flatnonzero((roll & np.uint32((1 << min(level, 32)) - 1)) == 0)
+        ends, zeros = np.concatenate([ends, mine + at + 1]), np.concatenate([zeros, roll[mine]])
+        while len(ends) + 1 > MOST and level < 32:
+            level += 1
+            more = (zeros & np.uint32((1 << level) - 1)) == 0
+            ends, zeros = ends[more], zeros[more]
+        ends, zeros = ends[: MOST - 1], zeros[: MOST - 1]  # only if hashes are all 0: what follows is the last chunk
+    return level, ends, zeros
 
 
 def fingerprint(data: bytes) -> str:
     """``level:signature:signature`` of a whole byte string.
 
-    A boundary of level k follows each byte where the hash of the last 7 bytes has k trailing zero bits, so level k's boundaries are
-    among level k-1's and chunks have 2**k bytes on average. The level is the smallest with at most 64 chunks; the two signatures
-    hold two characters (12 bits of the chunk's hash) for each chunk at that level and the next.
+    Level k's boundaries are among level k-1's, and its chunks have 2**k bytes on average. The level is the smallest with at most 64
+    chunks; the two signatures hold two characters (12 bits of the chunk's digest) for each chunk at that level and the next.
     """
     if not data:
         return "0::"
-    b = np.frombuffer(data, np.uint8)
-    roll = np.zeros(len(b), np.uint32)
-    for j in range(min(WINDOW, len(b))):
-        roll[j:] += (b[: len(b) - j].astype(np.uint32) + np.uint32(1)) * np.uint32(pow(0x01000193, j + 1, 1 << 32))
-    roll ^= roll >> np.uint32(15)
-    roll *= np.uint32(0x2C1B3C6D)
-    roll ^= roll >> np.uint32(12)
-    level = 1
-    at = np.flatnonzero((roll & np.uint32(1)) == 0)
-    zeros = roll[at]
-    while len(at) + 1 > MOST:
-        level += 1
-        more = (zeros & np.uint32((1 << level) - 1)) == 0
-        at, zeros = at[more], zeros[more]
-    prefix = prefix_hash(b)
+    level, ends, zeros = boundaries(data)
     out = [str(level)]
     for k in (level, level + 1):
-        cut = at[(zeros & np.uint32((1 << k) - 1)) == 0] + 1
-        ends = cut if len(cut) and cut[-1] == len(b) else np.append(cut, len(b))
-        h = span_hash(prefix, np.concatenate([[0], ends[:-1]]), ends) >> np.uint64(52)
-        out.append(_CODES[np.stack([h >> np.uint64(6), h & np.uint64(63)], 1).astype(np.int64)].tobytes().decode())
+        cut = ends[(zeros & np.uint32((1 << min(k, 32)) - 1)) == 0].tolist()
+        if not cut or cut[-1] != len(data):
+            cut.append(len(data))
+        chunks = [hashlib.blake2b(data[i:j], digest_size=2).digest() for i, j in zip([0, *cut], cut)]
+        out.append("".join([ALPHABET[c[0] & 63] + ALPHABET[c[1] & 63] for c in chunks]))
     return ":".join(out)
 
 
@@ -89,7 +100,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             texts = batch.column("text").to_pylist()
             yield pa.record_batch([batch.column("doc_id"), pa.array([fingerprint((t or "").encode()) for t in texts])], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, fingerprint string")
 
 
 def in_sequence(docs: DataFrame, buckets: int) -> DataFrame:
@@ -139,8 +150,7 @@ def edited_fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFram
 
         bucket = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
+            for some in slices(batch):
                 for b, after, doc_id, text in zip(*(some.column(c).to_pylist() for c in ("bucket", "after", "doc_id", "text"))):
                     if b != bucket:
                         bucket, held = b, None
@@ -154,7 +164,7 @@ def edited_fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFram
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names=[c.split()[0] for c in OUT.split(", ")])
                     rows = []
 
-    return in_sequence(docs, buckets).mapInArrow(run, OUT)
+    return in_sequence(docs, buckets).mapInArrow(lean(run), OUT)
 
 
 def op3_ctph(spark, sf_dir: str) -> DataFrame:

@@ -11,24 +11,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, stored, table
+from .common import lean, mix64, slices, stored, table
 
 OTHER = re.compile(r"[\W\d_]+")
 GRAM = 4
 CHUNK = 4096
+PART = 1 << 19
 
 
-def grams(text: str | None) -> np.ndarray:
-    """The text's 4-byte windows: lower case, in UTF-8, a space for whatever isn't a letter; none if it has no letter."""
+def letters_of(text: str | None) -> bytes:
+    """The text in lower case and UTF-8, a space for each run of other characters than letters, and one at both ends; empty if it has no letter."""
     letters = OTHER.sub(" ", (text or "").lower()).strip()
-    if not any(map(str.isalpha, letters)):
-        return np.zeros(0, np.uint32)
-    b = np.frombuffer(f" {letters} ".encode(), np.uint8).astype(np.uint32)
-    if len(b) < GRAM:
-        b = np.concatenate([b, np.full(GRAM - len(b), 32, np.uint32)])
+    return f" {letters} ".encode() if any(map(str.isalpha, letters)) else b""
+
+
+def grams(data: bytes) -> np.ndarray:
+    """The 4-byte windows of what ``letters_of`` gives; what is shorter is filled up with spaces."""
+    b = np.frombuffer(data.ljust(GRAM) if data else b"", np.uint8).astype(np.uint32)
+    if not len(b):
+        return b
     return b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16) | b[3:] << np.uint32(24)
 
 
+def stretches(text: str | None):
+    """The n-grams of a text, half a million at a time."""
+    data = letters_of(text)
+    for at in range(0, max(1, len(data) - GRAM + 1) if data else 0, PART):
+        yield grams(data[at : at + PART + GRAM - 1])
+
+
 def slots(g: np.ndarray, i: int, bits: int) -> np.ndarray:
     """Where hash function ``i`` puts n-grams in a filter of 2**bits rows: double hashing of one 64-bit mix."""
     h = mix64(g.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
@@ -49,8 +60,8 @@ class Filters:
         full = np.array([((self.rows[i >> 6] >> self.rows.dtype.type(i & 63)) & self.rows.dtype.type(1)).sum() / n for i in range(len(self.languages))])
         self.wrong = full**self.hashes
 
-    def hits(self, g: np.ndarray) -> np.ndarray:
-        """For each language, the number of n-grams it holds, less what false positives are expected to add."""
+    def raw(self, g: np.ndarray) -> np.ndarray:
+        """For each language, the number of n-grams that its filter has, false positives among them."""
         bits = self.rows.shape[1].bit_length() - 1
         at = [slots(g, i, bits) for i in range(self.hashes)]
         raw = []
@@ -63,17 +74,18 @@ class Filters:
                 raw += [int(counts[(np.arange(256) >> i & 1) == 1].sum()) for i in range(8)]
             else:
                 raw += [int(((mask >> row.dtype.type(i)) & row.dtype.type(1)).sum()) for i in range(row.dtype.itemsize * 8)]
-        raw = np.array(raw[: len(self.languages)], float)
-        return np.maximum(raw - len(g) * self.wrong, 0) / (1 - np.minimum(self.wrong, 0.999))
+        return np.array(raw[: len(self.languages)], float)
 
     def decide(self, text: str | None) -> tuple[str, float, float]:
-        """(language, score, share of the text's n-grams that the language is known to hold)."""
-        g = grams(text)
-        if not len(g) or not self.languages:
+        """(language, score, share of the text's n-grams that the language is known to hold), by numbers of n-grams less what false positives are expected to add."""
+        n, raw = 0, np.zeros(len(self.languages))
+        for g in stretches(text):
+            n, raw = n + len(g), raw + self.raw(g)
+        if not n or not self.languages:
             return "und", 0.0, 0.0
-        hits = self.hits(g)
+        hits = np.maximum(raw - n * self.wrong, 0) / (1 - np.minimum(self.wrong, 0.999))
         best = int(np.argmax(hits))
-        return self.languages[best], float(hits[best] / hits.sum()) if hits.sum() else 0.0, float(min(1.0, hits[best] / len(g)))
+        return self.languages[best], float(hits[best] / hits.sum()) if hits.sum() else 0.0, float(min(1.0, hits[best] / n))
 
 
 def fit(docs: DataFrame, bits: int = 21, hashes: int = 4, least_rate: float = 2e-6, near_top: float = 0.5) -> Filters:
@@ -82,6 +94,9 @@ def fit(docs: DataFrame, bits: int = 21, hashes: int = 4, least_rate: float = 2e
     A language holds an n-gram that makes up at least ``least_rate`` of its n-grams (so 1 / least_rate of them at most, however
     much text there is) and ``near_top`` of the rate where it is most frequent, if two different texts of the language have it: a text
     and its copies don't vouch for themselves. The driver gets the filter alone, 2**bits rows.
+
+    Null, empty and letterless texts add nothing; repeated rows count again; long texts are taken in stretches; other columns are
+    ignored. Of a table without labelled texts, filters hold no language, and every text is ``und``.
     """
     docs = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null")
     docs = docs.withColumn("mark", F.xxhash64("text"))
@@ -102,12 +117,11 @@ def fit(docs: DataFrame, bits: int = 21, hashes: int = 4, least_rate: float = 2e
             return g[at], np.add.reduceat(n[order], at), np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at)
 
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            for lo in range(0, len(langs), 500):
+            for some in slices(batch):
                 by: dict[str, list] = {}
-                for lang, text, mark in zip(langs[lo : lo + 500], batch.column("text").slice(lo, 500).to_pylist(), batch.column("mark").slice(lo, 500).to_pylist()):
-                    g = grams(text)
-                    by.setdefault(lang, []).append((g, np.full(len(g), mark, np.int64)))
+                for lang, text, mark in zip(*(some.column(c).to_pylist() for c in ("lang", "text", "mark"))):
+                    for g in stretches(text):
+                        by.setdefault(lang, []).append((g, np.full(len(g), mark, np.int64)))
                 for lang, found in by.items():
                     g, marks = (np.concatenate(x) for x in zip(*found))
                     if len(g):
@@ -119,12 +133,12 @@ def fit(docs: DataFrame, bits: int = 21, hashes: int = 4, least_rate: float = 2e
                             held -= sum(len(p[0]) for p in parts)
                             sums[lang] = [added(*(np.concatenate(x) for x in zip(*parts)))]
                             held += len(sums[lang][0][0])
-                if held > 4_000_000:
+                if held > 1_000_000:
                     yield from flush()
                     sums, held = {}, 0
         yield from flush()
 
-    counts = stored(docs.mapInArrow(count, "lang string, gram long, n long, lo long, hi long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "grams")
+    counts = stored(docs.mapInArrow(lean(count), "lang string, gram long, n long, lo long, hi long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "grams")
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
     kind = next(t for t, most in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 1 << 30)) if len(languages) <= most)
@@ -158,20 +172,24 @@ def fit(docs: DataFrame, bits: int = 21, hashes: int = 4, least_rate: float = 2e
 
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
-    """Adds lang_pred, score and known to ``docs``. Null texts and texts without a letter are ``und`` (score 0)."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2**bits rows, whatever the corpus
+    """Adds lang_pred, score and known to ``docs``, in place of columns of these names.
+
+    Null texts and texts without a letter are ``und`` (score 0), as is everything if no language is known; of languages with equally
+    many n-grams, the first by code point is taken. Each row is judged for itself; long texts are taken in stretches; an empty table
+    gives no rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.rows, filters.hashes))  # 2**bits rows, whatever the corpus
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "known")]
     docs = docs.select(*names)
 
     def run(batches):
+        own = Filters(*shared.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                some = batch.slice(lo, 1000)
-                said = [shared.value.decide(t) for t in some.column("text").to_pylist()]
-                lang, score, known = zip(*said)
+            for some in slices(batch):
+                lang, score, known = zip(*[own.decide(t) for t in some.column("text").to_pylist()])
                 yield pa.record_batch([*some.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64())], names=[*some.schema.names, "lang_pred", "score", "known"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType())]))
 
 
 def remainder(n: int, column: str = "doc_id"):

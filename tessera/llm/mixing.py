@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, stored, table
+from .common import lean, mix64, stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLOTS = "source_no int, block long, epoch int, shard int, slot long"
@@ -84,7 +84,7 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: fl
                 at += n
             yield pa.record_batch([pa.array([part] * len(starts), pa.int32()), *batch.columns, pa.array(starts, pa.int64())], names=["part", *batch.schema.names, "start"])
 
-    local = stored(sized.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(running, "part int, doc_id long, source string, size long, start long"), "layout")
+    local = stored(sized.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(running), "part int, doc_id long, source string, size long, start long"), "layout")
     parts = local.groupBy("part", "source").agg(F.sum("size").alias("size")).collect()
     names = sorted({x.source for x in parts}, key=lambda s: (s is None, s or ""))
     number = {s: i for i, s in enumerate(names)}
@@ -119,7 +119,7 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: fl
                 n = len(j)
                 yield pa.record_batch([pa.array(np.full(n, x["source_no"]), pa.int32()), pa.array(block), pa.array(epoch, pa.int32()), pa.array(np.full(n, x["shard"]), pa.int32()), pa.array(slot)], names=[c.split()[0] for c in SLOTS.split(", ")])
 
-    placed = plan.mapInArrow(place, SLOTS)
+    placed = plan.mapInArrow(lean(place), SLOTS)
     last = f"(start + size - 1) div {block_words}"
     cut = documents.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block_words}, {last})")))
     cut = cut.select("source_no", "block", "doc_id", F.col("start").alias("doc_start"), F.expr(f"greatest(block * {block_words} - start, 0L)").alias("word"), F.expr(f"least(start + size, (block + 1) * {block_words}) - greatest(start, block * {block_words})").alias("words"))
@@ -131,26 +131,27 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: for each document and pass, a row with the words taken, and the document's other columns.
 
     A document taken whole gives its text as it is; of one taken in part, each stretch of consecutive blocks gives its slice of the
-    text, and stretches are joined by a line feed. Texts without words aren't taken. A row goes
-    by the shard and slot of its first words: rows are dealt out by a hash of the shard, and lie by shard and slot in
-    a partition, those of one slot in the order of the input.
+    text, and stretches are joined by a line feed. Texts that are null, empty or without words aren't taken; repeated rows count each
+    for itself; columns of any names come back as they are; an empty table gives no rows. A long text is in one task as a whole, with
+    the places of its words. A row goes by the shard and slot of its first words: rows are dealt out by a hash of the shard, and lie
+    by shard and slot in a partition, those of one slot in the order of the input.
     """
-    spark = docs.sparkSession
-    numbered = stored(docs.withColumn("mix_row", F.monotonically_increasing_id()), "mix-input")
-    documents, pieces = mix(numbered.select(F.col("mix_row").alias("doc_id"), "text", "source"), **options)
+    numbered = stored(docs.select(F.struct(*docs.columns).alias("mix_doc"), F.monotonically_increasing_id().alias("mix_row")), "mix-input")
+    documents, pieces = mix(numbered.select(F.col("mix_row").alias("doc_id"), F.col("mix_doc.text").alias("text"), F.col("mix_doc.source").alias("source")), **options)
     taken = pieces.groupBy("doc_id", "epoch").agg(F.sort_array(F.collect_list(F.struct("word", "words"))).alias("spans"), F.sum("words").alias("n"), F.min_by(F.struct("shard", "slot"), "word").alias("place"))
     whole = documents.filter("size > 0").select(F.col("doc_id").alias("mix_row"), "size")
     rows = taken.withColumnRenamed("doc_id", "mix_row").join(whole, "mix_row").join(numbered, "mix_row")
-    names = docs.columns
+    names, at_text = docs.columns, docs.columns.index("text")
 
     def cut(batches):
         import re
 
         word = re.compile(WORD)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                some, texts = batch.slice(lo, 500), []
-                for text, spans, n, size in zip(*(some.column(c).to_pylist() for c in ("text", "spans", "n", "size"))):
+            for lo in range(0, batch.num_rows, 100):
+                some, texts = batch.slice(lo, 100), []
+                own = some.column("mix_doc").flatten()
+                for text, spans, n, size in zip(own[at_text].to_pylist(), *(some.column(c).to_pylist() for c in ("spans", "n", "size"))):
                     if n < size:
                         at, parts, lines = [m.span() for m in word.finditer(text)], [], []
                         for s in spans:
@@ -160,10 +161,10 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
                                 parts.append([s["word"], s["word"] + s["words"]])
                         text = "\n".join(text[at[a][0] : at[b - 1][1]] for a, b in parts)
                     texts.append(text)
-                yield pa.record_batch([pa.array(texts, pa.string()) if c == "text" else some.column(c) for c in names], names=names)
+                yield pa.record_batch([pa.array(texts, pa.string()) if i == at_text else x for i, x in enumerate(own)], names=names)
 
-    dealt = rows.select(*names, "spans", "n", "size", "place", "mix_row").repartition("place.shard").sortWithinPartitions("place.shard", "place.slot", "mix_row")
-    return dealt.mapInArrow(cut, docs.schema)
+    dealt = rows.select("mix_doc", "spans", "n", "size", "place", "mix_row").repartition("place.shard").sortWithinPartitions("place.shard", "place.slot", "mix_row")
+    return dealt.mapInArrow(lean(cut), docs.schema)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -1,14 +1,16 @@
-"""Jaccard join of documents' word shingles by an index of group-count vectors.
+"""Jaccard join of documents' word shingles by R-trees of group-count vectors.
 
 Shingles are hashed to groups, and a document's counts by group are a point. The overlap of two sets is at most the sum, over any
 division of the hash space into groups, of the smaller counts. The index has two levels:
 
-* Fine groups, cut into bands. Linked sets differ in at most D shingles ((1-t)/(1+t) of their sizes' sum), so of D+1+s bands 1+s at
-  least agree in all of their coordinates: points that agree on a band are a *cell*, a box of no extent in those coordinates. With
-  all cells in one order, by how full they are, sets that agree on 1+s share one among each one's D+1 emptiest cells, so a set leaves
-  its s fullest cells: those are what a passage makes that many documents share.
-* In a cell, an R-tree of coarse counts, packed by sort-tile-recursive: a box's upper corner bounds the overlap with all below it by
-  summed coordinate minima. Pairs that survive are bounded once more by finer counts, and then verified on the shingles themselves.
+* The space of fine group counts is cut into bands of coordinates. Linked sets differ in at most D shingles ((1-t)/(1+t) of their
+  sizes' sum), so of D+1+s bands 1+s at least agree in all of their counts: points that agree on a band are a *cell*, a box of no
+  extent in those coordinates. With all cells in one order, by how full they are, sets that agree on 1+s share one among each
+  one's D+1 emptiest cells, so a set leaves its s fullest cells: those are what a passage makes that many documents share.
+* Each cell's points stand in an R-tree of coarse counts, packed by sort-tile-recursive: a box's upper corner bounds the overlap with
+  all below it by summed coordinate minima. The tree is joined with itself; every pair that is ever verified comes out of it.
+
+Pairs that survive are bounded once more by finer counts, and then verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -19,9 +21,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Filed, file_system, gathered, kept, mix64, prefix_hash, read_folder, span_hash, stored, table
+from .common import STRETCH, Filed, dealt_join, dropped, gathered, kept, lean, mix64, pa_bool, prefix_hash, slices, span_hash, stored, table
 
 COORDINATES = 64
+FINE = 1 << 20  # groups in a band
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -29,13 +32,27 @@ _LOWER[65:91] += 32
 ODD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of a text's words, in order; long texts are taken in stretches that end at a space, if there is one."""
+    out, at = [], 0
+    while at < len(data):
+        end = at + STRETCH
+        if end < len(data):
+            while end < len(data) and not _SPACE[data[end]]:
+                end += 1
+        b = _LOWER[np.frombuffer(data, np.uint8, min(end, len(data)) - at, at)]
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[b], [True]]).astype(np.int8)))
+        if len(edge):
+            out.append(span_hash(prefix_hash(b), edge[0::2], edge[1::2]))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def shingles(data: bytes, words: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct ``words``-word shingles of a text in UTF-8; of the whole sequence, if it has fewer words."""
-    b = _LOWER[np.frombuffer(data, np.uint8)]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[b], [True]]).astype(np.int8)))
-    if not len(edge):
-        return np.zeros(0, np.uint64)
-    w = span_hash(prefix_hash(b), edge[0::2], edge[1::2])
+    w = word_hashes(data)
+    if not len(w):
+        return w
     n = min(words, len(w))
     h = np.full(len(w) - n + 1, n, np.uint64)
     for i in range(n):
@@ -63,31 +80,48 @@ def spare(d: int) -> int:
     return max(1, -(-3 * d // 10))
 
 
-def band_keys(h: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the cells that a set is in, and for each the number of its class's cells that it can do without. Sets so small that only equal ones link are in none.
+def classes_of(a: int, threshold: float) -> list[tuple[int, int, int]]:
+    """(class, bands, D) of the classes that a set of ``a`` shingles is in: its own, and the next if a larger partner could be there."""
+    classes, out = layouts(threshold), []
+    k = next(i for i, (lo, hi, _) in enumerate(classes) if a < hi) if a else 0
+    for j in (k, k + 1) if a else ():
+        lo, hi, bands = classes[j]
+        if bands and (j == k or int(a / threshold + 1e-9) >= lo):
+            out.append((j, bands, int(2 * (hi - 1) * (1 - threshold) / (1 + threshold) + 1e-9)))
+    return out
+
 
-    A key's last bit is that of its class, so a set's keys of its two classes can be told apart.
+def spare_cells(h: np.ndarray, threshold: float) -> list[int]:
+    """How many of the cells of its even and of its odd class a set can do without."""
+    out = [0, 0]
+    for j, bands, d in classes_of(len(h), threshold):
+        taken = len(np.unique(((h >> np.uint64(32)) * np.uint64(bands)) >> np.uint64(32)))
+        out[j & 1] = max(0, taken - d - 1)
+    return out
 
-    A set is in the cells of its size's class, and of the next class if a larger partner could be there. Bands without shingles agree
-    among strangers, so they make no cell: of two linked sets, one with few empty bands (no more than there are spare ones) is
-    sure to agree with the other on a band that isn't empty. Sets with more empty bands also have cells for those.
+
+def band_keys(h: np.ndarray, threshold: float, fine: int = FINE) -> np.ndarray:
+    """Keys of the cells that a set is in. Sets so small that only equal ones link are in none.
+
+    A shingle's high 32 bits give its band and, in it, one of ``fine`` groups. A cell's key is a linear hash of the band's group
+    counts: the sum of counts, each times its group's constant. A key's last bit is that of its class, so a set's keys of its two
+    classes can be told apart.
+
+    Bands without shingles agree among strangers, so they make no cell: of two linked sets, one with few empty bands (no more than
+    there are spare ones) is sure to agree with the other on a band that isn't empty. Sets with more empty bands also have cells
+    for those.
     """
-    a, out = len(h), []
-    classes = layouts(threshold)
-    k = next(i for i, (lo, hi, _) in enumerate(classes) if a < hi) if a else 0
-    for j in (k, k + 1) if a else ():
-        lo, _, bands = classes[j]
-        if not bands or j > k and int(a / threshold + 1e-9) < lo:
-            continue
-        limit = np.searchsorted(((h >> np.uint64(32)) * np.uint64(bands)) >> np.uint64(32), np.arange(bands + 1))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h ^ ODD[1]), dtype=np.uint64)])
+    out = []
+    for j, bands, d in classes_of(len(h), threshold):
+        place = (h >> np.uint64(32)) * np.uint64(bands)
+        limit = np.searchsorted(place >> np.uint64(32), np.arange(bands + 1))
+        group = ((place & np.uint64(0xFFFFFFFF)) * np.uint64(fine)) >> np.uint64(32)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(group ^ ODD[1]), dtype=np.uint64)])
         n = np.diff(limit)
-        key = mix64(mix64(sums[limit[1:]] - sums[limit[:-1]] + np.uint64(j * int(ODD[2]) % (1 << 64))) + (np.arange(bands, dtype=np.uint64) * np.uint64(1 << 20) + n.astype(np.uint64)) * ODD[0])
-        d = int(2 * (classes[j][1] - 1) * (1 - threshold) / (1 + threshold) + 1e-9)
+        key = mix64(mix64(sums[limit[1:]] - sums[limit[:-1]] + np.uint64(j * int(ODD[2]) % (1 << 64))) + np.arange(bands, dtype=np.uint64) * ODD[0])
         key = key & ~np.uint64(1) | np.uint64(j & 1)
-        own = key if (n == 0).sum() > spare(d) else key[n > 0]
-        out.append((own, np.full(len(own), max(0, (n > 0).sum() - d - 1), np.int32)))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        out.append(key if (n == 0).sum() > spare(d) else key[n > 0])
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def point(h: np.ndarray, groups: int | None = None) -> bytes:
@@ -168,7 +202,7 @@ def leaf_pairs(points: np.ndarray, sizes: np.ndarray, label: np.ndarray, a: np.n
 def components(edges: DataFrame, name: str) -> DataFrame:
     """node, comp (the smallest node that links reach) of nodes with edges (u, v): large-star and small-star rounds until nothing changes.
 
-    Every round is written to the shared folder. Smallest neighbours are pre-aggregated.
+    Every round is written to the shared folder, and the one before it deleted. Smallest neighbours are pre-aggregated.
     """
     both = lambda e: e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     edges = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
@@ -180,7 +214,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         large = around.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
-        edges = stored(small.filter("u <> v").distinct(), name)
+        edges = stored(small.filter("u <> v").distinct(), name, instead_of=edges)
         now = sign(edges)
         if now == seen:
             break
@@ -208,37 +242,87 @@ def _groups(batches, keys: list[str]):
         yield key, held
 
 
-def _sorted_cells(batches):
-    """Rows of a bucket, of keys that come twice, and of those at its ends, which may go on in the next bucket."""
-    rows = gathered(batches)
-    if rows is None:
-        return
-    key, node, extra = (rows.column(c).to_numpy() for c in ("key", "node", "extra"))
-    by = np.lexsort((node, key))
-    key, node, extra = key[by], node[by], extra[by]
-    run = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-    n = np.bincount(run)
-    keep = n > 1
-    keep[[0, -1]] = True
-    keep = keep[run]
-    yield pa.record_batch([pa.array(key[keep]), pa.array(node[keep]), pa.array(extra[keep])], names=["key", "node", "extra"])
+def _first_partner(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of rows (a < b), for each b the one with the smallest a: a forest among what could link, one pair a row at most."""
+    by = np.lexsort((a, b))
+    a, b = a[by], b[by]
+    new = np.concatenate([[True], b[1:] != b[:-1]]) if len(b) else np.zeros(0, bool)
+    return a[new], b[new]
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = 0.9, words: int = 3, bucket_rows: int = 400_000, block: int = 1024) -> tuple[DataFrame, Filed]:
-    """Returns the rows of ``docs``, without text, and rid, n_shingles and comp; and the file that texts can be had from. comp is equal for documents that links of Jaccard similarity ``threshold`` or more connect.
+def tree_join(groups: list, threshold: float, forest: bool):
+    """Pairs (u, v) of nodes out of the trees of some cells: small cells are a leaf each and are joined together, a large one has a tree of its own.
+
+    With ``forest``, of the pairs that the bound leaves, one for each node: that with the first node of its cell, if it is among
+    them. Without, all pairs of nodes in different components, one of them at least ``apart``.
+    """
+    share, sizes = threshold / (1 + threshold), [len(c["node"]) for _, c in groups]
+    column = lambda name: np.array([x for _, c in groups for x in c[name]])
+    node = column("node")
+    label, apart = (np.arange(len(node)), np.ones(len(node), bool)) if forest else (column("comp"), column("apart"))
+    points = np.stack([coordinates(p) for _, c in groups for p in c["corner"]]).astype(np.int32)
+    if len(groups) == 1:
+        found = RTree(points).pairs(threshold, label)
+    else:
+        begin = np.cumsum([0, *sizes[:-1]])
+        every = [np.stack(np.triu_indices(n, 1)) + at for n, at in zip(sizes, begin)]
+        found = [leaf_pairs(points, points.sum(1), label, *np.concatenate(every, 1), share)]
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*[(np.minimum(x, y), np.maximum(x, y)) for x, y, _ in found] or [((), ())]))
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    if forest:
+        a, b = _first_partner(a, b)
+    else:
+        good = apart[a] | apart[b]
+        a, b = a[good], b[good]
+    return pa.record_batch([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["u", "v"])
+
+
+def joined_cells(threshold: float, forest: bool, keys: list[str]):
+    """``tree_join`` over a task's cells, which come sorted by ``keys``; small ones by some ten thousand pairs at a time."""
+
+    def run(batches):
+        small, pairs = [], 0
+        for group in _groups(batches, keys):
+            m = len(group[1]["node"])
+            if m > 64:
+                yield tree_join([group], threshold, forest)
+                continue
+            small.append(group)
+            pairs += m * m // 2
+            if pairs > 50_000:
+                yield tree_join(small, threshold, forest)
+                small, pairs = [], 0
+        if small:
+            yield tree_join(small, threshold, forest)
+
+    return run
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = 0.9, words: int = 3, bucket_rows: int = 400_000, block: int = 1024, fine: int = FINE, counts: dict | None = None) -> tuple[DataFrame, DataFrame, Filed, list[str]]:
+    """Classes of documents that links of Jaccard similarity ``threshold`` or more connect.
 
     Words are runs of other characters than space, tab, line feed, vertical tab, form feed and carriage return, A-Z in lower case; a
     document's set holds its distinct ``words``-word shingles, or its whole sequence if it has fewer words. Null texts count as empty;
-    empty sets link with nothing; repeated rows link by their equal sets; a table without rows gives none. Columns of ``docs`` keep
-    their values, but for n_shingles and comp; ``rid`` is added: a number of the row.
-
-    Equal sets are joined by a 128-bit hash first; the index holds each distinct set once. A cell's members are each held against its
-    first one; after that, only members not yet connected with each other are (in blocks of ``block``, if there are many), which
-    changes no component. No pair is left unverified on its way into a component, no group's pairs are all listed.
+    empty sets link with nothing; repeated rows link by their equal sets; a table without rows gives none; very long texts are hashed
+    in stretches. ``docs`` may have any columns, those of the result's names too.
+
+    Returns (rows, sets, file, names): ``rows`` has ``row`` (a struct of the columns of ``docs``, without text), rid (a number of the
+    row), n_shingles, set1, set2; ``sets`` has set1, set2, n_shingles, copies, comp (equal for linked sets), component_id (smallest
+    doc_id of the component) and best (rid of the row that has it; null doc_ids last). Empty sets are in ``rows`` alone.
+
+    Equal sets are joined by a 128-bit hash first; the index holds each distinct set once. Cells are joined twice. First every
+    cell's tree gives one pair for each node, the first partner that the bound leaves it; then, of cells whose nodes verified links
+    don't connect, all pairs between nodes of different components that the bound leaves, but for those between two nodes of
+    the cell's largest component, which are connected (in blocks of ``block``, if there are many). So no pair gets into a
+    component unverified, no link between components is lost, and no group's pairs are all listed. ``counts``, if given, gets the
+    numbers of pairs that the trees gave and of those verified.
     """
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c not in ("text", "n_shingles", "comp", "rid")]
-    docs = docs.select(*names, F.col("text").cast("string").alias("text"))
+    names = [c for c in docs.columns if c != "text"]
+    if not names:
+        docs, names = docs.select("text", F.lit(0).alias("no_column")), ["no_column"]
+    ident = F.col("doc_id").cast("long") if "doc_id" in names else F.lit(None).cast("long")
+    docs = docs.select(F.struct(*names).alias("row"), ident.alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def first(batches):
         import zstandard
@@ -246,87 +330,110 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.9, words: int = 3, buc
 
         rid, pack = TaskContext.get().partitionId() << 33, zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                some = batch.slice(lo, 200)
+            for some in slices(batch):
                 texts = [(t or "").encode() for t in some.column("text").to_pylist()]
                 sets = [shingles(t, words) for t in texts]
-                first = [int(mix64(h * ODD[1]).sum(dtype=np.uint64).view(np.int64)) for h in sets]
-                second = [int(mix64(h * ODD[2]).sum(dtype=np.uint64).view(np.int64)) for h in sets]
-                columns = [pa.array(np.arange(rid, rid + len(texts))), pa.array(list(map(len, sets)), pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64())]
-                keys = [band_keys(h, threshold) for h in sets]
-                columns += [pa.array([k.view(np.int64) for k, _ in keys], pa.list_(pa.int64())), pa.array([x for _, x in keys], pa.list_(pa.int32())), pa.array([pack.compress(t) for t in texts], pa.binary())]
-                yield pa.record_batch([*(some.column(c) for c in names), *columns], names=[*names, "rid", "n_shingles", "set1", "set2", "keys", "extra", "ztext"])
+                marks = [[int(mix64(h * odd).sum(dtype=np.uint64).view(np.int64)) for h in sets] for odd in ODD[1:]]
+                spares = [spare_cells(h, threshold) for h in sets]
+                columns = [np.arange(rid, rid + len(texts)), list(map(len, sets)), *marks, [x for x, _ in spares], [x for _, x in spares]]
+                yield pa.record_batch([some.column("row"), some.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns), pa.array([pack.compress(t) for t in texts], pa.binary())], names=["row", "doc_id", "rid", "n_shingles", "set1", "set2", "spare0", "spare1", "ztext"])
                 rid += len(texts)
 
-    added = T._parse_datatype_string("rid long, n_shingles long, set1 long, set2 long, keys array<long>, extra array<int>, ztext binary")
-    have = Filed(docs.mapInArrow(first, T.StructType([*(docs.schema[c] for c in names), *added])), "shingled")
-    same = stored(have.rows.filter("n_shingles > 0").groupBy("set1", "set2", "n_shingles").agg(F.min("rid").alias("node"), F.count("*").alias("copies")), "sets")
-
-    def emit(batches):
-        import pyarrow.parquet as pq
+    added = T._parse_datatype_string("rid long, n_shingles long, set1 long, set2 long, spare0 long, spare1 long, ztext binary")
+    have = Filed(docs.mapInArrow(lean(first), T.StructType([docs.schema["row"], docs.schema["doc_id"], *added])), "shingled")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("best")
+    same = have.rows.filter("n_shingles > 0").groupBy("set1", "set2", "n_shingles").agg(F.min("rid").alias("node"), F.count("*").alias("copies"), F.min("spare0").alias("spare0"), F.min("spare1").alias("spare1"), best)
+    same = stored(same, "sets")
+    read = have.reader(["ztext"])
 
-        for batch in batches:
-            for texts, where in zip(batch.column("texts").to_pylist(), batch.column("beside").to_pylist()):
-                own = read_folder(where, ["rid"])
-                own = np.sort(own.column("rid").to_numpy()) if own is not None else np.zeros(0, np.int64)
-                fs, name = file_system(texts)
-                with fs.open_input_file(name) as f:
-                    for part in pq.ParquetFile(f).iter_batches(batch_size=256, columns=["rid", "keys", "extra"]):
-                        part = part.filter(pa.array(np.isin(part.column("rid").to_numpy(), own)))
-                        lists = part.column("keys")
-                        n = np.diff(lists.offsets.to_numpy())
-                        yield pa.record_batch([lists.flatten(), pa.array(np.repeat(part.column("rid").to_numpy(), n)), part.column("extra").flatten()], names=["key", "node", "extra"])
-
-    cell = "key long, node long, extra int"
-    nothing = spark.createDataFrame([], cell)
-    todo = have.tasks(same.select(F.col("node").alias("rid")), "kept-sets")
-    total = have.rows.agg(F.sum(F.size("keys"))).first()[0] or 0
-    keys = nothing if todo is None else todo.mapInArrow(emit, cell).repartitionByRange(max(1, -(-total // bucket_rows)), "key", "node").mapInArrow(_sorted_cells, cell)
-    cells = stored(keys, "cells")
-    full = cells.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    fullest = Window.partitionBy("node", F.expr("key & 1")).orderBy(F.desc("m"), F.desc("key"))
-    cells = stored(cells.join(full, "key").withColumn("rank", F.row_number().over(fullest)).filter("rank > extra").select("key", "node"), "cells")
-    mark = [F.bit_xor(F.xxhash64(F.col("node"), F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
-    heads = cells.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("m"), *mark).filter("m > 1")
-    heads = heads.groupBy("head", "m", "mark1", "mark2").agg(F.min("key").alias("key")).select("key", "head", "m")  # of cells with the same members, one
-    cells = stored(cells.join(heads, "key"), "cells")
-
-    def fetch(rids: DataFrame, what: str, name: str) -> DataFrame:
+    def fetch(rids: DataFrame, what: str) -> DataFrame:
         """node and ``what`` (corner: a point of few groups; point; hashes) of the rows numbered in ``rids``, made anew from their texts."""
-        made = {"corner": lambda h: point(h, COORDINATES), "point": point, "hashes": np.ndarray.tobytes}[what]
+        make = {"corner": lambda h: point(h, COORDINATES), "point": point, "hashes": np.ndarray.tobytes}[what]
 
         def run(batches):
-            import pyarrow.parquet as pq
             import zstandard
 
             unpack = zstandard.ZstdDecompressor()
-            for batch in batches:
-                for texts, where in zip(batch.column("texts").to_pylist(), batch.column("beside").to_pylist()):
-                    own = read_folder(where, ["rid"])
-                    if own is None:
-                        continue
-                    own = np.sort(own.column("rid").to_numpy())
-                    fs, path = file_system(texts)
-                    with fs.open_input_file(path) as f:
-                        for part in pq.ParquetFile(f).iter_batches(batch_size=500, columns=["rid", "ztext"]):
-                            part = part.filter(pa.array(np.isin(part.column("rid").to_numpy(), own)))
-                            found = [made(shingles(unpack.decompress(z), words)) for z in part.column("ztext").to_pylist()]
-                            yield pa.record_batch([part.column("rid"), pa.array(found, pa.binary())], names=["node", what])
-
-        return have.tasks(rids.distinct(), name).mapInArrow(run, f"node long, {what} binary")
+            for _, part in read(batches):
+                for some in slices(part, "ztext", 200, 400_000):
+                    found = [make(shingles(unpack.decompress(z), words)) for z in some.column("ztext").to_pylist()]
+                    yield pa.record_batch([some.column("rid"), pa.array(found, pa.binary())], names=["node", what])
+
+        return have.tasks(rids.distinct()).mapInArrow(lean(run), f"node long, {what} binary")
+
+    # cells: an equal share of the keys' range is a bucket; keys that many of a sample have are dealt out over all buckets
+    def keys_of(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+        for _, part in read(batches):
+            for some in slices(part, "ztext", 100, 200_000):
+                keys = [band_keys(shingles(unpack.decompress(z), words), threshold, fine).view(np.int64) for z in some.column("ztext").to_pylist()]
+                yield np.concatenate(keys), np.repeat(some.column("rid").to_numpy(), [len(k) for k in keys])
+
+    def sample(batches):
+        for key, node in keys_of(batches):
+            yield pa.record_batch([pa.array(key)], names=["key"])
+
+    n_sets = same.count()
+    nodes = same.select(F.col("node").alias("rid"))
+    sampled = have.tasks(nodes.sample(min(1.0, 3000 / max(1, n_sets)), seed=3)).mapInArrow(lean(sample), "key long").groupBy("key").count()
+    amount = sampled.agg(F.sum("count").alias("n")).first().n or 0
+    buckets = int(max(1, -(-amount * max(1, n_sets / 3000) // bucket_rows)))
+    often = np.sort(np.array([r.key for r in sampled.filter("count >= 8").collect()], np.int64))  # the sample bounds them
+    shared = spark.sparkContext.broadcast(often)
+
+    def common_keys(key: np.ndarray) -> np.ndarray:
+        often = shared.value
+        if not len(often):
+            return np.zeros(len(key), bool)
+        return often[np.minimum(np.searchsorted(often, key), len(often) - 1)] == key
+
+    def emit(batches):
+        for key, node in keys_of(batches):
+            spread = np.where(common_keys(key), mix64(key.view(np.uint64) ^ node.view(np.uint64)), key.view(np.uint64))
+            bucket = ((spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            yield pa.record_batch([pa.array(bucket), pa.array(key), pa.array(node)], names=["bucket", "key", "node"])
+
+    def met_twice(batches):
+        """Rows of keys that come twice in a bucket, and of those dealt out over all buckets."""
+        rows = gathered(batches)
+        if rows is None:
+            return
+        key, node = (rows.column(c).to_numpy() for c in ("key", "node"))
+        by = np.argsort(key, kind="stable")
+        key, node = key[by], node[by]
+        run = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+        keep = (np.bincount(run) > 1)[run] | common_keys(key)
+        yield pa.record_batch([pa.array(key[keep]), pa.array(node[keep])], names=["key", "node"])
+
+    cell = "key long, node long"
+    keys = have.tasks(nodes).mapInArrow(lean(emit), "bucket int, " + cell).repartitionById(buckets, "bucket").select("key", "node")
+    cells = stored(keys.mapInArrow(lean(met_twice), cell), "cells")
+    full = cells.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").withColumn("times", F.col("m"))
+    fullest = Window.partitionBy("node", F.expr("key & 1")).orderBy(F.desc("m"), F.desc("key"))
+    ranked = dealt_join(cells, full, ["key"], "times", cells.count()).withColumn("rank", F.row_number().over(fullest))
+    ranked = ranked.join(same.select("node", "spare0", "spare1"), "node").filter("rank > if(key & 1 = 0, spare0, spare1)")
+    cells = stored(ranked.select("key", "node"), "cells", instead_of=cells)
+    mark = [F.bit_xor(F.xxhash64(F.col("node"), F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
+    heads = cells.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("m"), *mark).filter("m > 1")
+    heads = heads.groupBy("head", "m", "mark1", "mark2").agg(F.min("key").alias("key")).select("key", "head", "m", F.col("m").alias("times"))  # of cells with the same members, one
+    cells = stored(dealt_join(cells, heads, ["key"], "times", cells.count()), "cells", instead_of=cells)
 
     def tested(pairs: DataFrame, what: str, test) -> DataFrame:
         """Of pairs (u, v), those that ``test`` lets pass; what it compares meets in a task, a pair at a time."""
-        sides = stored(fetch(pairs.select(F.explode(F.array("u", "v")).alias("rid")), what, f"asked-{what}"), f"asked-{what}", "lz4")
+        sides = stored(fetch(pairs.select(F.explode(F.array("u", "v")).alias("rid")), what), f"asked-{what}", "lz4")
         half = pairs.join(sides.select(F.col("node").alias("u"), F.col(what).alias("x")), "u")
         whole = half.join(sides.select(F.col("node").alias("v"), F.col(what).alias("y")), "v")
 
         def run(batches):
             for batch in batches:
-                good = pa.array([test(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("x"), batch.column("y"))], pa.bool_())
+                good = pa_bool([test(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("x"), batch.column("y"))])
                 yield pa.record_batch([batch.column("u").filter(good), batch.column("v").filter(good)], names=["u", "v"])
 
-        return whole.mapInArrow(run, "u long, v long")
+        out = stored(whole.mapInArrow(lean(run), "u long, v long"), f"passed-{what}")
+        dropped(spark, [sides._stored])
+        return out
 
     def near_enough(x, y) -> bool:
         a, b = coordinates(x), coordinates(y)
@@ -339,101 +446,79 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.9, words: int = 3, buc
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (u, v), those that link: points first, a byte for two shingles; the sets' hashes only of pairs that these leave."""
-        return tested(stored(tested(pairs, "point", near_enough), "near-pairs"), "hashes", linked_sets)
+        out = tested(tested(pairs, "point", near_enough), "hashes", linked_sets)
+        if counts is not None:
+            counts["from_trees"] = counts.get("from_trees", 0) + pairs.count()
+            counts["linked"] = counts.get("linked", 0) + out.count()
+        return out
 
-    star = stored(cells.filter("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
-    links = stored(verified(star), "links") if have.files else star
+    corners = stored(fetch(cells.select(F.col("node").alias("rid")), "corner"), "corners")
+    blocks = F.expr(f"cast(ceil(m / {block}) as int)")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    places = F.explode(F.when(F.col("node") == F.col("head"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own)))  # the first node is in each block
+    dealt = cells.join(corners, "node").withColumn("i", places).select("key", "i", "node", "corner")
+    dealt = dealt.repartition("key", "i").sortWithinPartitions("key", "i", "node")
+    forest = stored(dealt.mapInArrow(lean(joined_cells(threshold, True, ["key", "i"])), "u long, v long").distinct(), "pairs")
+    links = verified(forest)
     comp = components(links, "components")
 
-    # cells of three or more whose members aren't all connected: their other pairs, by the R-tree
-    labelled = cells.filter("m > 2").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    apart = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
-    apart = stored(labelled.join(apart, "key").select("key", "node", "comp", "head", "m"), "apart")
-    if not apart.isEmpty():
-        points = fetch(apart.select(F.col("node").alias("rid")), "corner", "asked-corners")
-        blocks = F.expr(f"cast(ceil(m / {block}) as int)")
-        own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        dealt = apart.join(points, "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "head", "corner")
-
-        def join(batches):
-            share, small, pairs = threshold / (1 + threshold), [], 0
-
-            def search(groups):
-                """Pairs (u, v) of groups: small ones are a leaf each and go together, a large one has a tree."""
-                sizes = [len(c["node"]) for _, c in groups]
-                node, comp_of, own_of, head = (np.array([x for _, c in groups for x in c[name]]) for name in ("node", "comp", "own", "head"))
-                points = np.stack([coordinates(p) for _, c in groups for p in c["corner"]]).astype(np.int32)
-                across = np.repeat([i != j for (_, i, j), _ in groups], sizes)
-                if len(groups) == 1:
-                    found = RTree(points).pairs(threshold, comp_of)
-                else:
-                    begin = np.cumsum([0, *sizes[:-1]])
-                    every = [np.stack(np.triu_indices(n, 1)) + at for n, at in zip(sizes, begin)]
-                    found = [leaf_pairs(points, points.sum(1), comp_of, *np.concatenate(every, 1), share)]
-                u, v = [], []
-                for a, b, need in found:
-                    good = (node[a] != head[a]) & (node[b] != head[b]) & (~across[a] | (own_of[a] != own_of[b]))
-                    u.append(np.minimum(node[a[good]], node[b[good]]))
-                    v.append(np.maximum(node[a[good]], node[b[good]]))
-                return pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (u, v)], names=["u", "v"])
-
-            for group in _groups(batches, ["key", "i", "j"]):
-                m = len(group[1]["node"])
-                if m > 64:
-                    yield search([group])
-                    continue
-                small.append(group)
-                pairs += m * m // 2
-                if pairs > 100_000:
-                    yield search(small)
-                    small, pairs = [], 0
-            if small:
-                yield search(small)
-
-        dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        more = stored(dealt.mapInArrow(join, "u long, v long").distinct(), "pairs")
-        links = links.unionByName(stored(verified(more), "links"))
+    # cells whose nodes aren't all connected: the other pairs that the trees leave, but for those in the cell's largest component
+    labelled = cells.filter("m > 2").drop("head").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    parts = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    open_cells = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("times"), F.max("n").alias("top"), F.count("*").alias("kinds")).filter("kinds > 1")
+    open_cells = stored(open_cells.select("key", "main", "top", "times"), "open-cells")
+    if not open_cells.isEmpty():
+        rows = stored(dealt_join(labelled, open_cells, ["key"], "times", cells.count()).withColumn("apart", F.expr("comp <> main")), "apart")
+        rows = rows.withColumn("js", F.expr(f"cast(ceil(m / {block}) as int)")).withColumn("is", F.expr(f"cast(ceil((m - top) / {block}) as int)"))
+        one, other = F.pmod(F.xxhash64("node"), F.col("is")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("js")).cast("int")
+        those = rows.filter("apart").withColumn("i", one).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("js") - 1)))
+        all_rows = rows.withColumn("apart", F.lit(False)).withColumn("j", other).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("is") - 1)))
+        wanted = ["key", "i", "j", "node", "comp", "apart"]
+        dealt = those.select(*wanted).unionByName(all_rows.select(*wanted)).join(corners, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+        found = dealt.mapInArrow(lean(joined_cells(threshold, False, ["key", "i", "j"])), "u long, v long").distinct()
+        more = stored(found.join(forest, ["u", "v"], "left_anti"), "pairs")
+        links = links.unionByName(verified(more))
         comp = components(links, "components")
 
-    linked = same.join(comp, "node", "left").select("set1", "set2", "n_shingles", F.coalesce("comp", "node").alias("comp"))
-    rows = have.rows.drop("keys", "extra", "ztext")
-    return rows.join(linked, ["set1", "set2", "n_shingles"], "left").withColumn("comp", F.coalesce("comp", "rid")).drop("set1", "set2"), have
+    sets = stored(same.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("set1", "set2", "n_shingles", "copies", "comp", "best"), "sets", instead_of=None)
+    classes = stored(sets.groupBy("comp").agg(F.min("best").alias("best"), F.count("*").alias("times")), "classes")
+    sets = dealt_join(sets.drop("best"), classes, ["comp"], "times", n_sets)
+    sets = stored(sets.select("set1", "set2", "n_shingles", "copies", "comp", F.col("best.doc_id").alias("component_id"), F.col("best.rid").alias("best")), "sets")
+    return have.rows.select("row", "rid", "n_shingles", "set1", "set2"), sets, have, names
+
+
+def with_classes(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without text, and n_shingles, comp, component_id (see ``jaccard_classes``) in place of columns of these names."""
+    rows, sets, _, names = jaccard_classes(docs, **options)
+    met = dealt_join(rows, sets.drop("best"), ["set1", "set2", "n_shingles"], "copies", rows.count(), "left")
+    own = [F.col("row")[c].alias(c) for c in names if c not in ("n_shingles", "comp", "component_id", "no_column")]
+    lone = F.col("row.doc_id").cast("long") if "doc_id" in names else F.lit(None).cast("long")
+    return met.select(*own, "n_shingles", F.coalesce("comp", "rid").alias("comp"), F.when(F.col("comp").isNull(), lone).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class that links connect: the one with the smallest doc_id (of those, the first row read). All columns stay."""
-    rows, have = jaccard_classes(docs, **options)
-    best = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("best")).select("best.rid")
-    names = [c for c in docs.columns if c != "text"]
-    todo = have.tasks(best, "kept-documents")
-    out = T.StructType([*(docs.schema[c] for c in names), T.StructField("text", T.StringType())])
-    if todo is None:
-        return docs.sparkSession.createDataFrame([], out).select(*docs.columns)
+    """One document of each class that links connect: the one with the smallest doc_id (null ones last; of those, the first row read).
 
-    def read(batches):
-        import pyarrow.parquet as pq
+    All columns of ``docs`` stay; texts without words are kept; null texts come back empty.
+    """
+    rows, sets, have, names = jaccard_classes(docs, **options)
+    wanted = sets.select(F.col("best").alias("rid")).distinct().unionByName(rows.filter("n_shingles = 0").select("rid"))
+    out = T.StructType([*(docs.schema[c] for c in names if c in docs.columns), T.StructField("text", T.StringType())])
+    read = have.reader(["ztext", "row"])
+
+    def kept_rows(batches):
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for texts, where in zip(batch.column("texts").to_pylist(), batch.column("beside").to_pylist()):
-                own = read_folder(where, ["rid"])
-                if own is None:
-                    continue
-                own = np.sort(own.column("rid").to_numpy())
-                fs, name = file_system(texts)
-                with fs.open_input_file(name) as f:
-                    for part in pq.ParquetFile(f).iter_batches(batch_size=500, columns=["rid", "ztext", *names]):
-                        part = part.filter(pa.array(np.isin(part.column("rid").to_numpy(), own)))
-                        text = pa.array([unpack.decompress(z).decode() for z in part.column("ztext").to_pylist()], pa.string())
-                        yield pa.record_batch([*(part.column(c) for c in names), text], names=[*names, "text"])
+        for _, part in read(batches):
+            for some in slices(part, "ztext", 200, 400_000):
+                text = pa.array([unpack.decompress(z).decode() for z in some.column("ztext").to_pylist()], pa.string())
+                row = some.column("row")
+                yield pa.record_batch([*(row.flatten()[row.type.get_field_index(f.name)] for f in out.fields[:-1]), text], names=out.names)
 
-    return todo.mapInArrow(read, out).select(*docs.columns)
+    return have.tasks(wanted).mapInArrow(lean(kept_rows), out).select(*docs.columns)
 
 
 def op7_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
-    rows, _ = jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    least = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "comp").select("doc_id", "n_shingles", "component_id")
+    return with_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")

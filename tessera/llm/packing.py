@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoder, stored, table, vocabulary
+from .common import encoder, lean, slices, stored, table, vocabulary
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, leftover boolean, part long"
 FIELDS = [x.split()[0] for x in PIECES.split(", ")]
@@ -93,7 +93,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, w
 
     Returns a row for each piece: doc_id, start (ids of its document before it), length, ids (little-endian uint32), doc_tokens,
     sequence_id, offset. Null or empty texts are the end id alone; a null doc_id stays null; repeated rows are packed each for
-    itself; other columns are ignored; an empty table gives no rows.
+    itself; other columns are ignored; an empty table gives no rows. A long text is encoded in one task; its ids are cut as any others.
     """
 
     def first(batches):
@@ -103,13 +103,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, w
         encode, end = encoder(tokenizer), end_id.to_bytes(4, "little")
         space, out = Windows(length, windows, least), Numbered(part << 32, part)
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for at in range(0, len(doc_ids), 200):
-                for doc_id, ids in zip(doc_ids[at:], encode(texts[at : at + 200].to_pylist())):
+            for some in slices(batch):
+                for doc_id, ids in zip(some.column("doc_id").to_pylist(), encode(some.column("text").to_pylist())):
                     ids += end
                     for window in space.add(doc_id, 0, ids, len(ids) // 4):
                         out.put(window, False)
-                yield from out.take(4 << 20)
+                yield from out.take(1 << 20)
         for window in space.rest():
             out.put(window, True)
         yield from out.take(0)
@@ -136,7 +135,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, w
         return lambda key, group: merge(level, last, key, group)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = stored(docs.mapInArrow(first, PIECES), "packed")
+    made = stored(docs.mapInArrow(lean(first), PIECES), "packed")
     done, left = [made.filter("not leftover")], made.filter("leftover")
     parts, level = (made.agg(F.max("part")).first()[0] or 0) + 1, 1
     while True:

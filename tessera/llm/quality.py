@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import lean, slices, stored, table
 from .langid import remainder
 
 # Groups of bytes whose shares are statistics.
@@ -44,16 +44,18 @@ def statistics(text: str | None) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and stats (array of doubles) of each row; null texts count as empty."""
+    """doc_id and stats (array of doubles) of each row; null texts count as empty, repeated rows each for itself.
+
+    Other columns, of whatever names, don't come along; an empty table gives no rows. A long text is in one task, with the list of its words.
+    """
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                some = batch.slice(lo, 500)
+            for some in slices(batch):
                 stats = np.array([statistics(t) for t in some.column("text").to_pylist()])
                 yield pa.record_batch([some.column("doc_id"), pa.array(list(stats), pa.list_(pa.float64()))], names=["doc_id", "stats"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, stats array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, stats array<double>")
 
 
 class Model:
@@ -91,8 +93,8 @@ def pooled(x: np.ndarray, n: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.
     return np.array([a / b for a, b, _ in blocks]), np.array([c / b for _, b, c in blocks])
 
 
-def fit(rows: DataFrame, features: int = 256, width: float = 0.7, ridge: float = 1e-2, seed: int = 11, folds: int = 4, fan_in: int = 8, bins: int = 2000) -> Model:
-    """Fit on rows (stats, y in 0..1): every partition sums its normal equations; sums are added in ``fan_in`` groups, then on the driver.
+def fit(rows: DataFrame, features: int = 256, width: float = 0.7, ridge: float = 1e-2, seed: int = 11, folds: int = 4, fan_in: int = 16, bins: int = 2000) -> Model:
+    """Fit on rows (stats, y in 0..1): every partition sums its normal equations; of these, ``fan_in`` at a time are added in a task, in rounds, and the driver gets one.
 
     Rows are dealt to ``folds`` by a hash of their statistics. The calibration is fitted on raw scores of each fold by the weights
     that the other folds give (their sums less the fold's), so it isn't misled by how well the weights fit their own rows.
@@ -125,18 +127,32 @@ def fit(rows: DataFrame, features: int = 256, width: float = 0.7, ridge: float =
                     total[k, :size] += z[own].T @ z[own]
                     total[k, size] += z[own].T @ y[own]
                     total[k, size + 1, 0] += own.sum()
-        yield pa.record_batch([pa.array([TaskContext.get().partitionId() % fan_in], pa.int32()), pa.array([total.tobytes()])], names=["part", "sums"])
+        yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()])], names=["part", "sums"])
 
-    def add(part: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py()) for x in part.column("sums"))
-        return pa.table({"sums": pa.array([total.tobytes()])})
+    def add(batches):
+        """Sum the matrices of each group, one row at a time; groups come sorted."""
+        key, total = None, None
+        for batch in batches:
+            for k, x in zip(batch.column("part").to_pylist(), batch.column("sums")):
+                if k != key:
+                    if total is not None:
+                        yield pa.record_batch([pa.array([key], pa.int32()), pa.array([total.tobytes()])], names=["part", "sums"])
+                    key, total = k, np.zeros(folds * (size + 2) * size)
+                total += np.frombuffer(x.as_buffer())
+        if total is not None:
+            yield pa.record_batch([pa.array([key], pa.int32()), pa.array([total.tobytes()])], names=["part", "sums"])
 
     def solved(total: np.ndarray) -> np.ndarray:
         a, c, n = total[:size], total[size], total[size + 1, 0]
         return np.linalg.solve(a + ridge * n / features * np.diag([*np.ones(features), 0]) + 1e-9 * np.eye(size), c)
 
-    parts = rows.mapInArrow(sums, "part int, sums binary").groupBy("part").applyInArrow(add, "sums binary").collect()
-    each = sum(np.frombuffer(r.sums) for r in parts).reshape(folds, size + 2, size)
+    parts = stored(rows.mapInArrow(lean(sums), "part int, sums binary"), "sums")
+    n_parts = (parts.agg(F.max("part")).first()[0] or 0) + 1
+    while n_parts > 1:  # fan_in sums to one, until one is left
+        n_parts = -(-n_parts // fan_in)
+        group = parts.withColumn("part", F.expr(f"part div {fan_in}").cast("int")).repartitionById(n_parts, "part").sortWithinPartitions("part")
+        parts = stored(group.mapInArrow(lean(add), "part int, sums binary"), "sums", instead_of=parts)
+    each = np.frombuffer(parts.first().sums).reshape(folds, size + 2, size)
     model.beta = solved(each.sum(0))
     others = np.array([solved(each.sum(0) - each[k]) for k in range(folds)])
 
@@ -147,13 +163,13 @@ def fit(rows: DataFrame, features: int = 256, width: float = 0.7, ridge: float =
                 raw = (z * others[batch.column("fold").to_numpy()]).sum(1) + model.base
                 yield pa.record_batch([pa.array(np.round(np.clip(raw, -0.5, 1.5) * bins).astype(np.int64)), batch.column("y")], names=["bin", "y"])
 
-    cells = rows.mapInArrow(scored, "bin long, y double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("s")).orderBy("bin").collect()
+    cells = rows.mapInArrow(lean(scored), "bin long, y double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("s")).orderBy("bin").collect()
     model.knots, model.levels = pooled(*(np.array([float(r[k]) for r in cells]) / (bins if k == "bin" else 1) for k in ("bin", "n", "s")))
     return model
 
 
 def score(stats: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of rows with stats."""
+    """doc_id and score (0 to 1) of rows with stats (of ``with_statistics``), each for itself; equal statistics have equal scores; an empty table gives no rows."""
 
     def run(batches):
         for batch in batches:
@@ -161,7 +177,7 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
                 s = model.score(batch.column("stats").flatten().to_numpy().reshape(batch.num_rows, -1))
                 yield pa.record_batch([batch.column("doc_id"), pa.array(s)], names=["doc_id", "score"])
 
-    return stats.select("doc_id", "stats").mapInArrow(run, "doc_id long, score double")
+    return stats.select("doc_id", "stats").mapInArrow(lean(run), "doc_id long, score double")
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

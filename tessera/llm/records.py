@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encoder, file_system, kept, shared_dir, table, vocabulary
+from .common import encoder, file_system, kept, lean, shared_dir, slices, table, vocabulary
 
 # The reflected CRC-32C polynomial and the constant that masks a checksum.
 CASTAGNOLI = 0x82F63B78
@@ -23,7 +23,7 @@ MANIFEST = "shard int, path string, n_records long, n_ids long, n_bytes long"
 HEAD = 12
 
 
-def _shift_tables(n_levels: int = 24) -> np.ndarray:
+def _shift_tables(n_levels: int = 29) -> np.ndarray:
     """tables[k][j][x]: what half j (16 bits) of a CRC state becomes after 4 * 2**k zero bytes."""
     table = np.arange(256, dtype=np.uint32)
     for _ in range(8):
@@ -94,7 +94,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, s
 
     Shards are ranges of doc_ids; each is a file of records and a file of offsets in the folder ``path`` on the shared store, written
     under a name of the attempt's own and then renamed, so a lost or repeated task leaves no half file. Returns the manifest, also
-    written there: shard, path, n_records, n_ids, n_bytes. An empty table has an empty manifest. Other columns are ignored.
+    written there: shard, path, n_records, n_ids, n_bytes. An empty table has an empty manifest. Other columns are ignored. A record may
+    take 2 GiB, as one value of a row may; a long text is encoded in one task.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -112,10 +113,9 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, s
         n = ids_in = at = 0
         with fs.open_output_stream(f"{own}.rec") as out, fs.open_output_stream(f"{own}.idx") as index:
             for batch in batches:
-                doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-                for k in range(0, len(doc_ids), 200):
-                    some = doc_ids[k : k + 200]
-                    encoded = [x + end for x in encode(texts[k : k + 200].to_pylist())]
+                for part in slices(batch):
+                    some = part.column("doc_id").to_pylist()
+                    encoded = [x + end for x in encode(part.column("text").to_pylist())]
                     data, lengths = framed(some, encoded)
                     out.write(data)
                     offsets = at + np.concatenate([[0], np.cumsum(lengths + 16)[:-1]])
@@ -130,7 +130,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, s
         row = [[task.partitionId()], [f"{path}/shard-{task.partitionId():06d}"], [n], [ids_in], [at]]
         yield pa.record_batch([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
-    dealt.sortWithinPartitions(order).mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
+    dealt.sortWithinPartitions(order).mapInArrow(lean(write), MANIFEST).write.parquet(f"{path}/manifest")
     return spark.read.parquet(f"{path}/manifest")
 
 
@@ -184,7 +184,7 @@ def read_records(spark: SparkSession, path: str, batch_bytes: int = 8 << 20) ->
                         yield pa.record_batch([pa.array([x for x, _ in got], pa.int64()), pa.array(starts, pa.int64()), pa.array([x for _, x in got], pa.binary())], names=["doc_id", "start", "ids"])
                         start += int(n.sum())
 
-    return shards.mapInArrow(read, "doc_id long, start long, ids binary")
+    return shards.mapInArrow(lean(read), "doc_id long, start long, ids binary")
 
 
 def read_some(path: str, shard: int, places: list[int]) -> list[tuple]:

@@ -2,24 +2,33 @@
 
 Suffixes are taken at anchors: the anchor of a 200-byte window is the position, among its first 150, whose 32-byte string has the
 smallest hash (the leftmost, if equal). Equal windows have their anchor at the same place, so only suffixes that start at anchors need
-comparing, one for about 75 windows. An anchor owns a run of windows; its *context* is all their bytes.
+comparing, one for about 75 windows. An anchor owns a run of windows; its *context* is all their bytes. Suffixes are ordered by
+their leading 32 bytes, four characters of 8 bytes; what begins alike is a *class*. In a class, contexts are told apart by a
+cryptographic digest of 128 bits, and windows by their bytes.
+
+Hashes choose anchors and bring candidates together; no hash of theirs decides what is removed.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import file_system, gathered, prefix_hash, shared_dir, span_hash, stored, table
+from .common import STRETCH, Filed, dealt_join, gathered, lean, prefix_hash, slices, span_hash, stored, table
 
-ANCHORS = "a array<int>, d array<int>, n array<int>, lead array<long>, cls array<long>, full array<long>"
-SUFFIX = "rid long, a int, d int, n int, lead long, cls long, full long"
-CONTEXT = "rid long, a int, cls long, weight int, d int, lead binary, context binary"
+#: A suffix: its text stretch, its place (first window << 16 | distance to the anchor << 8 | windows), 32 leading bytes, digest of its context.
+WORDS = [f"w{i}" for i in range(4)] + ["digest0", "digest1"]
+SUFFIX = "bucket int, rid long, place long, " + ", ".join(f"{w} long" for w in WORDS)
+MET = "bucket int, rid long, place long, state int, edge binary"
+CONTEXT = "home int, rid long, place long, weight int, lead binary, context binary"
 SPAN = "rid long, start long, end long"
 _PA = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "string": pa.string()}
+TWICE, ASK, HOT, FIRST, LAST, HEAD, TAIL = (1 << i for i in range(7))  # bits of a state
 
 
 def _batch(schema: str, columns: list) -> pa.RecordBatch:
@@ -27,18 +36,19 @@ def _batch(schema: str, columns: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array(x, _PA[kind]) for x, (_, kind) in zip(columns, names)], names=[n for n, _ in names])
 
 
-def anchors(b: np.ndarray, length: int, window: int, gram: int):
-    """For each anchor: first window a, distance d from there to the anchor, number n of windows, leading 8 bytes, class, full hash.
+def _signed(words: np.ndarray) -> np.ndarray:
+    """Unsigned words as signed ones of the same order."""
+    return (words.astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
 
-    The class is a hash of the bytes that the right parts of all its windows have (``length - window + 1`` from the anchor on);
-    the full hash is one of the context.
-    """
+
+def anchors(text: bytes, length: int, window: int, gram: int, hash_bits: int = 64):
+    """(places, words, digests) of a stretch's suffixes; ``hash_bits`` under 64 makes hashes collide, for tests."""
+    b = np.frombuffer(text, np.uint8)
     last = len(b) - length
     if last < 0:
-        return [np.zeros(0, np.int64)] * 6
-    s = prefix_hash(b)
+        return np.zeros(0, np.int64), np.zeros((0, 4), np.int64), np.zeros((0, 2), np.int64)
     at = np.arange(last + window)
-    key = span_hash(s, at, at + gram) & np.uint64(0xFFFFFFFF00000000) | at.astype(np.uint64)
+    key = _cut(span_hash(prefix_hash(b), at, at + gram), hash_bits) & np.uint64(0xFFFFFFFF00000000) | at.astype(np.uint64)
     width = 1
     while 2 * width <= window:
         key = np.minimum(key[:-width], key[width:])
@@ -48,12 +58,15 @@ def anchors(b: np.ndarray, length: int, window: int, gram: int):
     p = (key[: last + 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
     p, n = p[first], np.diff(np.append(first, last + 1))
-    lead = np.zeros(len(p), np.uint64)
-    for i in range(8):
-        lead = lead << np.uint64(8) | b[p + i].astype(np.uint64)
-    full = span_hash(s, first, first + n - 1 + length) + (p - first).astype(np.uint64)
-    signed = lambda x: x.view(np.int64)
-    return first, p - first, n, signed(lead ^ np.uint64(1 << 63)), signed(span_hash(s, p, p + length - window + 1)), signed(full)
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(b, 32)[p]).view(">u8").reshape(-1, 4)
+    ends = first + n - 1 + length
+    blake, size = hashlib.blake2b, 16
+    digests = b"".join([blake(text[i:j], digest_size=size).digest() for i, j in zip(first.tolist(), ends.tolist())])
+    return first << 16 | (p - first) << 8 | n, _signed(words), np.frombuffer(digests, "<i8").reshape(-1, 2)
+
+
+def _cut(h: np.ndarray, bits: int) -> np.ndarray:
+    return h if bits >= 64 else h >> np.uint64(64 - bits) << np.uint64(64 - bits)
 
 
 def multikey_quicksort(words: np.ndarray) -> np.ndarray:
@@ -69,7 +82,8 @@ def multikey_quicksort(words: np.ndarray) -> np.ndarray:
             order[lo:hi] = own[np.lexsort(words[own, k:].T[::-1])]
             continue
         x = words[own, k]
-        pivot = np.partition(x[:: max(1, len(x) // 1024)], len(x[:: max(1, len(x) // 1024)]) // 2)[len(x[:: max(1, len(x) // 1024)]) // 2]
+        few = np.sort(x[:: max(1, len(x) // 1024)])
+        pivot = few[len(few) // 2]
         less, same = x < pivot, x == pivot
         i, j = lo + int(less.sum()), lo + int(less.sum()) + int(same.sum())
         order[lo:hi] = np.concatenate([own[less], own[same], own[~less & ~same]])
@@ -85,43 +99,125 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.cumsum(new)
 
 
-def sorted_bucket(batches):
-    """Sort a bucket's suffixes, compare neighbours: SUFFIX rows with ``twice`` (its context stands elsewhere too) and ``ask``.
+def sorted_bucket(batches, hot: int):
+    """Sort a bucket's suffixes and compare neighbours: MET rows of those that matter, and the bucket's two edges for its neighbours.
 
-    ``ask`` marks one row of each context of a class that has several contexts, some of them not repeated; and of the classes
-    at the bucket's two ends, which may go on in the next bucket.
+    TWICE: the context stands elsewhere too. ASK: one row for each context of a class that has several, some of them not
+    repeated (HOT: of over ``hot`` contexts). The bucket's first and last class may go on next door: their rows are FIRST or LAST
+    instead, HEAD or TAIL if of the outermost context, and what they are is settled when edges are exchanged.
     """
     rows = gathered(batches)
     if rows is None:
         return
     c = {x: rows.column(x).to_numpy() for x in rows.column_names}
-    by = multikey_quicksort(np.stack([c["lead"], c["cls"], c["full"], c["rid"], c["a"].astype(np.int64)], 1))
+    for bucket in np.unique(c["bucket"]):  # one, but where fewer tasks take several
+        own = c["bucket"] == bucket
+        yield _one_bucket(int(bucket), {k: v[own] for k, v in c.items()}, hot)
+
+
+def _one_bucket(bucket: int, c: dict, hot: int) -> pa.RecordBatch:
+    by = multikey_quicksort(np.stack([*(c[w] for w in WORDS), c["rid"], c["place"]], 1))
     c = {k: v[by] for k, v in c.items()}
-    cls = _runs(c["lead"], c["cls"])
-    full = _runs(c["lead"], c["cls"], c["full"])
-    twice = np.bincount(full)[full] > 1
+    cls = _runs(*(c[w] for w in WORDS[:4]))
+    full = _runs(*(c[w] for w in WORDS))
+    times = np.bincount(full)
+    twice = times[full] > 1
     first = np.concatenate([[True], full[1:] != full[:-1]])
-    kinds, alone = np.bincount(cls[first]), np.bincount(cls, ~twice)
+    kinds, alone = np.bincount(cls[first]), np.bincount(cls, ~twice).astype(np.int64)
     asked = (kinds > 1) & (alone > 0)
-    asked[[0, -1]] = True
-    ask = first & asked[cls]
-    keep = twice | ask
-    yield _batch(SUFFIX + ", twice boolean, ask boolean", [c[x.split()[0]][keep] for x in SUFFIX.split(", ")] + [twice[keep], ask[keep]])
-
-
-def window_hashes(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of all contexts, and each context's number of windows."""
-    n = np.array([len(x) - length + 1 for x in contexts])
-    out, lo = [], 0
-    sizes = np.cumsum([len(x) for x in contexts])
-    for part in np.split(np.arange(len(contexts)), np.flatnonzero(np.diff(sizes >> 20)) + 1):
-        b = np.frombuffer(b"".join([contexts[i] for i in part]), np.uint8)
-        m = n[part]
-        begin = np.cumsum([0, *[len(contexts[i]) for i in part[:-1]]])
-        at = np.repeat(begin - (np.cumsum(m) - m), m) + np.arange(m.sum())
-        out.append(span_hash(prefix_hash(b), at, at + length))
-        lo += len(part)
-    return np.concatenate(out), n
+    state = np.where(twice, TWICE, 0) | np.where(first & asked[cls], ASK, 0) | np.where(first & asked[cls] & (kinds[cls] > hot), HOT, 0)
+    edges = []
+    for end, flag, tip in ((0, FIRST, HEAD), (len(cls) - 1, LAST, TAIL)):
+        own = cls == cls[end]
+        outer = np.flatnonzero(own)[[0, -1]]
+        state[own] &= ~(ASK | HOT)
+        whole = bool(own.all())
+        state[own & first] |= flag if not whole else FIRST
+        state[full == full[end]] |= tip
+        low, high = ((np.stack([c[w][i] for w in WORDS[4:]]).astype("<i8").tobytes(), int(times[full[i]])) for i in outer)
+        edges.append(_edge(np.stack([c[w][end] for w in WORDS[:4]]).astype("<i8").tobytes(), low, high, int(kinds[cls[end]]), int(alone[cls[end]]), whole))
+    keep = np.flatnonzero(state & (TWICE | ASK | FIRST | LAST))
+    blank = np.zeros(2, np.int64)
+    columns = [np.full(len(keep) + 2, bucket, np.int32), np.append(c["rid"][keep], blank - 1), np.append(c["place"][keep], [0, 1]), np.append(state[keep], blank).astype(np.int32), [None] * len(keep) + edges]
+    return _batch(MET, columns)
+
+
+def _edge(words: bytes, low: tuple, high: tuple, kinds: int, alone: int, whole: bool) -> bytes:
+    return words + low[0] + high[0] + np.array([low[1], high[1], kinds, alone, whole], "<i8").tobytes()
+
+
+def exchanged(edges: list[tuple[int, int, bytes]], hot: int) -> list[tuple]:
+    """What each bucket's first and last class are, seen with its neighbours': (bucket, flag, asked, hot, low context twice, high context twice, first bucket of the class).
+
+    Edges are (bucket, 0 or 1, bytes), in order; a class that takes a whole bucket has one entry.
+    """
+    chain, out = [], []
+
+    def done():
+        if not chain:
+            return
+        # contexts in order: those at the buckets' ends may be the same one
+        counts: list[list] = []
+        inner_kinds = inner_alone = 0
+        for m in chain:
+            ends = [(m["low"], m["n_low"])] if m["kinds"] == 1 else [(m["low"], m["n_low"]), (m["high"], m["n_high"])]
+            inner_kinds += m["kinds"] - len(ends)
+            inner_alone += m["alone"] - sum(n == 1 for _, n in ends)
+            for digest, n in ends:
+                if counts and counts[-1][0] == digest:
+                    counts[-1][1] += n
+                else:
+                    counts.append([digest, n])
+        total = {d: n for d, n in counts}
+        kinds, alone = inner_kinds + len(counts), inner_alone + sum(n == 1 for _, n in counts)
+        asked = kinds > 1 and alone > 0
+        for m in chain:
+            for flag in m["flags"]:
+                out.append((m["bucket"], flag, asked, asked and kinds > hot, total[m["low"]] > 1, total[m["high"]] > 1, chain[0]["bucket"]))
+        chain.clear()
+
+    for bucket, end, data in sorted(edges):
+        n_low, n_high, kinds, alone, whole = (int(x) for x in np.frombuffer(data, "<i8", 5, 64))
+        if whole and end:
+            continue
+        m = {"bucket": bucket, "flags": (FIRST, LAST) if whole else (LAST,) if end else (FIRST,), "words": data[:32], "low": data[32:48], "high": data[48:64], "n_low": n_low, "n_high": n_high, "kinds": kinds, "alone": alone}
+        if chain and chain[-1]["words"] != m["words"]:
+            done()
+        chain.append(m)
+    done()
+    return out
+
+
+def repeated_windows(contexts: list[bytes], weight: np.ndarray, length: int, hash_bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of contexts stand in them more than once (a context of weight 2 does as a whole), and each context's number of windows.
+
+    Hashes bring windows together, their bytes decide, 8 at a time.
+    """
+    size = np.array([len(x) for x in contexts])
+    n, begin = size - length + 1, np.cumsum(size) - size
+    b = np.frombuffer(b"".join(contexts) + bytes(8), np.uint8)
+    at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    h = _cut(span_hash(prefix_hash(b), at, at + length), hash_bits)
+    words = np.zeros(len(b) - 7, np.uint64)
+    for i in range(8):
+        words |= b[i : len(b) - 7 + i].astype(np.uint64) << np.uint64(8 * i)
+    offsets = [*range(0, length - 7, 8), length - 8]
+    count = np.repeat(weight, n).astype(np.int64)
+    hit = np.zeros(len(at), bool)
+    order = np.argsort(h, kind="stable")
+    run = _runs(h[order])
+    more = np.bincount(run)[run] > 1
+    order, run = order[more], run[more]
+    while len(order):
+        head = np.concatenate([[True], run[1:] != run[:-1]])
+        leader = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+        same = np.ones(len(order), bool)
+        for k in offsets:
+            same &= words[at[order] + k] == words[at[leader] + k]
+        total = np.bincount(np.cumsum(head) - 1, np.where(same, count[order], 0))[np.cumsum(head) - 1]
+        hit[order[same & (total > 1)]] = True
+        order, run = order[~same], run[~same]
+    return hit, n
 
 
 def _spans(rid, a, n, hit, length: int) -> pa.RecordBatch:
@@ -135,183 +231,230 @@ def _spans(rid, a, n, hit, length: int) -> pa.RecordBatch:
     return _batch(SPAN, [rid[row[new]], a[row[new]] + at[new], a[row[new]] + at[end] + length])
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, window: int = 150, gram: int = 32, bucket_rows: int = 200_000, hot: int = 20_000, text_out: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, window: int = 150, gram: int = 32, bucket_rows: int = 200_000, hot: int = 20_000, text_out: bool = False, hash_bits: int = 64) -> DataFrame:
     """Find each byte covered by a ``length``-byte string that also starts anywhere else in the corpus, and remove it.
 
     Returns the rows of ``docs``, without text, and n_bytes, n_removed, n_spans, kept_sha256; with ``text_out`` the text without the
     removed bytes (and without halves of characters that they leave) comes instead. Null texts count as empty; texts under ``length``
-    bytes have no such string; repeated rows are documents of their own, so each loses all bytes from ``length`` on; other columns
-    come back as they are, but for names of the new ones.
-
-    1. Documents are stored compressed with their anchors; a row's number holds its file's number, so texts are never shuffled.
-    2. Suffixes are range-partitioned by leading bytes (Spark samples the splitters), ties broken by hashes and place, so that no
-       common string fills a bucket. Buckets sort them by multikey quicksort and compare neighbours. A context met twice is
-       repeated as a whole.
-    3. Of classes with several contexts, and of those at a bucket's ends (the comparison across boundaries), each distinct context's
-       bytes are fetched, range-partitioned by leading bytes, sorted, and compared window by window. Classes with over ``hot``
-       contexts don't go to one task: their windows are counted by hash, in partial sums.
-    4. Spans go to the files of their documents, where they are merged and cut out.
+    bytes have no such string; repeated rows are documents of their own, so each loses all bytes from ``length`` on; an empty table
+    gives no rows; other columns come back as they are, but for names of the new ones. Long texts are taken in stretches of half a
+    megabyte of windows, so that a text needs no more memory than its own bytes.
+
+    1. Documents are stored compressed; a row's number holds its file's number, so texts are never shuffled.
+    2. Splitters are sampled, and suffixes are range-partitioned by leading bytes, ties broken by digests and place, so that no common
+       string fills a bucket. Buckets sort them by multikey quicksort and compare neighbours. A context met twice is repeated as a whole.
+    3. Buckets' first and last classes are compared across the boundaries: the driver gets two short rows a bucket.
+    4. Of classes with several contexts, each distinct one's bytes are fetched and dealt out by class, and compared window by window.
+       Classes with over ``hot`` contexts don't go to one task: their windows are counted by digest, in partial sums.
+    5. Spans go to the files of their documents, where they are merged and cut out.
     """
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c not in ("text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "rid")]
+    added = [("text", T.StringType())] if text_out else [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType())]
+    names = [c for c in docs.columns if c not in ("text", *(n for n, _ in added))]
+    if not names:
+        docs, names = docs.select("text", F.lit(0).alias("no_column")), ["no_column"]
     kept = T.StructType([docs.schema[c] for c in names])
-    plain = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*names).alias("row") if names else F.struct(F.lit(0)).alias("row"))
+    plain = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*names).alias("row"))
+    more = length - 1
 
     def first(batches):
         import zstandard
         from pyspark import TaskContext
 
         rid, pack = TaskContext.get().partitionId() << 33, zstandard.ZstdCompressor(level=3)
-        lists = [pa.list_(pa.int32())] * 3 + [pa.list_(pa.int64())] * 3
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                some = batch.slice(lo, 200)
-                texts = [t.encode() for t in some.column("text").to_pylist()]
-                found = list(zip(*[anchors(np.frombuffer(t, np.uint8), length, window, gram) for t in texts]))
-                columns = [pa.array(np.arange(rid, rid + len(texts))), some.column("row"), pa.array([pack.compress(t) for t in texts], pa.binary()), pa.array(list(map(len, texts)), pa.int64())]
-                columns += [pa.array(x, t) for x, t in zip(found, lists)]
-                yield pa.record_batch(columns, names=["rid", "row", "ztext", "n_bytes", "a", "d", "n", "lead", "cls", "full"])
-                rid += len(texts)
-
-    schema = T.StructType([T.StructField("rid", T.LongType()), plain.schema["row"], T.StructField("ztext", T.BinaryType()), T.StructField("n_bytes", T.LongType()), *T._parse_datatype_string(ANCHORS)])
-    have = stored(plain.mapInArrow(first, schema), "texts", "snappy")
-    files = {r.pid: r.path for r in have.select(F.expr("shiftright(rid, 33)").alias("pid"), F.input_file_name().alias("path")).distinct().collect()}
-
-    buckets = max(1, -(-(have.agg(F.sum(F.size("a"))).first()[0] or 0) // bucket_rows))
-    suffixes = have.select("rid", F.inline(F.arrays_zip("a", "d", "n", "lead", "cls", "full")))
-    met = stored(suffixes.repartitionByRange(buckets, "lead", "cls", "full", "rid", "a").mapInArrow(sorted_bucket, SUFFIX + ", twice boolean, ask boolean"), "suffixes")
-    whole = met.filter("twice").select("rid", F.expr("cast(a as long)").alias("start"), F.expr(f"cast(a + n - 1 + {length} as long)").alias("end"))
-
-    def beside(rows: DataFrame, name: str) -> dict:
-        """Write rows to a folder for each document file; returns the folders by number."""
-        path = shared_dir(spark, name)
-        rows.withColumn("pid", F.expr("shiftright(rid, 33)")).repartition("pid").sortWithinPartitions("pid", "rid").write.partitionBy("pid").parquet(path)
-        return path
-
-    def tasks(path: str) -> DataFrame:
-        rows = [(p, f, f"{path}/pid={p}") for p, f in files.items()]
-        return spark.createDataFrame(rows, "pid long, texts string, beside string").repartition(max(1, len(rows)), "pid") if rows else None
-
-    many = met.filter("ask").groupBy("lead", "cls").agg(F.count("*").alias("m")).filter(F.col("m") > 1)
-    asked = met.filter("ask").join(many, ["lead", "cls"]).select("rid", "a", "d", "n", "cls", F.expr("if(twice, 2, 1)").alias("weight"), (F.col("m") > hot).alias("hot"))
-
-    def fetch(batches):
-        import pyarrow.parquet as pq
+            for some in slices(batch):
+                of, begins, packed = [], [], []
+                for i, t in enumerate(some.column("text").to_pylist()):
+                    data = t.encode()
+                    for lo in range(0, max(1, len(data) - more), STRETCH):
+                        of.append(i)
+                        begins.append(lo)
+                        packed.append(pack.compress(data[lo : lo + STRETCH + more]))
+                yield pa.record_batch([pa.array(np.arange(rid, rid + len(of))), some.column("row").take(pa.array(of)), pa.array(begins, pa.int64()), pa.array(packed, pa.binary())], names=["rid", "row", "begin", "ztext"])
+                rid += len(of)
+
+    schema = T.StructType([T.StructField("rid", T.LongType()), plain.schema["row"], T.StructField("begin", T.LongType()), T.StructField("ztext", T.BinaryType())])
+    have = Filed(plain.mapInArrow(lean(first), schema), "texts")
+
+    def found(batches):
+        """All suffixes of the stretches, ``bucket`` not yet set."""
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for texts, where in zip(batch.column("texts").to_pylist(), batch.column("beside").to_pylist()):
-                ask = _read(where, ["rid", "a", "d", "n", "cls", "weight", "hot"])
-                if ask is None:
-                    continue
-                c = {k: ask.column(k).to_numpy() for k in ask.column_names}
-                by = np.argsort(c["rid"], kind="stable")
-                c = {k: v[by] for k, v in c.items()}
-                fs, name = file_system(texts)
-                with fs.open_input_file(name) as f:
-                    for part in pq.ParquetFile(f).iter_batches(batch_size=200, columns=["rid", "ztext"]):
-                        rids = part.column("rid").to_numpy()
-                        lo, hi = np.searchsorted(c["rid"], rids), np.searchsorted(c["rid"], rids, "right")
-                        out, of = [], []
-                        for i in np.flatnonzero(hi > lo):
-                            text = unpack.decompress(part.column("ztext")[int(i)].as_py())
-                            for k in range(lo[i], hi[i]):
-                                a, p = int(c["a"][k]), int(c["a"][k] + c["d"][k])
-                                out.append((text[p : p + length - window + 1], text[a : a + int(c["n"][k]) - 1 + length]))
-                                of.append(k)
-                        if of:
-                            yield _batch(CONTEXT + ", hot boolean", [c[k][of] for k in ("rid", "a", "cls", "weight", "d")] + [[x for x, _ in out], [y for _, y in out], c["hot"][of]])
+            for some in slices(batch, "ztext", 100, 200_000):
+                parts = [anchors(unpack.decompress(z), length, window, gram, hash_bits) for z in some.column("ztext").to_pylist()]
+                rid = np.repeat(some.column("rid").to_numpy(), [len(p) for p, _, _ in parts])
+                place, words, digests = (np.concatenate(x) for x in zip(*parts))
+                yield rid, place, np.hstack([words, digests])
+
+    rows = have.rows.count()
+    few = have.rows.sample(min(1.0, 2000 / max(rows, 1)), seed=1).select("rid", "ztext")
+
+    def sizes(batches):
+        n = sum(len(place) for _, place, _ in found(batches))
+        yield pa.record_batch([pa.array([n])], names=["n"])
+
+    counted = few.mapInArrow(lean(sizes), "n long").agg(F.sum("n").alias("n")).first().n or 0
+    asked_for = max(1, few.count())
+    buckets = int(max(1, -(-counted * rows // asked_for // bucket_rows)))
+
+    def sample(batches):
+        rng = np.random.default_rng(1)
+        for rid, place, words in found(batches):
+            pick = rng.random(len(place)) < wanted
+            yield _batch("rid long, place long, " + ", ".join(f"{w} long" for w in WORDS), [rid[pick], place[pick], *words[pick].T])
+
+    splitters = np.zeros((0, 8), np.int64)
+    if buckets > 1:
+        share = min(1.0, max(2000, 8 * buckets) / rows)
+        wanted = min(1.0, 32 * buckets / max(1, counted / asked_for * rows * share))
+        picked = have.rows.sample(share, seed=2).select("rid", "ztext").mapInArrow(lean(sample), "rid long, place long, " + ", ".join(f"{w} long" for w in WORDS)).toArrow()
+        keys = np.stack([picked.column(x).to_numpy() for x in (*WORDS, "rid", "place")], 1)
+        keys = keys[multikey_quicksort(keys)]
+        splitters = keys[np.linspace(0, len(keys), buckets + 1)[1:-1].astype(int)] if len(keys) else splitters
+    limits = spark.sparkContext.broadcast([tuple(x) for x in splitters.tolist()])  # eight numbers a bucket
+
+    def dealt(batches):
+        split = limits.value
+        lead = np.array([s[0] for s in split], np.int64)
+        for rid, place, words in found(batches):
+            lo, hi = np.searchsorted(lead, words[:, 0], "left"), np.searchsorted(lead, words[:, 0], "right")
+            bucket = hi.astype(np.int32)
+            for i in np.flatnonzero(lo != hi):  # its first 8 bytes are those of a splitter
+                key, k = (*words[i].tolist(), int(rid[i]), int(place[i])), int(lo[i])
+                while k < hi[i] and split[k] <= key:
+                    k += 1
+                bucket[i] = k
+            yield _batch(SUFFIX, [bucket, rid, place, *words.T])
+
+    suffixes = have.rows.select("rid", "ztext").mapInArrow(lean(dealt), SUFFIX).repartitionById(buckets, "bucket")
+    met = stored(suffixes.mapInArrow(lean(lambda batches: sorted_bucket(batches, hot)), MET), "suffixes")
+    edges = [(r.bucket, r.place, bytes(r.edge)) for r in met.filter("edge is not null").select("bucket", "place", "edge").collect()]
+    settled = spark.createDataFrame(exchanged(edges, hot), "bucket int, flag int, asked boolean, very boolean, low boolean, high boolean, home int")
+    met = met.filter("edge is null")
+    inner = met.filter(f"state & {FIRST | LAST | HEAD | TAIL} = 0").select("rid", "place", (F.expr(f"state & {TWICE}") > 0).alias("twice"), (F.expr(f"state & {ASK}") > 0).alias("ask"), (F.expr(f"state & {HOT}") > 0).alias("hot"), F.col("bucket").alias("home"))
+    outer = met.filter(f"state & {FIRST | LAST | HEAD | TAIL} > 0").withColumn("flag", F.expr(f"if(state & {FIRST | HEAD} > 0, {FIRST}, {LAST})"))
+    outer = outer.join(settled, ["bucket", "flag"]).select(
+        "rid", "place", F.expr(f"state & {TWICE} > 0 or state & {HEAD} > 0 and low or state & {TAIL} > 0 and high").alias("twice"), F.expr(f"state & {FIRST | LAST} > 0 and asked").alias("ask"), F.col("very").alias("hot"), "home"
+    )
+    met = inner.unionByName(outer)
+    place = {"a": "shiftright(place, 16)", "d": "shiftright(place, 8) & 255", "n": "place & 255"}
+    whole = met.filter("twice").select("rid", F.expr(place["a"]).alias("start"), F.expr(f"{place['a']} + ({place['n']}) - 1 + {length}").alias("end"))
+    asked = met.filter("ask").select("rid", "place", F.expr("if(twice, 2, 1)").alias("weight"), "hot", "home")
+    read = have.reader(["ztext"])
+
+    def fetch(hot_ones: bool):
+        def run(batches):
+            import zstandard
+
+            unpack = zstandard.ZstdDecompressor()
+            for c, part in read(batches):
+                rids = part.column("rid").to_numpy()
+                lo, hi = np.searchsorted(c["rid"], rids), np.searchsorted(c["rid"], rids, "right")
+                for z, i, j in zip(part.column("ztext").to_pylist(), lo, hi):
+                    text, out = unpack.decompress(z), []
+                    for k in c["place"][i:j].tolist():
+                        a, d, n = k >> 16, k >> 8 & 255, k & 255
+                        out.append((text[a + d : a + d + 32], text[a : a + n - 1 + length]))
+                    yield _batch(CONTEXT, [c["home"][i:j], c["rid"][i:j], c["place"][i:j], c["weight"][i:j], [x for x, _ in out], [x for _, x in out]])
+
+        return have.tasks(asked.filter("hot" if hot_ones else "not hot").drop("hot")).mapInArrow(lean(run), CONTEXT)
 
     def compare(batches):
-        rows = gathered(batches)
-        if rows is None:
-            return
-        lead, contexts = rows.column("lead").to_pylist(), rows.column("context").to_pylist()
-        wide = -(-(length - window + 1) // 8) * 8
-        words = np.frombuffer(b"".join([x.ljust(wide, b"\0") for x in lead]), ">u8").reshape(len(lead), -1).astype(np.uint64)
-        by = multikey_quicksort(words)
-        run = np.zeros(len(by), np.int64)
-        run[by] = _runs(*words[by].T)
-        h, n = window_hashes(contexts, length)
-        run, weight = np.repeat(run, n), np.repeat(rows.column("weight").to_numpy(), n)
-        order = np.lexsort((h, run))
-        same = _runs(run[order], h[order])
-        hit = np.zeros(len(h), bool)
-        hit[order] = np.bincount(same, weight[order])[same] > 1
-        yield _spans(rows.column("rid").to_numpy(), rows.column("a").to_numpy(), n, hit, length)
+        """Contexts come sorted by class; as many classes at a time as make a few thousand contexts."""
+        held, lead, size = [], None, 0
+
+        def done():
+            some = pa.Table.from_batches(held)
+            hit, n = repeated_windows(some.column("context").to_pylist(), some.column("weight").to_numpy(), length, hash_bits)
+            return _spans(some.column("rid").to_numpy(), some.column("place").to_numpy() >> 16, n, hit, length)
+
+        for batch in batches:
+            leads = batch.column("lead").to_pylist()
+            begin = 0
+            for i, x in enumerate(leads):
+                if x != lead and size + i - begin > 2000:
+                    held.append(batch.slice(begin, i - begin))
+                    yield done()
+                    held, begin, size = [], i, 0
+                lead = x
+            held.append(batch.slice(begin))
+            size += len(leads) - begin
+        if size:
+            yield done()
 
     def windows(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                some = batch.slice(lo, 2000)
-                h, n = window_hashes(some.column("context").to_pylist(), length)
+            for lo in range(0, batch.num_rows, 500):
+                some = batch.slice(lo, 500)
+                contexts = some.column("context").to_pylist()
+                n = np.array([len(x) - more for x in contexts])
                 at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                each = lambda x: np.repeat(some.column(x).to_numpy(), n)
-                yield _batch("rid long, start int, cls long, weight int, h long", [each("rid"), (each("a") + at).astype(np.int32), each("cls"), each("weight"), h.view(np.int64)])
-
-    spans = whole
-    todo = tasks(beside(asked, "asked"))
-    if todo is not None:
-        contexts = todo.mapInArrow(fetch, CONTEXT + ", hot boolean")
-        counted = asked.agg(F.count_if(~F.col("hot")).alias("cold"), F.count_if(F.col("hot")).alias("hot")).first()
-        cold = contexts.filter("not hot").drop("hot").repartitionByRange(max(1, -(-counted.cold // (bucket_rows // 10))), "lead").mapInArrow(compare, SPAN)
-        spans = spans.unionByName(cold)
-        if counted.hot:
-            each = contexts.filter("hot").drop("hot").mapInArrow(windows, "rid long, start int, cls long, weight int, h long")
-            twice = each.groupBy("cls", "h").agg(F.sum("weight").alias("w")).filter("w > 1").select("cls", "h")
-            spans = spans.unionByName(each.join(twice, ["cls", "h"]).select("rid", F.expr("cast(start as long)").alias("start"), F.expr(f"cast(start + {length} as long)").alias("end")))
+                each = lambda x: np.repeat(x, n)
+                digest = [hashlib.blake2b(x[i : i + length], digest_size=16).digest() for x in contexts for i in range(len(x) - more)]
+                yield _batch("rid long, start long, weight int, digest binary", [each(some.column("rid").to_numpy()), each(some.column("place").to_numpy() >> 16) + at, each(some.column("weight").to_numpy()), digest])
+
+    spans, n_asked = whole, asked.groupBy("hot").count().collect()
+    n_asked = {r.hot: r["count"] for r in n_asked}
+    if n_asked.get(False):
+        cold = fetch(False).repartitionById(buckets, "home").sortWithinPartitions("lead")
+        spans = spans.unionByName(cold.mapInArrow(lean(compare), SPAN))
+    if n_asked.get(True):
+        each = stored(fetch(True).mapInArrow(lean(windows), "rid long, start long, weight int, digest binary"), "windows")
+        twice = stored(each.groupBy("digest").agg(F.sum("weight").alias("w"), F.count("*").alias("times")).filter("w > 1").select("digest", "times"), "window-counts")
+        spans = spans.unionByName(dealt_join(each, twice, ["digest"], "times", each.count()).select("rid", "start", F.expr(f"start + {length}").alias("end")))
 
-    added = [("text", T.StringType())] if text_out else [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType())]
     out = T.StructType([*kept, *[T.StructField(n, t) for n, t in added]])
+    read_all = have.reader(["row", "begin", "ztext"], every=True)
 
     def cut(batches):
-        import hashlib
-
-        import pyarrow.parquet as pq
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for texts, where in zip(batch.column("texts").to_pylist(), batch.column("beside").to_pylist()):
-                found = _read(where, ["rid", "start", "end"])
-                c = {k: found.column(k).to_numpy() if found is not None else np.zeros(0, np.int64) for k in ("rid", "start", "end")}
-                by = np.lexsort((c["start"], c["rid"]))
-                rid, start, end = (c[k][by] for k in ("rid", "start", "end"))
-                fs, name = file_system(texts)
-                with fs.open_input_file(name) as f:
-                    for part in pq.ParquetFile(f).iter_batches(batch_size=500, columns=["rid", "row", "ztext"]):
-                        rids = part.column("rid").to_numpy()
-                        lo, hi = np.searchsorted(rid, rids), np.searchsorted(rid, rids, "right")
-                        results = []
-                        for i, z in enumerate(part.column("ztext").to_pylist()):
-                            text = unpack.decompress(z)
-                            s, e = start[lo[i] : hi[i]], np.maximum.accumulate(end[lo[i] : hi[i]])
-                            new = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]])) if len(s) else np.zeros(0, int)
-                            s, e = s[new], e[np.append(new[1:], len(e)) - 1] if len(new) else e
-                            left = b"".join([text[x:y] for x, y in zip([0, *e], [*s, len(text)])])
-                            results.append((left.decode(errors="ignore"),) if text_out else (len(text), len(text) - len(left), len(s), hashlib.sha256(left).hexdigest()))
-                        rows = part.column("row")
-                        yield pa.record_batch([*(rows.field(k) for k in range(len(names))), *(pa.array(x, pa.string() if isinstance(t, T.StringType) else pa.int64()) for x, (_, t) in zip(zip(*results), added))], names=[*names, *(n for n, _ in added)])
-
-    todo = tasks(beside(spans, "spans"))
-    return spark.createDataFrame([], out) if todo is None else todo.mapInArrow(cut, out)
-
-
-def _read(folder: str, columns: list[str]):
-    """The Parquet files of a folder of the shared store as a table; None if there is none."""
-    import pyarrow.parquet as pq
-    from pyarrow import fs as pafs
-
-    fs, name = file_system(folder)
-    files = [x.path for x in fs.get_file_info(pafs.FileSelector(name, allow_not_found=True)) if x.path.endswith(".parquet")]
-    if not files:
-        return None
-    tables = []
-    for x in files:
-        with fs.open_input_file(x) as f:
-            tables.append(pq.ParquetFile(f).read(columns=columns))
-    return pa.concat_tables(tables)
+        held, beside, results, users = [], None, [], []
+
+        def done():
+            """Of a document whose stretches are ``held``: (rid, begin, text)."""
+            spans = []
+            for rid, begin, _ in held:
+                lo, hi = np.searchsorted(beside["rid"], [rid, rid + 1])
+                spans.append(np.stack([beside["start"][lo:hi], beside["end"][lo:hi]]).astype(np.int64) + begin)
+            s, e = np.concatenate(spans, 1)
+            by = np.argsort(s, kind="stable")
+            s, e = s[by], np.maximum.accumulate(e[by])
+            new = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]])) if len(s) else np.zeros(0, int)
+            s, e = s[new], e[np.append(new[1:], len(e)) - 1] if len(new) else e
+            text = held[0][2] if len(held) == 1 else b"".join([t[:STRETCH] for _, _, t in held[:-1]] + [held[-1][2]])
+            left = b"".join([text[x:y] for x, y in zip([0, *e], [*s, len(text)])])
+            return (left.decode(errors="ignore"),) if text_out else (len(text), len(text) - len(left), len(s), hashlib.sha256(left).hexdigest())
+
+        def batch():
+            rows = pa.concat_arrays(users)
+            columns = [pa.array(x, pa.string() if isinstance(t, T.StringType) else pa.int64()) for x, (_, t) in zip(zip(*results), added)]
+            return pa.record_batch([*(rows.field(k) for k in range(len(names))), *columns], names=[*names, *(n for n, _ in added)])
+
+        size = 0
+        for now, part in read_all(batches):
+            rows = part.column("row")
+            for i, (rid, begin, z) in enumerate(zip(*(part.column(c).to_pylist() for c in ("rid", "begin", "ztext")))):
+                if begin == 0:
+                    if held:
+                        results.append(done())
+                        held = []
+                    if size > 1 << 20 or len(results) > 200:
+                        yield batch()
+                        results, users, size = [], [], 0
+                    users.append(rows.slice(i, 1))
+                beside = now
+                held.append((rid, begin, unpack.decompress(z)))
+                size += len(held[-1][2]) if text_out else 0
+        if held:
+            results.append(done())
+            yield batch()
+
+    return have.tasks(spans, all_files=True).mapInArrow(lean(cut), out)
 
 
 def op2_suffixes(spark, sf_dir: str) -> DataFrame:

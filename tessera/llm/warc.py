@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, shared_dir, table
+from .common import dealt_join, file_system, lean, shared_dir, slices, stored, table
 
 # The magic number of the skippable frame that holds a dictionary, and of a Zstandard frame.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -51,15 +51,17 @@ def with_originals(pages: DataFrame, least: int = 100) -> DataFrame:
     """Adds payload (UTF-8; null html: empty), payload_digest and refers_to.
 
     Of rows with equal payloads of at least ``least`` bytes, the one with the smallest page_id is the original (refers_to null); the
-    others refer to it. Smallest ids are pre-aggregated by digest; rows that no other row equals aren't joined.
-    Of repeated rows with the smallest page_id, each is an original; where no page_id is known, all are.
+    others refer to it. Of repeated rows with the smallest page_id, each is an original; where no page_id is known, all are.
+    Smallest ids are pre-aggregated by digest, and only digests that come twice are joined; those with many rows are broadcast, a few
+    hundred at most, so pages with one payload are never dealt to one task.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    pages = pages.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("large", F.octet_length("payload") >= least)
-    groups = pages.filter("large").groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("payload_digest", "first_id")
-    large = pages.filter("large").join(groups, "payload_digest", "left")
-    small = pages.filter("not large").withColumn("first_id", F.lit(None).cast("long"))
-    return large.unionByName(small).withColumn("refers_to", F.expr("if(first_id is null or page_id <=> first_id, null, first_id)")).drop("first_id", "large")
+    pages = pages.withColumn("payload_digest", F.sha2("payload", 256))
+    large = F.octet_length("payload") >= least
+    groups = pages.filter(large).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
+    groups = stored(groups, "originals")
+    met = dealt_join(pages, groups, ["payload_digest"], "n", pages.count(), "left")
+    return met.withColumn("refers_to", F.expr("if(first_id is null or page_id <=> first_id, null, first_id)")).drop("first_id")
 
 
 def write_warc(pages: DataFrame, path: str, least: int = 100, dictionary_bytes: int = 112_640, samples: int = 2_000, sample_bytes: int = 8 << 20, level: int = 3) -> DataFrame:
@@ -69,7 +71,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 100, dictionary_bytes:
     too little to build one, the first records themselves are the dictionary. It stands in a skippable frame at the file's start;
     every record is a Zstandard frame of its own. An index beside the archive has a line for each record: offset, length, page_id.
     Null or empty html has an empty payload, null url or page_id no header; repeated rows are records of their own; other columns
-    are ignored; an empty table has no archives.
+    are ignored; an empty table has no archives. A long payload is one record, in one task.
     """
     spark = pages.sparkSession
     date = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -82,8 +84,8 @@ def write_warc(pages: DataFrame, path: str, least: int = 100, dictionary_bytes:
 
         def records():
             for batch in batches:
-                for at in range(0, batch.num_rows, 100):
-                    for x in batch.slice(at, 100).to_pylist():
+                for some in slices(batch, "payload"):
+                    for x in some.to_pylist():
                         yield x["page_id"], record(x["page_id"], x["url"], x["payload"], x["payload_digest"], x["refers_to"], date)
 
         rows, first, n = records(), [], 0
@@ -118,7 +120,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 100, dictionary_bytes:
             fs.move(f"{own}.{kind}", f"{root}/{name}.{kind}")
         yield pa.record_batch([pa.array([f"{path}/{name}"]), pa.array([count]), pa.array([at])], names=["path", "n_records", "n_bytes"])
 
-    with_originals(pages, least).select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
+    with_originals(pages, least).select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(lean(write), MANIFEST).write.parquet(f"{path}/manifest")
     return spark.read.parquet(f"{path}/manifest")
 
 
@@ -151,7 +153,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.mapInArrow(read, READ)
+    return files.mapInArrow(lean(read), READ)
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
@@ -167,6 +169,6 @@ d AS (SELECT page_id, octet_length(payload) AS n, sha256(payload) AS digest FROM
 f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS first_id FROM d)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
        CASE WHEN first_id IS NULL OR first_id IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+       CASE WHEN first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
 FROM f
 """

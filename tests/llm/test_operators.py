@@ -93,10 +93,11 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("bucket_rows,hot", [(200_000, 20_000), (40, 1)])
-def test_repeats_against_brute_force(spark, docs, rows, bucket_rows, hot):
-    out = suffixes.remove_repeats(docs, bucket_rows=bucket_rows, hot=hot)
-    assert out.columns == ["doc_id", "lang", "source", "n_chars", "offset", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+@pytest.mark.parametrize("bucket_rows,hot,hash_bits", [(200_000, 20_000, 64), (40, 1, 64), (100, 20_000, 3)])
+def test_repeats_against_brute_force(spark, docs, rows, bucket_rows, hot, hash_bits):
+    """Whole, in many buckets with every shared class a hot one, and with hashes that nearly all collide."""
+    out = suffixes.remove_repeats(docs, bucket_rows=bucket_rows, hot=hot, hash_bits=hash_bits)
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "rid", "offset", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect())
     want = brute_repeats([(r[1] or "").encode() for r in rows], 200)
     assert got == Counter((r[0], *w) for r, w in zip(rows, want))
@@ -276,7 +277,10 @@ def test_jaccard_components(spark, threshold, k, block):
                 w[i] = "changed" + str(rng.integers(50))
             rows.append((len(rows), " ".join(w)))
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, comp int").repartition(3)
-    out, _ = ngrams.jaccard_classes(df, threshold=threshold, words=k, bucket_rows=200, block=block)
+    counts: dict = {}
+    out = ngrams.with_classes(df, threshold=threshold, words=k, bucket_rows=200, block=block, counts=counts)
+    assert out.columns == ["doc_id", "n_shingles", "comp", "component_id"]
+    assert counts["from_trees"] >= counts["linked"] > 0
     got = defaultdict(list)
     for r in out.collect():
         got[r.comp].append((r.doc_id, r.n_shingles))
@@ -288,7 +292,7 @@ def test_jaccard_components(spark, threshold, k, block):
     assert sorted((sorted(x, key=key) for x in got.values()), key=str) == sorted((sorted(x, key=key) for x in want.values()), key=str)
     kept = ngrams.keep_one(df.drop("comp"), threshold=threshold, words=k).collect()
     assert len(kept) == len(want)
-    assert ngrams.jaccard_classes(df.limit(0))[0].count() == 0 and ngrams.keep_one(df.drop("comp").limit(0)).count() == 0
+    assert ngrams.with_classes(df.limit(0)).count() == 0 and ngrams.keep_one(df.drop("comp").limit(0)).count() == 0
 
 
 def test_tree_bound_loses_nothing():
@@ -348,7 +352,7 @@ def test_language_filters(spark, docs, rows, empty):
 
 def test_filters_of_many_languages():
     rows = np.zeros((2, 1 << 10), np.uint64)
-    g = langid.grams("abcdefgh")
+    g = langid.grams(langid.letters_of("abcdefgh"))
     for i in range(4):
         rows[1, langid.slots(g, i, 10)] |= np.uint64(1 << 5)
     f = langid.Filters([f"l{i:02}" for i in range(70)], rows, 4)
