@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .common import STRETCH, Filed, dealt_join, dropped, gathered, kept, lean, mix64, pa_bool, prefix_hash, slices, span_hash, stored, table
 
-COORDINATES = 64
+COORDINATES = 256
 FINE = 1 << 20  # groups in a band
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -167,9 +167,9 @@ class RTree:
         return rows
 
     def pairs(self, threshold: float, label: np.ndarray):
-        """(rows, rows, least overlaps needed) of pairs with different labels whose overlap could be large enough: the tree joined with itself, level by level."""
+        """(rows, rows, bound on the overlap over the overlap needed) of pairs with different labels whose overlap could be large enough: the tree joined with itself, level by level."""
         share, label = threshold / (1 + threshold), label[self.order]
-        points, sizes = self.points[self.order].astype(np.int32), self.sizes[self.order]
+        points, sizes = self.points[self.order], self.sizes[self.order]
         n = len(self.levels[-1][0])
         i, j = np.triu_indices(n)
         below = np.arange(self.leaf)
@@ -181,22 +181,23 @@ class RTree:
                 i, j = (np.broadcast_to(x, (len(i), self.leaf, self.leaf)).ravel() for x in (i[:, None, None] * self.leaf + below[None, :, None], j[:, None, None] * self.leaf + below))
                 good = (i <= j) & (j < len(self.levels[depth - 1][0]))
                 i, j = i[good], j[good]
-        for at in range(0, len(i), 256):
-            a, b = (np.broadcast_to(x, (len(x), self.leaf, self.leaf)).ravel() for x in (i[at : at + 256, None, None] * self.leaf + below[None, :, None], j[at : at + 256, None, None] * self.leaf + below))
+        for at in range(0, len(i), 64):
+            a, b = (np.broadcast_to(x, (len(x), self.leaf, self.leaf)).ravel() for x in (i[at : at + 64, None, None] * self.leaf + below[None, :, None], j[at : at + 64, None, None] * self.leaf + below))
             good = (a < b) & (b < len(points))
-            a, b, need = leaf_pairs(points, sizes, label, a[good], b[good], share)
-            yield self.order[a], self.order[b], need
+            a, b, over = leaf_pairs(points, sizes, label, a[good], b[good], share)
+            yield self.order[a], self.order[b], over
 
 
 def leaf_pairs(points: np.ndarray, sizes: np.ndarray, label: np.ndarray, a: np.ndarray, b: np.ndarray, share: float):
-    """Of pairs of rows, those with different labels whose summed minima are large enough; and the least overlap that each needs."""
+    """Of pairs of rows, those with different labels whose summed minima are large enough; and how many times as large as needed."""
     good = label[a] != label[b]
     a, b = a[good], b[good]
     need = share * (sizes[a] + sizes[b]) - 1e-9
     good = np.minimum(sizes[a], sizes[b]) >= need
     a, b, need = a[good], b[good], need[good]
-    good = np.minimum(points[a], points[b]).sum(1) >= need
-    return a[good], b[good], need[good]
+    have = np.minimum(points[a], points[b]).sum(1)
+    good = have >= need
+    return a[good], b[good], have[good] / np.maximum(need[good], 1e-9)
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -242,39 +243,33 @@ def _groups(batches, keys: list[str]):
         yield key, held
 
 
-def _first_partner(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs of rows (a < b), for each b the one with the smallest a: a forest among what could link, one pair a row at most."""
-    by = np.lexsort((a, b))
-    a, b = a[by], b[by]
-    new = np.concatenate([[True], b[1:] != b[:-1]]) if len(b) else np.zeros(0, bool)
-    return a[new], b[new]
-
-
 def tree_join(groups: list, threshold: float, forest: bool):
     """Pairs (u, v) of nodes out of the trees of some cells: small cells are a leaf each and are joined together, a large one has a tree of its own.
 
-    With ``forest``, of the pairs that the bound leaves, one for each node: that with the first node of its cell, if it is among
-    them. Without, all pairs of nodes in different components, one of them at least ``apart``.
+    With ``forest``, of the pairs that the bound leaves, one for each node, that with the cell's first node among its partners;
+    without, all pairs of nodes in different components, one of them at least ``apart``. ``over`` tells how the bound stands to what is needed.
     """
     share, sizes = threshold / (1 + threshold), [len(c["node"]) for _, c in groups]
     column = lambda name: np.array([x for _, c in groups for x in c[name]])
     node = column("node")
     label, apart = (np.arange(len(node)), np.ones(len(node), bool)) if forest else (column("comp"), column("apart"))
-    points = np.stack([coordinates(p) for _, c in groups for p in c["corner"]]).astype(np.int32)
+    points = np.stack([coordinates(p) for _, c in groups for p in c["corner"]])
+    points = points.astype(np.int16 if points.max() < 1 << 15 else np.int32)
     if len(groups) == 1:
         found = RTree(points).pairs(threshold, label)
     else:
         begin = np.cumsum([0, *sizes[:-1]])
         every = [np.stack(np.triu_indices(n, 1)) + at for n, at in zip(sizes, begin)]
         found = [leaf_pairs(points, points.sum(1), label, *np.concatenate(every, 1), share)]
-    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*[(np.minimum(x, y), np.maximum(x, y)) for x, y, _ in found] or [((), ())]))
-    a, b = a.astype(np.int64), b.astype(np.int64)
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    a, b, over = (np.concatenate(x) for x in zip(none, *[(np.minimum(x, y), np.maximum(x, y), z) for x, y, z in found]))
     if forest:
-        a, b = _first_partner(a, b)
+        by = np.lexsort((a, b))
+        good = by[np.concatenate([[True], b[by][1:] != b[by][:-1]])] if len(b) else by
     else:
         good = apart[a] | apart[b]
-        a, b = a[good], b[good]
-    return pa.record_batch([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["u", "v"])
+    a, b, over = a[good], b[good], over[good]
+    return pa.record_batch([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b])), pa.array(over)], names=["u", "v", "over"])
 
 
 def joined_cells(threshold: float, forest: bool, keys: list[str]):
@@ -289,7 +284,7 @@ def joined_cells(threshold: float, forest: bool, keys: list[str]):
                 continue
             small.append(group)
             pairs += m * m // 2
-            if pairs > 50_000:
+            if pairs > 20_000:
                 yield tree_join(small, threshold, forest)
                 small, pairs = [], 0
         if small:
@@ -311,8 +306,9 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.9, words: int = 3, buc
     doc_id of the component) and best (rid of the row that has it; null doc_ids last). Empty sets are in ``rows`` alone.
 
     Equal sets are joined by a 128-bit hash first; the index holds each distinct set once. Cells are joined twice. First every
-    cell's tree gives one pair for each node, the first partner that the bound leaves it; then, of cells whose nodes verified links
-    don't connect, all pairs between nodes of different components that the bound leaves, but for those between two nodes of
+    cell's tree gives one pair for each node, the first partner that the bound leaves it; of a node's pairs from all its cells, the
+    two with the best bounds are verified, and after that those that still lie between components. Then, of cells whose nodes verified
+    links don't connect, all pairs between nodes of different components that the bound leaves, but for those between two nodes of
     the cell's largest component, which are connected (in blocks of ``block``, if there are many). So no pair gets into a
     component unverified, no link between components is lost, and no group's pairs are all listed. ``counts``, if given, gets the
     numbers of pairs that the trees gave and of those verified.
@@ -458,9 +454,17 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.9, words: int = 3, buc
     places = F.explode(F.when(F.col("node") == F.col("head"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own)))  # the first node is in each block
     dealt = cells.join(corners, "node").withColumn("i", places).select("key", "i", "node", "corner")
     dealt = dealt.repartition("key", "i").sortWithinPartitions("key", "i", "node")
-    forest = stored(dealt.mapInArrow(lean(joined_cells(threshold, True, ["key", "i"])), "u long, v long").distinct(), "pairs")
-    links = verified(forest)
+    pair = "u long, v long, over double"
+    forest = dealt.mapInArrow(lean(joined_cells(threshold, True, ["key", "i"])), pair).groupBy("u", "v").agg(F.max("over").alias("over"))
+    forest = stored(forest.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("over"), "u"))), "pairs")
+    links = verified(forest.filter("place <= 2").select("u", "v"))
     comp = components(links, "components")
+    of = lambda x: comp.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"))
+    later = forest.filter("place > 2").join(of("u"), "u", "left").join(of("v"), "v", "left").filter("coalesce(comp_u, u) <> coalesce(comp_v, v)")
+    later = stored(later.select("u", "v"), "pairs")
+    if not later.isEmpty():
+        links = links.unionByName(verified(later))
+        comp = components(links, "components")
 
     # cells whose nodes aren't all connected: the other pairs that the trees leave, but for those in the cell's largest component
     labelled = cells.filter("m > 2").drop("head").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -475,8 +479,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.9, words: int = 3, buc
         all_rows = rows.withColumn("apart", F.lit(False)).withColumn("j", other).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("is") - 1)))
         wanted = ["key", "i", "j", "node", "comp", "apart"]
         dealt = those.select(*wanted).unionByName(all_rows.select(*wanted)).join(corners, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-        found = dealt.mapInArrow(lean(joined_cells(threshold, False, ["key", "i", "j"])), "u long, v long").distinct()
-        more = stored(found.join(forest, ["u", "v"], "left_anti"), "pairs")
+        found = dealt.mapInArrow(lean(joined_cells(threshold, False, ["key", "i", "j"])), pair).select("u", "v").distinct()
+        more = stored(found.join(forest.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
         links = links.unionByName(verified(more))
         comp = components(links, "components")
 

@@ -104,7 +104,8 @@ def sorted_bucket(batches, hot: int):
 
     TWICE: the context stands elsewhere too. ASK: one row for each context of a class that has several, some of them not
     repeated (HOT: of over ``hot`` contexts). The bucket's first and last class may go on next door: their rows are FIRST or LAST
-    instead, HEAD or TAIL if of the outermost context, and what they are is settled when edges are exchanged.
+    instead (one row for each context), HEAD or TAIL if of an outermost context met once, and what they are is settled when edges
+    are exchanged.
     """
     rows = gathered(batches)
     if rows is None:
@@ -133,7 +134,8 @@ def _one_bucket(bucket: int, c: dict, hot: int) -> pa.RecordBatch:
         state[own] &= ~(ASK | HOT)
         whole = bool(own.all())
         state[own & first] |= flag if not whole else FIRST
-        state[full == full[end]] |= tip
+        if not twice[end]:
+            state[end] |= tip
         low, high = ((np.stack([c[w][i] for w in WORDS[4:]]).astype("<i8").tobytes(), int(times[full[i]])) for i in outer)
         edges.append(_edge(np.stack([c[w][end] for w in WORDS[:4]]).astype("<i8").tobytes(), low, high, int(kinds[cls[end]]), int(alone[cls[end]]), whole))
     keep = np.flatnonzero(state & (TWICE | ASK | FIRST | LAST))
