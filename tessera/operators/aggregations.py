@@ -47,12 +47,12 @@ def zero_filled(counts: DataFrame, labels: list[str], key: str, n: str) -> DataF
 
 
 def binomial_tail(b: Column, c: Column) -> Column:
-    """Two-sided exact McNemar p for b and c discordant pairs, by a running sum of logarithms; 1 where there are none."""
+    """Two-sided exact McNemar p for b and c discordant pairs; 1 where there are none. One fold carries the logarithm of the term and the sum."""
     n, k = (b + c).cast("int"), F.least(b, c).cast("int")
-    steps = F.sequence(F.lit(0), k)
-    # log C(n, i) = sum over j <= i of log((n - j + 1) / j)
-    log_choose = lambda i: F.when(i > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(i, F.lit(1))), F.lit(0.0), lambda s, j: s + F.log((n - j + 1) / j))).otherwise(0.0)
-    tail = F.aggregate(steps, F.lit(0.0), lambda s, i: s + F.exp(log_choose(i) - n * F.log(F.lit(2.0))))
+    start = F.struct((-n * F.log(F.lit(2.0))).alias("term"), F.lit(0.0).alias("total"))
+    # after term i comes term i + 1: times (n - i) / (i + 1)
+    step = lambda s, i: F.struct((s["term"] + F.coalesce(F.log((n - i) / (i + 1)), F.lit(0.0))).alias("term"), (s["total"] + F.exp(s["term"])).alias("total"))
+    tail = F.aggregate(F.sequence(F.lit(0), k), start, step)["total"]
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 

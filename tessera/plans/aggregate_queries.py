@@ -135,10 +135,11 @@ DISCORDANT = "WITH x AS (SELECT o_custkey % 500 AS grp, o_orderstatus = 'F' AS a
 P_SQL = "CASE WHEN fixed + broke = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(fixed, broke) + 1), lambda i: exp(lgamma(fixed + broke + 1) - lgamma(i + 1) - lgamma(fixed + broke - i + 1) - (fixed + broke) * ln(2.0))))) END"
 
 
-@query("e16_exact_mcnemar", f"{DISCORDANT} SELECT grp, n, fixed, broke, round({P_SQL}, 6) AS p FROM d")
+@query("e16_exact_mcnemar", f"{DISCORDANT} SELECT grp, n, fixed, broke, round({P_SQL} + 1e-9, 6) AS p FROM d")
 def e16(t):
+    # p is a multiple of a power of two, often half of the last decimal: both sides are rounded 1e-9 higher
     x = arms(t).withColumn("grp", F.col("o_custkey") % 500)
-    return A.paired_counts(x, ["grp"], "a", "b").withColumn("p", r6(A.binomial_tail(F.col("fixed"), F.col("broke"))))
+    return A.paired_counts(x, ["grp"], "a", "b").withColumn("p", r6(A.binomial_tail(F.col("fixed"), F.col("broke")) + 1e-9))
 
 
 @query("e17_sign_test", f"WITH d AS (SELECT l_suppkey, count(*) FILTER (l_discount > l_tax) AS fixed, count(*) FILTER (l_discount < l_tax) AS broke FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1) SELECT l_suppkey, fixed AS plus, broke AS minus, round({P_SQL}, 6) AS p FROM d".replace("WHERE l_orderkey % 10 = 0 ", ""))

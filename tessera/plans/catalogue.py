@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregate_queries, join_queries, ranking_queries, sequence_queries, similarity_queries, stream_queries, text_queries, whole_queries  # noqa: F401  importing registers
+from . import aggregate_queries, evidence_queries, join_queries, ranking_queries, script_queries, sequence_queries, similarity_queries, stream_queries, text_queries, whole_queries  # noqa: F401  importing registers
 from .registry import QUERIES, SQL
 
 
