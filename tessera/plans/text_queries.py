@@ -9,11 +9,6 @@ from .registry import query
 
 W = r"[\p{L}\p{N}_]+"
 TOKENS = rf"regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '{W}')"
-REDACTIONS = [
-    (r"/home/[^/\s]+|/Users/[^/\s]+|[A-Za-z]:\\Users\\[^\\\s]+", "~"), (r"([a-zA-Z][a-zA-Z0-9+.-]*://)[^/\s:@]+:[^/\s@]+@", r"\1[REDACTED]@"), (r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{16,}", "Bearer [REDACTED]"),
-    (r"\b(sk-[A-Za-z0-9_-]{16,}|(?:gh[pousr]|github_pat)_[A-Za-z0-9_]{16,}|xox[baprs]-[A-Za-z0-9-]{10,}|AKIA[0-9A-Z]{16}|eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,})\b", "[REDACTED]"),
-    (r"(?i)\b(api[_-]?key|token|password|secret|authorization|bearer)(\s*[=:]\s*)([^\s,;]+)", r"\1\2[REDACTED]"),
-]
 
 
 def replaced(x: str, rules) -> str:
@@ -78,7 +73,7 @@ def c13(t):
     return t.documents.select("doc_id", F.length(clean).alias("n_chars"), digest(clean).alias("digest"))
 
 
-@query("c14_source_health", f"SELECT doc_id, len(text) - len(replace(text, chr(65533), '')) AS lost, {' + '.join(count('text', p) for _, p, _ in T.CONTRACTIONS)} AS broken FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
+@query("c14_source_health", f"SELECT doc_id, len(text) - len(replace(text, chr(65533), '')) AS lost, {' + '.join(count('text', p) for p, _ in T.CONTRACTIONS)} AS broken FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def c14(t):
     x = T.plain("text")
     return t.documents.select("doc_id", F.regexp_count(x, F.lit("�")).cast("long").alias("lost"), T.broken_contractions(x).cast("long").alias("broken"))
@@ -101,7 +96,7 @@ def c16(t):
     return lines.groupBy("doc_id").agg(F.count_if((o > c) & F.col("l").rlike(r"—\s*$")).alias("open_ended"), F.count_if((c > o) & F.col("l").rlike(r"^\s*—")).alias("close_started"))
 
 
-IN_SQL = [(p, by.replace("$", "\\")) for _, p, by in T.CONTRACTIONS]
+IN_SQL = [(p, by.replace("$", "\\")) for p, by in T.CONTRACTIONS]
 
 
 @query("c17_contractions", "SELECT doc_id, md5(" + replaced("coalesce(text, '')", IN_SQL) + ") AS digest FROM documents")
@@ -186,7 +181,7 @@ def c37(t):
     return t.conversations.select("conv_id", "turn", T.is_machine_output(x).alias("machine"), T.is_structural(x).alias("structural"), T.is_section_break(x).alias("section_break"), T.is_group_label(F.col("role")).alias("group_label"), T.is_nonverbal(x).alias("nonverbal"))
 
 
-@query("c38_redaction", "SELECT doc_id, md5(" + replaced("coalesce(text, '')", REDACTIONS) + ") AS digest FROM documents")
+@query("c38_redaction", "SELECT doc_id, md5(" + replaced("coalesce(text, '')", [(p, by.replace("$", "\\")) for p, by in T.secret_shapes()]) + ") AS digest FROM documents")
 def c38(t):
     return t.documents.select("doc_id", digest(T.redacted(T.plain("text"))).alias("digest"))
 
@@ -197,7 +192,7 @@ def c39(t):
     return t.pages.select("page_id", F.array_join(F.filter(words, lambda w: ~w.rlike("^[0-9]+$") & ~w.isin("http", "https", "www")), "-").alias("slug"))
 
 
-LISTED = lambda words: ", ".join(f"'{w}'" for w in words.split("|"))
+LISTED = lambda words: ", ".join(f"'{w}'" for w in words)
 
 
 @query("c42_traits", rf"WITH c AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ({LISTED(T.MALE)}))) AS m, len(list_filter(w, lambda x: x IN ({LISTED(T.FEMALE)}))) AS f FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{W}') AS w FROM documents)) SELECT doc_id, CASE WHEN m > f THEN 'male' WHEN f > m THEN 'female' ELSE 'unknown' END AS gender, CASE WHEN doc_id % 90 <= 12 THEN 'child' WHEN doc_id % 90 <= 19 THEN 'teen' WHEN doc_id % 90 <= 29 THEN 'young_adult' WHEN doc_id % 90 <= 39 THEN 'adult' WHEN doc_id % 90 <= 59 THEN 'middle_aged' ELSE 'elderly' END AS age FROM c")
