@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,36 +34,63 @@ def group_similarity(df: DataFrame, group: str, vector: str) -> DataFrame:
     return a.join(b, "i").filter("a <= b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("similarity"))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that the session names; one of our own only where none is named and the master is local (tests)."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+    return df.checkpoint()
+
+
 def complete_link(similarities: DataFrame, threshold: float, must: list | None = None, cannot: list | None = None) -> DataFrame:
-    """Complete-link clusters of labels from rows (a, b, similarity): label, cluster (its smallest label).
+    """Complete-link clusters of labels from rows (a, b, similarity), a pair once: label, cluster (its smallest label).
 
-    The pair of clusters whose least similarity is largest merges while that exceeds ``threshold``, ties to the smaller members. Must-link
-    pairs merge first, cannot-link pairs never. Labels are groups (voices, speakers), so their matrix is bounded by the number of
-    groups and goes to one task.
+    The pair of clusters whose least similarity is largest merges while that exceeds ``threshold``, ties to the smaller labels. Must-link
+    pairs merge first, cannot-link pairs never. Clusters that are each other's best partner merge in one round, since no other merge
+    can come between them; a round is a few joins over the pairs above the threshold, so nothing goes to one task.
     """
-
-    def run(rows: pa.Table) -> pa.Table:
-        sim: dict = {}
-        for a, b, s in zip(*(rows.column(c).to_pylist() for c in ("a", "b", "similarity"))):
-            sim[a, b] = sim[b, a] = s
-        clusters = [(x,) for x in sorted({a for a, _ in sim})]
-        banned = {frozenset(x) for x in cannot or []}
-        for a, b in must or []:
-            x, y = next(c for c in clusters if a in c), next(c for c in clusters if b in c)
-            if x != y:
-                clusters = [c for c in clusters if c not in (x, y)] + [tuple(sorted(x + y))]
-        while True:
-            found = [(-least, x, y) for i, x in enumerate(sorted(clusters)) for y in sorted(clusters)[i + 1 :] if not any(frozenset((a, b)) in banned for a in x for b in y) and (least := min(sim.get((a, b), float("-inf")) for a in x for b in y)) > threshold]
-            if not found:
-                break
-            _, x, y = min(found)
-            clusters = [c for c in clusters if c not in (x, y)] + [tuple(sorted(x + y))]
-        pairs = [(x, c[0]) for c in clusters for x in c]
-        return pa.table({"label": pa.array([x for x, _ in pairs], kind), "cluster": pa.array([c for _, c in pairs], kind)})
-
-    name = dict(similarities.dtypes)["a"]
-    kind = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[name]
-    return similarities.select("a", "b", "similarity").groupBy(F.lit(1).alias("one")).applyInArrow(run, f"label {name}, cluster {name}")
+    spark = similarities.sparkSession
+    kind = dict(similarities.dtypes)["a"]
+    labels = similarities.select(F.col("a").alias("label")).unionByName(similarities.select(F.col("b").alias("label"))).distinct()
+    first: dict = {}
+
+    def root(x):
+        while x in first:
+            x = first[x]
+        return x
+
+    for a, b in must or []:
+        x, y = sorted((root(a), root(b)))
+        if x != y:
+            first[y] = x
+    named = spark.createDataFrame([(x, root(x)) for x in first], f"label {kind}, cluster {kind}")
+    members = cut(labels.join(F.broadcast(named), "label", "left").select("label", F.coalesce("cluster", "label").alias("cluster")))
+    pairs = similarities.filter((F.col("similarity") > threshold) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity", F.lit(1).cast("long").alias("n"))
+    if cannot:
+        pairs = pairs.join(F.broadcast(spark.createDataFrame([tuple(sorted(x)) for x in cannot], f"a {kind}, b {kind}")), ["a", "b"], "left_anti")
+
+    def between(pairs: DataFrame, members: DataFrame, moved: DataFrame) -> DataFrame:
+        """Pairs of clusters all of whose cross pairs are there, by where their labels have ``moved`` (old, cluster)."""
+        to = lambda c: moved.select(F.col("old").alias(c), F.col("cluster").alias(f"new_{c}"))
+        now = pairs.join(to("a"), "a", "left").join(to("b"), "b", "left").withColumns({c: F.coalesce(f"new_{c}", c) for c in ("a", "b")})
+        now = now.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("similarity").alias("similarity"), F.sum("n").alias("n"))
+        sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
+        of = lambda c: sizes.select(F.col("cluster").alias(c), F.col("size").alias(f"size_{c}"))
+        return now.join(of("a"), "a").join(of("b"), "b").filter("n = size_a * size_b").select("a", "b", "similarity", "n")
+
+    pairs = cut(between(pairs, members, members.select(F.col("label").alias("old"), "cluster")))
+    while True:
+        sides = pairs.select(F.col("a").alias("x"), "a", "b", "similarity").unionByName(pairs.select(F.col("b").alias("x"), "a", "b", "similarity"))
+        best = sides.groupBy("x").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "a", "b")).alias("best"))
+        merged = best.groupBy("best.a", "best.b").agg(F.count("*").alias("n")).filter("n = 2").select(F.col("b").alias("old"), F.col("a").alias("cluster"))
+        merged = cut(merged)
+        if merged.isEmpty():
+            return members
+        moved = merged.withColumnRenamed("cluster", "to")
+        members = cut(members.join(moved, members["cluster"] == moved["old"], "left").select("label", F.coalesce("to", "cluster").alias("cluster")))
+        pairs = cut(between(pairs, members, merged))
 
 
 def cooccurrence(df: DataFrame, keys: list[str], pos: str, name: str, window: int) -> DataFrame:
