@@ -150,3 +150,17 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()))], names=["path", "chapter", "file", "text", "warning"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, chapter int, file string, text string, warning string")
+
+
+def read_annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Stand-off annotation files: (spans: file, id, type, start, end, text; relations: file, type, arg1, arg2).
+
+    A span in several pieces is given from its first to its last offset; lines of other kinds, or without offsets, are left out.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\t").alias("p")).filter(F.size("p") >= 2)
+    offsets = F.transform(F.regexp_extract_all(F.col("p")[1], F.lit("[0-9]+"), F.lit(0)), lambda x: x.cast("int"))
+    spans = rows.filter(F.col("p")[0].startswith("T")).withColumn("o", offsets).filter(F.size("o") > 0)
+    spans = spans.select("file", F.col("p")[0].alias("id"), F.split(F.col("p")[1], " ")[0].alias("type"), F.array_min("o").alias("start"), F.array_max("o").alias("end"), F.coalesce(F.get("p", F.lit(2)), F.lit("")).alias("text"))
+    shape = r"^(\w+) Arg1:(\w+) Arg2:(\w+)"
+    related = rows.filter(F.col("p")[0].startswith("R") & F.col("p")[1].rlike(shape))
+    return spans, related.select("file", *[F.regexp_extract(F.col("p")[1], shape, i).alias(n) for i, n in enumerate(("type", "arg1", "arg2"), 1)])
