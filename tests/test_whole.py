@@ -196,57 +196,3 @@ def test_speaker_runs_merge_within_their_limit(spark):
             want.append((c, i, who, text, 1, len(text)))
     got = df.select("conv", "turn", "who", "text", "n_lines").collect()
     assert sorted(tuple(r) for r in got) == [x[:5] for x in want]
-
-
-def test_added_tokens_have_their_own_id():
-    import numpy as np
-    from tokenizers import Tokenizer
-
-    from tessera.llm import common
-
-    fresh, end = Tokenizer.from_file(common.vocabulary()), "<|endoftext|>"
-    texts = [f"{end} x", f"a{end}", f"a {end}b", f"a  {end}", f"a\n {end}  b", f"a\n\n{end}\n\nb", f"é {end}{end} .", "no token", f"{end[:-1]} >"]
-    want = [np.array(fresh.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert common.Encoder(common.vocabulary())(texts) == want
-    assert want[0][:4] == (50256).to_bytes(4, "little")
-
-
-def test_mixed_rows_lie_by_shard_and_slot(spark):
-    from tessera.llm import mixing
-
-    rng = random.Random(11)
-    rows = [(i, " ".join(f"w{i}x{j}" for j in range(rng.randrange(1, 200))), f"s{i % 3}") for i in range(300)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
-    first = {}
-    for p in mixing.mix(docs, shard_slots=64)[1].collect():
-        at = first.get((p.doc_id, p.epoch))
-        first[p.doc_id, p.epoch] = min(at, (p.word, p.shard, p.slot)) if at else (p.word, p.shard, p.slot)
-    want = sorted((shard, slot, i) for (i, _), (_, shard, slot) in first.items())
-    assert len({x[0] for x in want}) > 5
-    parts = mixing.mixed_texts(docs, shard_slots=64).select("doc_id", F.spark_partition_id().alias("p")).collect()
-    found = {}
-    for r in parts:
-        found.setdefault(r.p, []).append(r.doc_id)
-    assert sorted(i for x in found.values() for i in x) == sorted(i for *_, i in want)
-    shards = {}
-    for shard, _, i in want:
-        shards.setdefault(shard, []).append(i)
-    # each partition is a sequence of whole shards, in order
-    for ids in found.values():
-        at, last = 0, -1
-        while at < len(ids):
-            shard = next(s for s in shards if s > last and ids[at : at + len(shards[s])] == shards[s])
-            at, last = at + len(shards[shard]), shard
-
-
-def test_a_text_does_not_vouch_for_itself(spark):
-    import corpus_pipeline
-
-    rng = random.Random(12)
-    pool = ["".join(rng.choice("abcde") for _ in range(6)) for _ in range(60)]
-    rows = [(i, " ".join(rng.choice(pool) for _ in range(80)), "en") for i in range(30)]
-    noise = "".join(rng.choice("qwxzjkvy") for _ in range(300))
-    rows += [(100, noise, "en"), (101, noise, "en"), (102, "12 !!", "en")]
-    docs = spark.createDataFrame([(i, t, l, "s", len(t)) for i, t, l in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()} == set(range(30))
-    assert {r.doc_id for r in corpus_pipeline.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), "").collect()} == {*range(30), 100, 101}
