@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import sys
 import tempfile
 import uuid
 
@@ -12,6 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import BASE, INVERSE, STRETCH, kept, mix64, powers, prefix_hash, span_hash  # noqa: F401  the operators take them from here
+
 _LOCAL: dict = {}
 MADE: list[str] = []  # folders that this process's operators have made
 
@@ -94,23 +95,36 @@ class Filed:
 
     Small rows about its rows are dealt out by file number, so a task reads files and what belongs to them, and large columns are
     never shuffled. Of a file, only row groups with a wanted row are read, and of files without one, nothing.
+
+    A task writes one file whatever ``spark.sql.files.maxRecordsPerFile`` says; where a number has several all the same, they are
+    read in order of their names, and a wanted row that no file has is an error.
     """
 
+    #: Bytes of files that a task reads; as many tasks as shuffles have partitions at least.
+    TASK_BYTES = 256 << 20
+
     def __init__(self, df: DataFrame, name: str, codec: str = "snappy"):
         self.spark, self.schema = df.sparkSession, df.schema
         self.path = shared_dir(self.spark, name)
-        df.write.option("compression", codec).option("parquet.block.size", 4 << 20).parquet(self.path)
+        df.write.option("compression", codec).option("parquet.block.size", 4 << 20).option("maxRecordsPerFile", 0).parquet(self.path)
         self.rows = self.spark.read.schema(df.schema).parquet(self.path)
         self.numbers = self.rows.select(F.expr("shiftright(rid, 33)").alias("pid")).distinct()
         self.files = (self.numbers.agg(F.max("pid")).first()[0] or 0) + 1
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        size = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+        self.n_tasks = min(self.files, max(-(-size // self.TASK_BYTES), int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def tasks(self, beside: DataFrame, all_files: bool = False) -> DataFrame:
-        """``beside`` (columns rid and others), dealt out by file and sorted by rid, pid first; ``all_files``: with a row of rid -1 for every file."""
+        """``beside`` (columns rid and others), dealt out by file and sorted by rid, pid first; ``all_files``: with a row of rid -1 for every file.
+
+        Neighbouring files go to a task together, so there are as many tasks as the bytes ask for, however many files there are.
+        """
         rows = beside.withColumn("pid", F.expr("shiftright(rid, 33)"))
         if all_files:
             rows = rows.unionByName(self.numbers.withColumn("rid", F.lit(-1).cast("long")), allowMissingColumns=True)
         rows = rows.select("pid", *beside.columns)
-        return rows.repartitionById(self.files, F.col("pid").cast("int")).sortWithinPartitions("pid", "rid")
+        task = F.expr(f"cast(pid * {self.n_tasks} div {self.files} as int)")
+        return rows.repartitionById(self.n_tasks, task).sortWithinPartitions("pid", "rid")
 
     def reader(self, columns: list[str], every: bool = False):
         """A function for mapInArrow over ``tasks``: yields (columns of ``beside`` as arrays, record batch of the file's wanted rows) in file order.
@@ -120,26 +134,38 @@ class Filed:
         path = self.path
 
         def run(batches):
-            import pyarrow.parquet as pq
             from pyarrow import fs as pafs
 
             fs, root = file_system(path)
-            files = {int(x.base_name.split("-")[1]): x.path for x in fs.get_file_info(pafs.FileSelector(root)) if x.path.endswith(".parquet")}
+            files: dict = {}
+            for x in sorted(fs.get_file_info(pafs.FileSelector(root)), key=lambda x: x.base_name):
+                if x.path.endswith(".parquet"):
+                    files.setdefault(int(x.base_name.split("-")[1]), []).append(x.path)
             for pid, beside in by_file(batches):
-                wanted = beside["rid"][beside["rid"] >= 0]
-                with fs.open_input_file(files[pid]) as f:
-                    file = pq.ParquetFile(f)
-                    number = next(i for i in range(file.metadata.num_columns) if file.metadata.schema.column(i).path == "rid")  # leaves, not fields
-                    for group in range(file.num_row_groups):
-                        s = file.metadata.row_group(group).column(number).statistics
-                        lo, hi = np.searchsorted(wanted, [s.min, s.max + 1])
-                        if lo == hi and not every:
-                            continue
-                        for part in file.iter_batches(batch_size=256, row_groups=[group], columns=["rid", *columns]):
-                            if not every:
-                                part = part.filter(pa_bool(np.isin(part.column("rid").to_numpy(), wanted[lo:hi])))
-                            if part.num_rows:
-                                yield beside, part
+                wanted = np.unique(beside["rid"][beside["rid"] >= 0])
+                missing = len(wanted)
+                for path_of in files[pid]:
+                    for found, part in rows_of(fs, path_of, wanted):
+                        missing -= found
+                        if part.num_rows:
+                            yield beside, part
+                if missing:
+                    raise ValueError(f"{missing} rows of file {pid} of {path} are gone")
+
+        def rows_of(fs, path_of, wanted):
+            import pyarrow.parquet as pq
+
+            with fs.open_input_file(path_of) as f:
+                file = pq.ParquetFile(f)
+                number = next(i for i in range(file.metadata.num_columns) if file.metadata.schema.column(i).path == "rid")  # leaves, not fields
+                for group in range(file.num_row_groups):
+                    s = file.metadata.row_group(group).column(number).statistics
+                    lo, hi = np.searchsorted(wanted, [s.min, s.max + 1])
+                    if lo == hi and not every:
+                        continue
+                    for part in file.iter_batches(batch_size=256, row_groups=[group], columns=["rid", *columns]):
+                        here = np.isin(part.column("rid").to_numpy(), wanted[lo:hi])
+                        yield int(here.sum()), part if every else part.filter(pa_bool(here))
 
         return run
 
@@ -242,57 +268,6 @@ def utf8(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer (xor-shift, multiply), elementwise."""
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-# An odd 64-bit base for polynomial hashes, and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-
-
-def kept(name: str, make):
-    """A worker process's own copy of something costly. Functions are pickled by value, so module globals don't outlive a task; this does."""
-    store = sys.__dict__.setdefault("_tessera_kept", {})
-    if name not in store:
-        store[name] = make()
-    return store[name]
-
-
-#: Texts are hashed in stretches of at most so many bytes, so a worker's tables of powers stay small.
-STRETCH = 1 << 19
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept and grown by doubling."""
-    tables = kept("powers", dict)
-    have = tables.get(base)
-    if have is None or len(have) < n:
-        have = np.full(1 << max(12, (n - 1).bit_length()), base, np.uint64)
-        have[0] = 1
-        have = np.cumprod(have, dtype=np.uint64)
-        if n <= 4 * STRETCH:
-            tables[base] = have
-    return have[:n]
-
-
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """S with S[0] = 0, such that ``(S[e] - S[s]) * BASE**e`` depends on data[s:e] alone, wherever it lies (see ``span_hash``)."""
-    s = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(INVERSE, len(data)), out=s[1:])
-    return s
-
-
-def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], vectorized over spans; ``s`` is ``prefix_hash(data)``."""
-    return mix64((s[end] - s[start]) * powers(BASE, len(s))[end])
-
-
 class Pieces(dict):
     """ids of pieces of text, each with ``front`` (a space, or nothing) before it; a piece not seen lately is encoded by the library.
 

@@ -1,6 +1,7 @@
 """The registered queries themselves: on awkward tables, with workers that have no copy of the package, and against direct computations."""
 
 import os
+import random
 import subprocess
 import sys
 import zlib
@@ -8,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import common, ctph, langid, mixing, ngrams, quality, queries, suffixes
@@ -188,3 +190,80 @@ def test_normal_equations_and_calibration(spark):
     raw, score = model.raw(stats), model.score(stats)
     assert np.allclose(raw, z @ model.beta + y.mean()) and (np.diff(model.levels) > 0).all()
     assert (np.diff(score[np.argsort(raw)]) >= -1e-12).all() and ((score > y.mean()) == (y > 0.5)).mean() > 0.6
+
+
+def test_added_tokens_have_their_own_id():
+    from tokenizers import Tokenizer
+
+    fresh, end = Tokenizer.from_file(common.vocabulary()), "<|endoftext|>"
+    texts = [f"{end} x", f"a{end}", f"a {end}b", f"a  {end}", f"a\n {end}  b", f"a\n\n{end}\n\nb", f"é {end}{end} .", "no token", f"{end[:-1]} >"]
+    want = [np.array(fresh.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert common.Encoder(common.vocabulary())(texts) == want
+    assert want[0][:4] == (50256).to_bytes(4, "little")
+
+
+def test_mixed_rows_lie_by_shard_and_slot(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(rng.randrange(1, 200))), f"s{i % 3}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    first = {}
+    for p in mixing.mix(docs, shard_slots=64)[1].collect():
+        at = first.get((p.doc_id, p.epoch))
+        first[p.doc_id, p.epoch] = min(at, (p.word, p.shard, p.slot)) if at else (p.word, p.shard, p.slot)
+    want = sorted((shard, slot, i) for (i, _), (_, shard, slot) in first.items())
+    assert len({x[0] for x in want}) > 5
+    parts = mixing.mixed_texts(docs, shard_slots=64).select("doc_id", F.spark_partition_id().alias("p")).collect()
+    found = {}
+    for r in parts:
+        found.setdefault(r.p, []).append(r.doc_id)
+    assert sorted(i for x in found.values() for i in x) == sorted(i for *_, i in want)
+    shards = {}
+    for shard, _, i in want:
+        shards.setdefault(shard, []).append(i)
+    # each partition is a sequence of whole shards, in order
+    for ids in found.values():
+        at, last = 0, -1
+        while at < len(ids):
+            shard = next(s for s in shards if s > last and ids[at : at + len(shards[s])] == shards[s])
+            at, last = at + len(shards[shard]), shard
+
+
+def test_a_text_does_not_vouch_for_itself(spark):
+    rng = random.Random(12)
+    pool = ["".join(rng.choice("abcde") for _ in range(6)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(80)), "en") for i in range(30)]
+    noise = "".join(rng.choice("qwxzjkvy") for _ in range(300))
+    rows += [(100, noise, "en"), (101, noise, "en"), (102, "12 !!", "en")]
+    docs = spark.createDataFrame([(i, t, l, "s", len(t)) for i, t, l in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()} == set(range(30))
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), "").collect()} == {*range(30), 100, 101}
+
+
+def test_more_files_than_tasks_lose_nothing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    stages = lambda: (suffixes.remove_repeats(docs.select("doc_id", "text")), ngrams.with_classes(docs.select("doc_id", "text")).drop("comp"), ngrams.keep_one(docs), corpus_pipeline.mixed(spark, docs, ""))
+    want = [sorted(map(str, df.collect())) for df in stages()]
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 20)
+    try:
+        assert [sorted(map(str, df.collect())) for df in stages()] == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert len(want[0]) == docs.count()
+
+
+def test_filed_reads_all_files_of_a_number_and_misses_none(spark):
+    rows = spark.range(0, 100, 1, 1).select(F.col("id").alias("rid"), F.concat(F.lit("x"), "id").alias("x"))
+    have = common.Filed(rows, "several")
+    common.dropped(spark, [have.path])
+    rows.write.option("maxRecordsPerFile", 7).parquet(have.path)  # as another writer might leave them
+    read = have.reader(["x"])
+
+    def run(batches):
+        for _, part in read(batches):
+            yield part
+
+    some = spark.createDataFrame([(i,) for i in (3, 50, 51, 99)], "rid long")
+    got = lambda df: sorted(r.x for r in have.tasks(df).mapInArrow(run, "rid long, x string").collect())
+    assert got(some) == ["x3", "x50", "x51", "x99"]
+    with pytest.raises(Exception, match="1 rows of file 0 .* are gone"):
+        got(some.union(spark.createDataFrame([(100,)], "rid long")))
