@@ -200,21 +200,54 @@ def leaf_pairs(points: np.ndarray, sizes: np.ndarray, label: np.ndarray, a: np.n
     return a[good], b[good], have[good] / np.maximum(need[good], 1e-9)
 
 
+def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the smallest node that the links (u, v) join each to): unions by the smaller root, paths halved, all links at a time."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root, a, b = np.arange(len(nodes)), at[: len(u)], at[len(u) :]
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return nodes, nodes[root]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _united(batches):
+    """Of some hundred thousand links at a time, one for each node, to the smallest that they join it to."""
+    held, rows = [], 0
+
+    def done():
+        nodes, roots = union_find(*(np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("u", "v")))
+        return pa.record_batch([pa.array(nodes[nodes != roots]), pa.array(roots[nodes != roots])], names=["u", "v"])
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows > 300_000:
+            yield done()
+            held, rows = [], 0
+    if rows:
+        yield done()
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """node, comp (the smallest node that links reach) of nodes with edges (u, v): large-star and small-star rounds until nothing changes.
+    """node, comp (the smallest node that links reach) of nodes with edges (u, v).
 
-    Every round is written to the shared folder, and the one before it deleted. Smallest neighbours are pre-aggregated.
+    Tasks unite the links that they have; what crosses tasks is settled by large-star and small-star rounds until nothing changes.
+    Every round is written to the shared folder, and the one before it deleted. Smallest neighbours are pre-aggregated, and nodes with
+    very many neighbours are dealt out.
     """
     both = lambda e: e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    edges = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+    edges = stored(edges.select("u", "v").mapInArrow(lean(_united), "u long, v long").distinct(), name)
     sign = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     seen = sign(edges)
     while seen.n:
         around = both(edges)
-        least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = around.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
+        least = around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times")).withColumn("m", F.least("u", "m"))
+        large = dealt_join(around, least, ["u"], "times", 2 * seen.n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times"))
+        small = dealt_join(large, low, ["u"], "times", seen.n).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
         edges = stored(small.filter("u <> v").distinct(), name, instead_of=edges)
         now = sign(edges)
         if now == seen:
@@ -293,7 +326,23 @@ def joined_cells(threshold: float, forest: bool, keys: list[str]):
     return run
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = 0.9, words: int = 3, bucket_rows: int = 400_000, block: int = 1024, fine: int = FINE, counts: dict | None = None) -> tuple[DataFrame, DataFrame, Filed, list[str]]:
+class CountIndex:
+    """How sets are brought together by their group counts: cells of bands, and R-trees of corners in a cell."""
+
+    def __init__(self, threshold: float, fine: int = FINE):
+        self.threshold, self.fine = threshold, fine
+
+    def spares(self, h: np.ndarray) -> list[int]:
+        return spare_cells(h, self.threshold)
+
+    def keys(self, h: np.ndarray) -> np.ndarray:
+        return band_keys(h, self.threshold, self.fine)
+
+    def joined(self, forest: bool, keys: list[str]):
+        return joined_cells(self.threshold, forest, keys)
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = 0.9, words: int = 3, bucket_rows: int = 400_000, block: int = 1024, index=None, counts: dict | None = None) -> tuple[DataFrame, DataFrame, Filed, list[str]]:
     """Classes of documents that links of Jaccard similarity ``threshold`` or more connect.
 
     Words are runs of other characters than space, tab, line feed, vertical tab, form feed and carriage return, A-Z in lower case; a
@@ -311,9 +360,11 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.9, words: int = 3, buc
     links don't connect, all pairs between nodes of different components that the bound leaves, but for those between two nodes of
     the cell's largest component, which are connected (in blocks of ``block``, if there are many). So no pair gets into a
     component unverified, no link between components is lost, and no group's pairs are all listed. ``counts``, if given, gets the
-    numbers of pairs that the trees gave and of those verified.
+    numbers of pairs that the trees gave and of those verified. ``index`` is another way to make cells and to join them, in place of
+    a ``CountIndex``; one with ``sketched`` makes a set's keys and corner together, once.
     """
-    spark = docs.sparkSession
+    spark, index = docs.sparkSession, index or CountIndex(threshold)
+    once = hasattr(index, "sketched")
     names = [c for c in docs.columns if c != "text"]
     if not names:
         docs, names = docs.select("text", F.lit(0).alias("no_column")), ["no_column"]
@@ -330,7 +381,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.9, words: int = 3, buc
                 texts = [(t or "").encode() for t in some.column("text").to_pylist()]
                 sets = [shingles(t, words) for t in texts]
                 marks = [[int(mix64(h * odd).sum(dtype=np.uint64).view(np.int64)) for h in sets] for odd in ODD[1:]]
-                spares = [spare_cells(h, threshold) for h in sets]
+                spares = [(0, 0) if once else index.spares(h) for h in sets]
                 columns = [np.arange(rid, rid + len(texts)), list(map(len, sets)), *marks, [x for x, _ in spares], [x for _, x in spares]]
                 yield pa.record_batch([some.column("row"), some.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns), pa.array([pack.compress(t) for t in texts], pa.binary())], names=["row", "doc_id", "rid", "n_shingles", "set1", "set2", "spare0", "spare1", "ztext"])
                 rid += len(texts)
@@ -359,21 +410,40 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.9, words: int = 3, buc
 
     # cells: an equal share of the keys' range is a bucket; keys that many of a sample have are dealt out over all buckets
     def keys_of(batches):
+        """(keys, the node of each) of sets made anew from their texts, or of sketched ones."""
         import zstandard
 
+        if once:
+            for batch in batches:
+                keys = batch.column("keys")
+                yield keys.flatten().to_numpy(), np.repeat(batch.column("node").to_numpy(), np.diff(keys.offsets.to_numpy()))
+            return
         unpack = zstandard.ZstdDecompressor()
         for _, part in read(batches):
             for some in slices(part, "ztext", 100, 200_000):
-                keys = [band_keys(shingles(unpack.decompress(z), words), threshold, fine).view(np.int64) for z in some.column("ztext").to_pylist()]
+                keys = [index.keys(shingles(unpack.decompress(z), words)).view(np.int64) for z in some.column("ztext").to_pylist()]
                 yield np.concatenate(keys), np.repeat(some.column("rid").to_numpy(), [len(k) for k in keys])
 
+    def sketch(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+        for _, part in read(batches):
+            for some in slices(part, "ztext", 200, 400_000):
+                keys, corners = index.sketched([shingles(unpack.decompress(z), words) for z in some.column("ztext").to_pylist()])
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel().view(np.int64)))
+                yield pa.record_batch([some.column("rid"), pa.array(corners, pa.binary()), keys], names=["node", "corner", "keys"])
+
     def sample(batches):
         for key, node in keys_of(batches):
             yield pa.record_batch([pa.array(key)], names=["key"])
 
     n_sets = same.count()
     nodes = same.select(F.col("node").alias("rid"))
-    sampled = have.tasks(nodes.sample(min(1.0, 3000 / max(1, n_sets)), seed=3)).mapInArrow(lean(sample), "key long").groupBy("key").count()
+    if once:
+        sketches = stored(have.tasks(nodes).mapInArrow(lean(sketch), "node long, corner binary, keys array<long>"), "sketches")
+    source = lambda share: sketches.select("node", "keys").sample(share, seed=3) if once else have.tasks(nodes.sample(share, seed=3))
+    sampled = source(min(1.0, 3000 / max(1, n_sets))).mapInArrow(lean(sample), "key long").groupBy("key").count()
     amount = sampled.agg(F.sum("count").alias("n")).first().n or 0
     buckets = int(max(1, -(-amount * max(1, n_sets / 3000) // bucket_rows)))
     often = np.sort(np.array([r.key for r in sampled.filter("count >= 8").collect()], np.int64))  # the sample bounds them
@@ -404,13 +474,14 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.9, words: int = 3, buc
         yield pa.record_batch([pa.array(key[keep]), pa.array(node[keep])], names=["key", "node"])
 
     cell = "key long, node long"
-    keys = have.tasks(nodes).mapInArrow(lean(emit), "bucket int, " + cell).repartitionById(buckets, "bucket").select("key", "node")
+    keys = source(1.0).mapInArrow(lean(emit), "bucket int, " + cell).repartitionById(buckets, "bucket").select("key", "node")
     cells = stored(keys.mapInArrow(lean(met_twice), cell), "cells")
-    full = cells.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").withColumn("times", F.col("m"))
-    fullest = Window.partitionBy("node", F.expr("key & 1")).orderBy(F.desc("m"), F.desc("key"))
-    ranked = dealt_join(cells, full, ["key"], "times", cells.count()).withColumn("rank", F.row_number().over(fullest))
-    ranked = ranked.join(same.select("node", "spare0", "spare1"), "node").filter("rank > if(key & 1 = 0, spare0, spare1)")
-    cells = stored(ranked.select("key", "node"), "cells", instead_of=cells)
+    if not once:  # sets leave the fullest cells that they can do without
+        full = cells.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").withColumn("times", F.col("m"))
+        fullest = Window.partitionBy("node", F.expr("key & 1")).orderBy(F.desc("m"), F.desc("key"))
+        ranked = dealt_join(cells, full, ["key"], "times", cells.count()).withColumn("rank", F.row_number().over(fullest))
+        ranked = ranked.join(same.select("node", "spare0", "spare1"), "node").filter("rank > if(key & 1 = 0, spare0, spare1)")
+        cells = stored(ranked.select("key", "node"), "cells", instead_of=cells)
     mark = [F.bit_xor(F.xxhash64(F.col("node"), F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
     heads = cells.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("m"), *mark).filter("m > 1")
     heads = heads.groupBy("head", "m", "mark1", "mark2").agg(F.min("key").alias("key")).select("key", "head", "m", F.col("m").alias("times"))  # of cells with the same members, one
@@ -419,7 +490,11 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.9, words: int = 3, buc
     def tested(pairs: DataFrame, what: str, test) -> DataFrame:
         """Of pairs (u, v), those that ``test`` lets pass; what it compares meets in a task, a pair at a time."""
         sides = stored(fetch(pairs.select(F.explode(F.array("u", "v")).alias("rid")), what), f"asked-{what}", "lz4")
-        half = pairs.join(sides.select(F.col("node").alias("u"), F.col(what).alias("x")), "u")
+        # a node that is u in very many pairs is dealt out: so many copies of what it has, a share of its pairs with each
+        hubs = pairs.groupBy("u").agg(F.count("*").alias("times")).withColumn("parts", F.ceil(F.col("times") / 256).cast("int"))
+        copies = sides.select(F.col("node").alias("u"), F.col(what).alias("x")).join(hubs.select("u", "parts"), "u").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        parted = dealt_join(pairs.select("u", "v"), hubs, ["u"], "times", pairs.count()).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).drop("parts")
+        half = parted.join(copies, ["u", "part"]).drop("part")
         whole = half.join(sides.select(F.col("node").alias("v"), F.col(what).alias("y")), "v")
 
         def run(batches):
@@ -442,20 +517,20 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.9, words: int = 3, buc
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (u, v), those that link: points first, a byte for two shingles; the sets' hashes only of pairs that these leave."""
-        out = tested(tested(pairs, "point", near_enough), "hashes", linked_sets)
+        out = tested(pairs if once else tested(pairs, "point", near_enough), "hashes", linked_sets)
         if counts is not None:
             counts["from_trees"] = counts.get("from_trees", 0) + pairs.count()
             counts["linked"] = counts.get("linked", 0) + out.count()
         return out
 
-    corners = stored(fetch(cells.select(F.col("node").alias("rid")), "corner"), "corners")
+    corners = sketches.select("node", "corner") if once else stored(fetch(cells.select(F.col("node").alias("rid")), "corner"), "corners")
     blocks = F.expr(f"cast(ceil(m / {block}) as int)")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     places = F.explode(F.when(F.col("node") == F.col("head"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own)))  # the first node is in each block
     dealt = cells.join(corners, "node").withColumn("i", places).select("key", "i", "node", "corner")
     dealt = dealt.repartition("key", "i").sortWithinPartitions("key", "i", "node")
     pair = "u long, v long, over double"
-    forest = dealt.mapInArrow(lean(joined_cells(threshold, True, ["key", "i"])), pair).groupBy("u", "v").agg(F.max("over").alias("over"))
+    forest = dealt.mapInArrow(lean(index.joined(True, ["key", "i"])), pair).groupBy("u", "v").agg(F.max("over").alias("over"))
     forest = stored(forest.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("over"), "u"))), "pairs")
     links = verified(forest.filter("place <= 2").select("u", "v"))
     comp = components(links, "components")
@@ -479,7 +554,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.9, words: int = 3, buc
         all_rows = rows.withColumn("apart", F.lit(False)).withColumn("j", other).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("is") - 1)))
         wanted = ["key", "i", "j", "node", "comp", "apart"]
         dealt = those.select(*wanted).unionByName(all_rows.select(*wanted)).join(corners, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-        found = dealt.mapInArrow(lean(joined_cells(threshold, False, ["key", "i", "j"])), pair).select("u", "v").distinct()
+        found = dealt.mapInArrow(lean(index.joined(False, ["key", "i", "j"])), pair).select("u", "v").distinct()
         more = stored(found.join(forest.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
         links = links.unionByName(verified(more))
         comp = components(links, "components")
