@@ -13,9 +13,10 @@ from .quality import op9_quality
 from .records import op4_records
 from .suffixes import op2_suffixes
 from .superminhash import op13_superminhash
+from .trie import OP12_SQL, op12_trie
 from .warc import OP8_SQL, op8_warc
 
-QUERIES = [op1_packing, op2_suffixes, op3_ctph, op4_records, op5_neighbours, op6_mixing, op7_ngram_jaccard, op8_warc, op9_quality, op10_langid, op11_fim, op13_superminhash]
+QUERIES = [op1_packing, op2_suffixes, op3_ctph, op4_records, op5_neighbours, op6_mixing, op7_ngram_jaccard, op8_warc, op9_quality, op10_langid, op11_fim, op12_trie, op13_superminhash]
 
 
 def queries() -> dict:
@@ -23,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_neighbours": OP5_SQL, "op8_warc": OP8_SQL, "op11_fim": OP11_SQL}
+    return {"op5_neighbours": OP5_SQL, "op8_warc": OP8_SQL, "op11_fim": OP11_SQL, "op12_trie": OP12_SQL}
