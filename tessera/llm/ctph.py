@@ -136,7 +136,7 @@ def edited_fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFram
     count as empty; a sole document is its own next one; an empty table gives no rows; other columns are ignored. Each task streams
     through a range of doc_ids and holds two texts and an Arrow batch; each text is shuffled once.
     """
-    buckets = buckets or min(1000, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         held, rows = None, []

@@ -317,6 +317,52 @@ def test_points_bound_the_overlap():
     assert ngrams.coordinates(ngrams.point(same)).max() == 5000
 
 
+def raw_records_are_valid(path, want):
+    """Parse the raw files by the standard alone: frames, header lines, an HTTP message, mandatory and unique headers."""
+    import email
+    import glob
+    import http.client
+    import io
+
+    import zstandard
+
+    ids, kinds, seen = [], Counter(), Counter()
+    for name in glob.glob(path.removeprefix("file://") + "/*.warc.zst"):
+        data = open(name, "rb").read()
+        assert data[:4] == (0x184D2A5D).to_bytes(4, "little")
+        n = int.from_bytes(data[4:8], "little")
+        unpack, rest = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + n])), data[8 + n :]
+        while rest:
+            one = unpack.decompressobj()
+            block = one.decompress(rest)
+            rest = one.unused_data
+            first, _, after = block.partition(b"\r\n")
+            head, _, body = after.partition(b"\r\n\r\n")
+            fields = email.message_from_bytes(head + b"\r\n\r\n")
+            assert first == b"WARC/1.1" and len(body) == int(fields["Content-Length"]) + 4 and body.endswith(b"\r\n\r\n")
+            assert all(len(fields.get_all(k, [])) == 1 for k in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "Content-Length"))
+            assert __import__("re").fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", fields["WARC-Record-ID"])
+            ids.append(fields["WARC-Record-ID"])
+            kinds[fields["WARC-Type"]] += 1
+            assert fields["Content-Type"] == "application/http;msgtype=response"
+
+            class Socket:
+                def makefile(self, *_):
+                    return io.BytesIO(body[:-4])
+
+            message = http.client.HTTPResponse(Socket())
+            message.begin()
+            assert message.status == 200 and message.getheader("Content-Type").startswith("text/html")
+            if fields["WARC-Type"] == "response":
+                payload = message.read()
+                assert fields["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(payload).hexdigest()
+                seen[payload] += 1
+            else:
+                assert fields["WARC-Profile"].endswith("identical-payload-digest") and fields["WARC-Refers-To-Date"]
+    assert len(ids) == len(set(ids)) == sum(want.values())
+    assert kinds == Counter(k[3] for k in want.elements())
+
+
 def test_warc_round_trip(spark):
     page = "<p>" + "x" * 200
     pages = [(3, "http://a", page), (1, "http://b\r\nX: y", page), (None, None, page), (4, None, None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (8, "u", "é" * 60), (9, "u", "é" * 60), (9, "u", "é" * 60)]
@@ -331,6 +377,8 @@ def test_warc_round_trip(spark):
         want[i, len((html or "").encode()), sha(html), "revisit" if refers else "response", refers] += 1
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out) == want
     assert {r.page_id: bytes(r.payload).decode() for r in out if r.record_type == "response"}[8] == "é" * 60
+    assert {r.page_id: r.url for r in out}[4] is None and {r.page_id: r.url for r in out}[1] == "http://b%0D%0AX: y"
+    raw_records_are_valid(path, want)
     path = common.shared_dir(spark, "test-warc")
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert warc.read_warc(spark, path).count() == 0
