@@ -25,6 +25,8 @@ from .common import STRETCH, Filed, dealt_join, dropped, gathered, kept, lean, m
 
 COORDINATES = 256
 FINE = 1 << 20  # groups in a band
+HUB = 256  # pairs of a node that go to a task together, at least
+BLOCK_BYTES = 16 << 20  # sets that a block holds
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -213,8 +215,8 @@ def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             root = root[root]
 
 
-def _united(batches):
-    """Of some hundred thousand links at a time, one for each node, to the smallest that they join it to."""
+def _united(batches, most: int = 300_000):
+    """Of ``most`` links at a time, one for each node, to the smallest that they join it to."""
     held, rows = [], 0
 
     def done():
@@ -224,24 +226,30 @@ def _united(batches):
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
-        if rows > 300_000:
+        if rows > most:
             yield done()
             held, rows = [], 0
     if rows:
         yield done()
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+#: Links that one task unites (16 MB); more are first settled across tasks.
+FEW_LINKS = 1 << 20
+
+
+def components(edges: DataFrame, name: str, few: int = FEW_LINKS) -> DataFrame:
     """node, comp (the smallest node that links reach) of nodes with edges (u, v).
 
-    Tasks unite the links that they have; what crosses tasks is settled by large-star and small-star rounds until nothing changes.
-    Every round is written to the shared folder, and the one before it deleted. Smallest neighbours are pre-aggregated, and nodes with
-    very many neighbours are dealt out.
+    Tasks unite the links that they have. If what is left is at most ``few`` links, one task unites it; else large-star and small-star rounds
+    settle what crosses tasks until nothing changes. Every round is written to the shared folder, and the one before it deleted.
+    Smallest neighbours are pre-aggregated, and nodes with very many neighbours are dealt out.
     """
     both = lambda e: e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     edges = stored(edges.select("u", "v").mapInArrow(lean(_united), "u long, v long").distinct(), name)
     sign = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     seen = sign(edges)
+    if seen.n <= few:
+        return stored(edges.coalesce(1).mapInArrow(lean(lambda batches: _united(batches, few)), "u long, v long"), name, instead_of=edges).select(F.col("u").alias("node"), F.col("v").alias("comp"))
     while seen.n:
         around = both(edges)
         least = around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times")).withColumn("m", F.least("u", "m"))
@@ -361,7 +369,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.9, words: int = 3, buc
     the cell's largest component, which are connected (in blocks of ``block``, if there are many). So no pair gets into a
     component unverified, no link between components is lost, and no group's pairs are all listed. ``counts``, if given, gets the
     numbers of pairs that the trees gave and of those verified. ``index`` is another way to make cells and to join them, in place of
-    a ``CountIndex``; one with ``sketched`` makes a set's keys and corner together, once.
+    a ``CountIndex``; one with ``sketched`` makes a set's keys and corner together, once, and links the sets of a cell itself.
     """
     spark, index = docs.sparkSession, index or CountIndex(threshold)
     once = hasattr(index, "sketched")
@@ -473,28 +481,54 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.9, words: int = 3, buc
         keep = (np.bincount(run) > 1)[run] | common_keys(key)
         yield pa.record_batch([pa.array(key[keep]), pa.array(node[keep])], names=["key", "node"])
 
-    cell = "key long, node long"
+    def met_pairs(batches):
+        """(key, u, v, over) of a bucket's cells: pairs of a cell's first set with each other one, counted (key null); the first sets of cells that are dealt out (over 0)."""
+        rows = gathered(batches)
+        if rows is None:
+            return
+        key, node = (rows.column(c).to_numpy() for c in ("key", "node"))
+        by = np.lexsort((node, key))
+        key, node = key[by], node[by]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        head = node[new][np.cumsum(new) - 1]
+        pairs, over = np.unique(np.stack([head, node], 1)[head != node], axis=0, return_counts=True)
+        tips = np.flatnonzero(new & common_keys(key))
+        columns = [pa.array([None] * len(pairs) + key[tips].tolist(), pa.int64()), *(np.concatenate([pairs[:, i], node[tips]]) for i in (0, 1)), np.concatenate([over, np.zeros(len(tips), np.int64)])]
+        yield pa.record_batch([columns[0], *(pa.array(c, pa.int64()) for c in columns[1:])], names=["key", "u", "v", "over"])
+
+    cell, pair = "key long, node long", "u long, v long, over double"
     keys = source(1.0).mapInArrow(lean(emit), "bucket int, " + cell).repartitionById(buckets, "bucket").select("key", "node")
-    cells = stored(keys.mapInArrow(lean(met_twice), cell), "cells")
-    if not once:  # sets leave the fullest cells that they can do without
+    if once:  # pairs of a cell's sets with its first one, by the number of cells in which they meet so
+        met = stored(keys.mapInArrow(lean(met_pairs), "key long, u long, v long, over long"), "met")
+        tips = met.filter("key IS NOT NULL").select("key", "u")
+        tips = tips.withColumnRenamed("u", "v").join(tips.groupBy("key").agg(F.min("u").alias("u")), "key").filter("u <> v").select("u", "v", F.lit(1).cast("long").alias("over"))
+        forest = met.filter("key IS NULL").drop("key").unionByName(tips).groupBy("u", "v").agg(F.sum("over").cast("double").alias("over"))
+    else:
+        cells = stored(keys.mapInArrow(lean(met_twice), cell), "cells")
+        # sets leave the fullest cells that they can do without
         full = cells.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").withColumn("times", F.col("m"))
         fullest = Window.partitionBy("node", F.expr("key & 1")).orderBy(F.desc("m"), F.desc("key"))
         ranked = dealt_join(cells, full, ["key"], "times", cells.count()).withColumn("rank", F.row_number().over(fullest))
         ranked = ranked.join(same.select("node", "spare0", "spare1"), "node").filter("rank > if(key & 1 = 0, spare0, spare1)")
         cells = stored(ranked.select("key", "node"), "cells", instead_of=cells)
-    mark = [F.bit_xor(F.xxhash64(F.col("node"), F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
-    heads = cells.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("m"), *mark).filter("m > 1")
-    heads = heads.groupBy("head", "m", "mark1", "mark2").agg(F.min("key").alias("key")).select("key", "head", "m", F.col("m").alias("times"))  # of cells with the same members, one
-    cells = stored(dealt_join(cells, heads, ["key"], "times", cells.count()), "cells", instead_of=cells)
+        mark = [F.bit_xor(F.xxhash64(F.col("node"), F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
+        heads = cells.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("m"), *mark).filter("m > 1")
+        heads = heads.groupBy("head", "m", "mark1", "mark2").agg(F.min("key").alias("key")).select("key", "head", "m", F.col("m").alias("times"))  # of cells with the same members, one
+        cells = stored(dealt_join(cells, heads, ["key"], "times", cells.count()), "cells", instead_of=cells)
 
     def tested(pairs: DataFrame, what: str, test) -> DataFrame:
         """Of pairs (u, v), those that ``test`` lets pass; what it compares meets in a task, a pair at a time."""
         sides = stored(fetch(pairs.select(F.explode(F.array("u", "v")).alias("rid")), what), f"asked-{what}", "lz4")
-        # a node that is u in very many pairs is dealt out: so many copies of what it has, a share of its pairs with each
-        hubs = pairs.groupBy("u").agg(F.count("*").alias("times")).withColumn("parts", F.ceil(F.col("times") / 256).cast("int"))
-        copies = sides.select(F.col("node").alias("u"), F.col(what).alias("x")).join(hubs.select("u", "parts"), "u").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        parted = dealt_join(pairs.select("u", "v"), hubs, ["u"], "times", pairs.count()).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).drop("parts")
-        half = parted.join(copies, ["u", "part"]).drop("part")
+        first = sides.select(F.col("node").alias("u"), F.col(what).alias("x"))
+        times = pairs.groupBy("u").agg(F.count("*").alias("times"))
+        seen = times.agg(F.max("times").alias("most"), F.sum("times").alias("n")).first()
+        if (seen.most or 0) <= HUB:
+            half = pairs.join(first, "u")
+        else:  # a node that is u in very many pairs is dealt out: copies of what it has, a share of its pairs with each
+            hubs = times.withColumn("parts", F.ceil(F.col("times") / HUB).cast("int"))
+            copies = first.join(hubs.select("u", "parts"), "u").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+            parted = dealt_join(pairs.select("u", "v"), hubs, ["u"], "times", seen.n).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).drop("parts")
+            half = parted.join(copies, ["u", "part"]).drop("part")
         whole = half.join(sides.select(F.col("node").alias("v"), F.col(what).alias("y")), "v")
 
         def run(batches):
@@ -523,40 +557,66 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.9, words: int = 3, buc
             counts["linked"] = counts.get("linked", 0) + out.count()
         return out
 
-    corners = sketches.select("node", "corner") if once else stored(fetch(cells.select(F.col("node").alias("rid")), "corner"), "corners")
-    blocks = F.expr(f"cast(ceil(m / {block}) as int)")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    places = F.explode(F.when(F.col("node") == F.col("head"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own)))  # the first node is in each block
-    dealt = cells.join(corners, "node").withColumn("i", places).select("key", "i", "node", "corner")
-    dealt = dealt.repartition("key", "i").sortWithinPartitions("key", "i", "node")
-    pair = "u long, v long, over double"
-    forest = dealt.mapInArrow(lean(index.joined(True, ["key", "i"])), pair).groupBy("u", "v").agg(F.max("over").alias("over"))
+    if not once:
+        corners = stored(fetch(cells.select(F.col("node").alias("rid")), "corner"), "corners")
+        blocks = F.expr(f"cast(ceil(m / {block}) as int)")
+        own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+        places = F.explode(F.when(F.col("node") == F.col("head"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own)))  # the first node is in each block
+        dealt = cells.join(corners, "node").withColumn("i", places).select("key", "i", "node", "corner")
+        dealt = dealt.repartition("key", "i").sortWithinPartitions("key", "i", "node")
+        forest = dealt.mapInArrow(lean(index.joined(True, ["key", "i"])), pair).groupBy("u", "v").agg(F.max("over").alias("over"))
     forest = stored(forest.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("over"), "u"))), "pairs")
     links = verified(forest.filter("place <= 2").select("u", "v"))
     comp = components(links, "components")
     of = lambda x: comp.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"))
-    later = forest.filter("place > 2").join(of("u"), "u", "left").join(of("v"), "v", "left").filter("coalesce(comp_u, u) <> coalesce(comp_v, v)")
-    later = stored(later.select("u", "v"), "pairs")
-    if not later.isEmpty():
-        links = links.unionByName(verified(later))
-        comp = components(links, "components")
-
-    # cells whose nodes aren't all connected: the other pairs that the trees leave, but for those in the cell's largest component
-    labelled = cells.filter("m > 2").drop("head").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    parts = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    open_cells = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("times"), F.max("n").alias("top"), F.count("*").alias("kinds")).filter("kinds > 1")
-    open_cells = stored(open_cells.select("key", "main", "top", "times"), "open-cells")
+    if not once:
+        later = forest.filter("place > 2").join(of("u"), "u", "left").join(of("v"), "v", "left").filter("coalesce(comp_u, u) <> coalesce(comp_v, v)")
+        later = stored(later.select("u", "v"), "pairs")
+        if not later.isEmpty():
+            links = links.unionByName(verified(later))
+            comp = components(links, "components")
+
+    def unsettled(labelled: DataFrame) -> DataFrame:
+        """Of groups (key) whose nodes aren't all connected: the largest component, its size, and the group's."""
+        parts = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        of_group = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("times"), F.max("n").alias("top"), F.count("*").alias("kinds")).filter("kinds > 1")
+        return stored(of_group.select("key", "main", "top", "times"), "unsettled")
+
+    if once:  # components that cells bring together are a family: each of its sets goes to a task once for a block
+        corners = sketches.select("node", "corner")
+        across = forest.select("u", "v").join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("comp_u", "u").alias("u"), F.coalesce("comp_v", "v").alias("v")).filter("u <> v").distinct()
+        family = stored(components(across, "families"), "family")
+        family = family.unionByName(family.select(F.col("comp").alias("node"), "comp").distinct()).select(F.col("node").alias("comp"), F.col("comp").alias("key"))
+        members = comp.unionByName(family.select(F.col("comp").alias("node"), "comp")).distinct()
+        times = members.groupBy("comp").agg(F.count("*").alias("times")).join(family, "comp")
+        labelled = dealt_join(members, times, ["comp"], "times", members.count())
+        labelled = stored(labelled.join(same.select("node", "n_shingles"), "node"), "families")
+    else:  # cells whose nodes aren't all connected: the other pairs that may link, but for those in the cell's largest component
+        labelled = cells.filter("m > 2").drop("head").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_cells = unsettled(labelled)
     if not open_cells.isEmpty():
-        rows = stored(dealt_join(labelled, open_cells, ["key"], "times", cells.count()).withColumn("apart", F.expr("comp <> main")), "apart")
-        rows = rows.withColumn("js", F.expr(f"cast(ceil(m / {block}) as int)")).withColumn("is", F.expr(f"cast(ceil((m - top) / {block}) as int)"))
+        rows = stored(dealt_join(labelled, open_cells, ["key"], "times", labelled.count()).withColumn("apart", F.expr("comp <> main")), "apart")
+        if once:  # blocks of so many sets, or of sets that take so much
+            taken = lambda x: F.coalesce(F.sum(x), F.lit(0)) * 8 / BLOCK_BYTES
+            sized = rows.groupBy("key").agg(F.count("*").alias("times"), F.greatest(F.count("*") / block, taken("n_shingles")).alias("js"), F.greatest(F.count_if("apart") / block, taken(F.when(F.col("apart"), F.col("n_shingles")))).alias("is"))
+            rows = dealt_join(rows, sized, ["key"], "times", rows.count()).withColumns({x: F.ceil(x).cast("int") for x in ("js", "is")})
+        else:
+            rows = rows.withColumn("js", F.expr(f"cast(ceil(m / {block}) as int)")).withColumn("is", F.expr(f"cast(ceil((m - top) / {block}) as int)"))
         one, other = F.pmod(F.xxhash64("node"), F.col("is")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("js")).cast("int")
-        those = rows.filter("apart").withColumn("i", one).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("js") - 1)))
-        all_rows = rows.withColumn("apart", F.lit(False)).withColumn("j", other).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("is") - 1)))
-        wanted = ["key", "i", "j", "node", "comp", "apart"]
-        dealt = those.select(*wanted).unionByName(all_rows.select(*wanted)).join(corners, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+        those = rows.withColumn("asks", F.lit(True)).filter("apart").withColumn("i", one).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("js") - 1)))
+        all_rows = rows.withColumn("asks", F.lit(False)).withColumn("j", other).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("is") - 1)))
+        dealt = those.unionByName(all_rows)
+        if once:
+            hashes = stored(fetch(rows.select(F.col("node").alias("rid")), "hashes"), "asked-hashes", "lz4")
+            dealt = dealt.select("key", "i", "j", "node", "comp", "apart", "asks").join(corners, "node").join(hashes, "node")
+        else:
+            dealt = dealt.withColumn("apart", F.col("asks")).select("key", "i", "j", "node", "comp", "apart").join(corners, "node")
+        dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
         found = dealt.mapInArrow(lean(index.joined(False, ["key", "i", "j"])), pair).select("u", "v").distinct()
-        more = stored(found.join(forest.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
-        links = links.unionByName(verified(more))
+        if once:
+            links = links.unionByName(stored(found, "links"))
+        else:
+            links = links.unionByName(verified(stored(found.join(forest.select("u", "v"), ["u", "v"], "left_anti"), "pairs")))
         comp = components(links, "components")
 
     sets = stored(same.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("set1", "set2", "n_shingles", "copies", "comp", "best"), "sets", instead_of=None)

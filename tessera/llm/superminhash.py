@@ -5,8 +5,10 @@ random fraction is added. A place's component is the smallest rank that any elem
 places are never alike, components agree with less variance than independent ones would. Signatures are made rank by rank for many
 sets at a time; a set is done when all its places are filled with less than the next rank, which for large sets is at once.
 
-Sets that agree on a band of components meet in a cell. In a cell, components tell which pairs may link; these are verified on the
-shingles themselves, and links are united (see ``ngrams``, whose frame this shares).
+Sets that agree on a band of components meet in a cell. Each is compared with the first sets of the cells that it is in most often, and
+links found so are united. Sets that cells bring together but links don't are a family: there, components tell which other pairs
+may link, and these are verified in the task on the shingles themselves, so no pair that doesn't link leaves it (see ``ngrams``, whose
+frame this shares).
 """
 
 from __future__ import annotations
@@ -90,14 +92,14 @@ def _ranked(out: np.ndarray, h: np.ndarray, owner: np.ndarray, swaps: list[np.nd
 
 
 class SignatureIndex:
-    """Cells of equal bands, and pairs in a cell whose signatures agree on enough components.
+    """Cells of equal bands, and pairs in a family whose signatures agree on enough components.
 
     Of linked sets at the very threshold, each component agrees with that probability; they share none of 64 bands of 6 in 4 of 10**9
     cases, and fall six standard deviations short of the agreement expected (of independent components) in 1 of 10**9.
     """
 
     def __init__(self, threshold: float, bands: int = BANDS, rows: int = ROWS):
-        self.bands, self.rows, places = bands, rows, bands * rows
+        self.threshold, self.bands, self.rows, places = threshold, bands, rows, bands * rows
         self.least = int(places * threshold - 6 * (places * threshold * (1 - threshold)) ** 0.5)
 
     def sketched(self, sets: list[np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
@@ -110,55 +112,35 @@ class SignatureIndex:
         return key, [x.tobytes() for x in (found & np.uint64(0xFF)).astype(np.uint8)]
 
     def joined(self, forest: bool, keys: list[str]):
-        """Pairs (u, v, over) of a task's cells, which come sorted by ``keys``, as ``ngrams.tree_join`` gives them."""
-        least = self.least
+        """Links (u, v, similarity) of a task's groups, which come sorted by ``keys``, between sets that ask and others of other components.
+
+        Rows have node, comp, apart, asks, corner and hashes. Two sets apart, each of which asks for the other, are compared once.
+        """
+        least, threshold = self.least, self.threshold
 
         def run(batches):
-            u, v, over, rows = [], [], [], 0
             for _, c in _groups(batches, keys):
-                node = np.array(c["node"])
+                node, comp, apart, asks = (np.array(c[k]) for k in ("node", "comp", "apart", "asks"))
                 marks = np.stack([np.frombuffer(x, np.uint8) for x in c["corner"]])
-                found = led(marks, least) if forest else parted(marks, least, np.array(c["comp"]), np.array(c["apart"]))
-                for i, j, n in found:
-                    u.append(np.minimum(node[i], node[j]))
-                    v.append(np.maximum(node[i], node[j]))
-                    over.append(n / least)
-                    rows += len(n)
-                if rows > 20_000:
-                    yield _pairs(u, v, over)
-                    u, v, over, rows = [], [], [], 0
-            if u:
-                yield _pairs(u, v, over)
+                sets = [np.frombuffer(x, np.uint64) for x in c["hashes"]]
+                size = np.array([len(x) for x in sets])
+                others = np.flatnonzero(~asks)
+                out = []
+                for i in np.flatnonzero(asks):
+                    j = others[(comp[others] != comp[i]) & (~apart[others] | (node[others] > node[i]))]
+                    j = j[np.minimum(size[j], size[i]) >= threshold * np.maximum(size[j], size[i]) - 1e-9]
+                    for k in j[(marks[j] == marks[i]).sum(1) >= least]:
+                        both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                        either = size[i] + size[k] - both
+                        if both >= threshold * either - 1e-9:
+                            out.append((min(node[i], node[k]), max(node[i], node[k]), both / either))
+                if out:
+                    u, v, alike = zip(*out)
+                    yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(alike, pa.float64())], names=["u", "v", "over"])
 
         return run
 
 
-def _pairs(u: list, v: list, over: list) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.concatenate(x)) for x in (u, v, over)], names=["u", "v", "over"])
-
-
-def led(marks: np.ndarray, least: int):
-    """(rows, rows, agreement): the first row leads those that agree with it; of the others, the first leads; and so on."""
-    left = np.arange(len(marks))
-    while len(left) > 1:
-        lead, left = left[0], left[1:]
-        n = (marks[left] == marks[lead]).sum(1)
-        good = n >= least
-        if good.any():
-            yield np.full(good.sum(), lead), left[good], n[good]
-        left = left[~good]
-
-
-def parted(marks: np.ndarray, least: int, comp: np.ndarray, apart: np.ndarray):
-    """(rows, rows, agreement) of all pairs of different components, one row of each ``apart``."""
-    for i in np.flatnonzero(apart):
-        others = np.flatnonzero((comp != comp[i]) & (~apart | (np.arange(len(comp)) > i)))
-        n = (marks[others] == marks[i]).sum(1)
-        good = n >= least
-        if good.any():
-            yield np.full(good.sum(), i), others[good], n[good]
-
-
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 2, bands: int = BANDS, rows: int = ROWS, **options) -> DataFrame:
     """``docs`` without text, and n_shingles, comp, component_id and kept in place of columns of these names.
 
