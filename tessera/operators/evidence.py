@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.pairing import edit_counts
+from ..functions.stats import beta_quantile, exact_interval, incomplete_beta
 
 ASCII = "[A-Za-z0-9_]"
 
@@ -69,29 +69,6 @@ def flat(fields: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(fields)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
 
 
-def binomial_upper(k: int, n: int, p: float) -> float:
-    """P(X >= k) of a binomial variable."""
-    if p <= 0 or p >= 1:
-        return float(p >= 1 or k <= 0)
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1)]
-    return min(1.0, math.fsum(map(math.exp, logs)))
-
-
-def exact_interval(k: int, n: int, alpha: float = 0.05) -> tuple[float, float]:
-    """Clopper-Pearson: where the tail at k reaches alpha/2 on either side, by bisection; (0, 1) without trials."""
-
-    def root(f):
-        lo, hi = 0.0, 1.0
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if f(mid) else (lo, mid)
-        return (lo + hi) / 2
-
-    low = 0.0 if k == 0 else root(lambda p: binomial_upper(k, n, p) < alpha / 2)
-    high = 1.0 if k == n else root(lambda p: 1 - binomial_upper(k + 1, n, p) > alpha / 2)
-    return low, high
-
-
 def clopper_pearson(counts: DataFrame, k: str, n: str, alpha: float = 0.05) -> DataFrame:
     """Adds low and high of the exact interval; rows are counts already aggregated, and each distinct (k, n) is solved once."""
 
@@ -107,6 +84,22 @@ def clopper_pearson(counts: DataFrame, k: str, n: str, alpha: float = 0.05) -> D
     return counts.join(solved, [k, n])
 
 
+def beta_shares(rows: DataFrame, a: str, b: str, x: str, share: float) -> DataFrame:
+    """Adds below, the share of a beta(a, b) variable at or below x, and quantile, where ``share`` of it lies below; each (a, b, x) is solved once."""
+    kinds = rows.select(a, b, x).distinct()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            each = list(zip(*(batch.column(c).to_pylist() for c in (a, b, x))))
+            below, quantile = [incomplete_beta(*e) for e in each], [beta_quantile(share, e[0], e[1]) for e in each]
+            yield pa.record_batch([*batch.columns, pa.array(below, pa.float64()), pa.array(quantile, pa.float64())], names=[*batch.schema.names, "below", "quantile"])
+
+    solved = kinds.mapInArrow(run, T.StructType([*kinds.schema, T.StructField("below", T.DoubleType()), T.StructField("quantile", T.DoubleType())]))
+    return rows.join(solved, [a, b, x])
+
+
 def half_splits(rows: DataFrame, keys: list[str], ids: list[str], value: str, trials: int) -> DataFrame:
     """Ratios of the means of random halves, ``trials`` times: how many, the lowest, the highest, and those outside 0.8 to 1.25.
 
@@ -152,32 +145,15 @@ def majority(a: Column, b: Column, least: int, share: float) -> Column:
     return F.when(a + b < least, "unknown").when(a >= share * (a + b), "a").when(b >= share * (a + b), "b").otherwise("mixed")
 
 
-def edits(a: list, b: list) -> tuple[int, int, int]:
-    """(substitutions, deletions, insertions) of a shortest edit from a to b; of equally short ones, that with most substitutions."""
-    here = [(j, 0, 0, j) for j in range(len(b) + 1)]  # cost, substitutions, deletions, insertions
-    for i, x in enumerate(a, 1):
-        row = [(i, 0, i, 0)]
-        for j, y in enumerate(b, 1):
-            c, s, d, n = here[j - 1]
-            best = (c, s, d, n) if x == y else (c + 1, s + 1, d, n)
-            up, left = here[j], row[j - 1]
-            for c, s, d, n in ((up[0] + 1, up[1], up[2] + 1, up[3]), (left[0] + 1, left[1], left[2], left[3] + 1)):
-                if (c, -s) < (best[0], -best[1]):
-                    best = (c, s, d, n)
-            row.append(best)
-        here = row
-    _, s, d, n = here[-1]
-    return s, d, n
-
-
 def word_errors(pairs: DataFrame, said: str, heard: str) -> DataFrame:
-    """Adds n_words, substitutions, deletions, insertions, errors and rate (errors per word said; null where nothing was said).
+    """Adds n_words, substitutions, deletions, insertions, errors, rate (errors per word said), n_chars, char_errors and char_rate.
 
-    Words are lower-case runs of letters, digits and apostrophes. Equal words at both ends cost nothing and are cut off first; a null text
-    has no words.
+    Words are lower-case runs of letters, digits and apostrophes; characters are those of the words joined by spaces. Rates are null
+    where nothing was said. Equal ends cost nothing and are cut off first; a null text has no words.
     """
     words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(r"[\p{L}\p{N}']+"), F.lit(0))
     rows, names = pairs.withColumn("_a", words(said)).withColumn("_b", words(heard)), pairs.columns
+    added = ["n_words", "substitutions", "deletions", "insertions", "n_chars", "char_errors"]
 
     def run(batches):
         import pyarrow as pa
@@ -185,17 +161,23 @@ def word_errors(pairs: DataFrame, said: str, heard: str) -> DataFrame:
         for batch in batches:
             found = []
             for a, b in zip(batch.column("_a").to_pylist(), batch.column("_b").to_pylist()):
-                n = len(a)
-                while a and b and a[-1] == b[-1]:
-                    a, b = a[:-1], b[:-1]
-                k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-                found.append((n, *edits(a[k:], b[k:])))
-            columns = [pa.array(c, pa.int64()) for c in zip(*found)] if found else [pa.array([], pa.int64())] * 4
-            yield pa.record_batch([*(batch.column(c) for c in names), *columns], names=[*names, "n_words", "substitutions", "deletions", "insertions"])
-
-    schema = T.StructType([*pairs.schema, *[T.StructField(c, T.LongType()) for c in ("n_words", "substitutions", "deletions", "insertions")]])
+                x, y = " ".join(a), " ".join(b)
+                found.append((len(a), *trimmed_edits(a, b), len(x), sum(trimmed_edits(x, y))))
+            columns = [pa.array(c, pa.int64()) for c in zip(*found)] if found else [pa.array([], pa.int64())] * 6
+            yield pa.record_batch([*(batch.column(c) for c in names), *columns], names=[*names, *added])
+
+    schema = T.StructType([*pairs.schema, *[T.StructField(c, T.LongType()) for c in added]])
     out = rows.mapInArrow(run, schema).withColumn("errors", F.col("substitutions") + F.col("deletions") + F.col("insertions"))
-    return out.withColumn("rate", F.when(F.col("n_words") > 0, F.round(F.col("errors") / F.col("n_words"), 6)))
+    out = out.withColumn("rate", F.when(F.col("n_words") > 0, F.round(F.col("errors") / F.col("n_words"), 6)))
+    return out.withColumn("char_rate", F.when(F.col("n_chars") > 0, F.round(F.col("char_errors") / F.col("n_chars"), 6)))
+
+
+def trimmed_edits(a, b) -> tuple[int, int, int]:
+    """``edit_counts`` of what is left between equal ends."""
+    tail = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return edit_counts(a[head:], b[head:])
 
 
 def word_error_gate(rows: DataFrame, share: float = 0.2) -> DataFrame:

@@ -2,26 +2,23 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WORD = r"[\p{L}\p{N}_']+"
-
+from ..functions.pairing import blocks, common_pairs, ratio
 
-def similar(a: list[str], b: list[str], least: float) -> float:
-    """2 * matched / total of two word lists by matching blocks; 0 where bounds by length and by counts already fall short of ``least``."""
-    m = difflib.SequenceMatcher(None, a, b, autojunk=False)
-    if m.real_quick_ratio() < least or m.quick_ratio() < least:
-        return 0.0
-    return m.ratio()
+WORD = r"[\p{L}\p{N}_']+"
 
 
 def adjacent_near_repeats(rows: DataFrame, keys: list[str], pos: str, text: str, least: float, words: int) -> DataFrame:
-    """Rows whose words nearly repeat those of the row before (ratio ``least`` or more, ``words`` words at least on both sides): keys, pos, ratio."""
+    """Rows whose words nearly repeat those of the row before: keys, pos, ratio.
+
+    The ratio is 2 * common / total words, common the length of a longest common subsequence; it is ``least`` or more, and both sides have
+    ``words`` words at least. Null texts have no words.
+    """
     w = Window.partitionBy(*keys).orderBy(pos)
     listed = rows.select(*keys, pos, F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)).alias("b"))
     both = listed.withColumn("a", F.lag("b").over(w)).filter((F.size("a") >= words) & (F.size("b") >= words))
@@ -30,8 +27,8 @@ def adjacent_near_repeats(rows: DataFrame, keys: list[str], pos: str, text: str,
         import pyarrow as pa
 
         for batch in batches:
-            ratio = [similar(a, b, least) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
-            yield pa.record_batch([*(batch.column(c) for c in (*keys, pos)), pa.array(ratio, pa.float64())], names=[*keys, pos, "ratio"])
+            alike = [ratio(a, b, least) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
+            yield pa.record_batch([*(batch.column(c) for c in (*keys, pos)), pa.array(alike, pa.float64())], names=[*keys, pos, "ratio"])
 
     schema = T.StructType([*(rows.schema[c] for c in (*keys, pos)), T.StructField("ratio", T.DoubleType())])
     return both.mapInArrow(run, schema).filter(F.col("ratio") >= least).withColumn("ratio", F.round("ratio", 6))
@@ -154,7 +151,7 @@ def nearest_equal(rows: DataFrame, content: Column, key: str) -> DataFrame:
 
 
 def aligned(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Align two texts' words by matching blocks: adds equal, replaced, deleted, inserted (words; of replaced ones the larger side) and blocks."""
+    """Align two texts' words by a longest common subsequence: adds equal, replaced, deleted, inserted (words; of replaced ones the larger side) and blocks."""
     words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(WORD), F.lit(0))
     names, own = ["equal", "replaced", "deleted", "inserted", "blocks"], rows.columns
 
@@ -170,18 +167,26 @@ def aligned(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def alignment(a: list[str], b: list[str]) -> tuple[int, int, int, int, int]:
-    n = {"equal": 0, "replace": 0, "delete": 0, "insert": 0}
-    blocks = 0
-    for kind, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        n[kind] += max(j - i, m - k)
-        blocks += kind == "equal"
-    return n["equal"], n["replace"], n["delete"], n["insert"], blocks
+    """(equal, replaced, deleted, inserted, blocks) about the blocks of a longest common subsequence; between two, what both sides have is replaced."""
+    equal, replaced, deleted, inserted, i, j = 0, 0, 0, 0, 0, 0
+    found = blocks(common_pairs(a, b))
+    for x, y, n in [*found, (len(a), len(b), 0)]:
+        gone, new = x - i, y - j
+        if gone and new:
+            replaced += max(gone, new)
+        else:
+            deleted, inserted = deleted + gone, inserted + new
+        equal, i, j = equal + n, x + n, y + n
+    return equal, replaced, deleted, inserted, len(found)
 
 
 def missing(a: list[str], b: list[str], least: int, top: int) -> list[tuple[int, int]]:
-    """(start, length) of the longest runs of ``a`` that ``b`` lacks, of ``least`` words or more."""
-    ops = difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
-    runs = [(i, j - i) for kind, i, j, _, _ in ops if kind in ("delete", "replace") and j - i >= least]
+    """(start, length) of the longest runs of ``a`` between blocks that it has in common with ``b``, of ``least`` words or more."""
+    found, runs, i = blocks(common_pairs(a, b)), [], 0
+    for x, _, n in [*found, (len(a), len(b), 0)]:
+        if x - i >= least:
+            runs.append((i, x - i))
+        i = x + n
     return sorted(runs, key=lambda x: (-x[1], x[0]))[:top]
 
 

@@ -110,7 +110,7 @@ def i16(t):
     return grid.join(done, ["r_regionkey", "n_name"], "left_anti").select("r_name", "n_name")
 
 
-@query("i17_blinding")
+@query("i17_blinding", "SELECT p_partkey, CAST(dense_rank() OVER (PARTITION BY p_brand ORDER BY sha256('salt:' || p_partkey)) AS INT) AS label FROM part")
 def i17(t):
     return t.part.select("p_partkey", F.dense_rank().over(Window.partitionBy("p_brand").orderBy(F.sha2(F.concat_ws(":", F.lit("salt"), "p_partkey"), 256))).alias("label"))
 

@@ -21,7 +21,7 @@ class Tables:
 
 
 def query(name: str, sql: str | None = None):
-    """Register a function of ``Tables`` under ``name``; without ``sql`` the query is tested in tests/ against plain Python."""
+    """Register a function of ``Tables`` under ``name``; without ``sql`` what it calls is tested in tests/ against plain Python."""
 
     def add(build: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))

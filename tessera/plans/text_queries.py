@@ -139,7 +139,7 @@ def c24(t):
     return folded.groupBy("grp", "stripped").agg(F.count_distinct("intact").alias("n")).groupBy("grp").agg((F.max("n") > 1).alias("distinguishing"), F.sum("n").alias("n_names"))
 
 
-@query("c25_phonetic_key")
+@query("c25_phonetic_key", "WITH l AS (SELECT c_custkey, replace(regexp_replace(upper(c_name), '[^A-Z]', '', 'g'), 'L', 'R') AS l FROM customer), b AS (SELECT *, string_split(regexp_replace(l, '[AEIOU]', '', 'g'), '') AS b FROM l) SELECT c_custkey, CASE WHEN l = '' THEN '' ELSE regexp_extract(l, '[AEIOU]') || '|' || array_to_string(list_filter(b, lambda c, i: i = 1 OR c <> b[i - 1]), '') END AS key FROM b")
 def c25(t):
     return t.customer.select("c_custkey", T.phonetic_key(F.col("c_name")).alias("key"))
 
