@@ -195,3 +195,10 @@ def g26(t):
     # each tenth document gets another one of its language that is closest in length, none twice
     d = t.documents.select("doc_id", "lang", "n_chars")
     return G.matched_pairs(d.filter("doc_id % 10 = 0"), d.filter("doc_id % 10 <> 0"), "doc_id", "n_chars", ["lang"])
+
+
+@query("k05_turns_in_source")
+def k05(t):
+    # turns located in their conversation's whole text, a cursor carried from turn to turn; streaming.cursors does the same on a stream
+    whole = t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return P.located_forward(t.conversations, whole, "conv_id", "turn", "text")
