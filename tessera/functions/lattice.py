@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from .numerals import VALUES
 from .pairing import blocks, common_pairs
 
@@ -11,19 +9,26 @@ SKIP = 1.0
 KINDS = ["equal", "close", "joined", "split", "pairs", "number", "skip_a", "skip_b"]
 
 
-@lru_cache(200_000)
+SEEN: dict = {}  # what a task has compared; a function of a module that goes to workers by value can't have a cache of the library's
+
+
 def likeness(x: str, y: str) -> float:
     """1 - edits / length of the longer."""
     if x == y:
         return 1.0
     if min(len(x), len(y)) * 2 < max(len(x), len(y)):
         return 0.0
+    if (x, y) in SEEN:
+        return SEEN[x, y]
+    if len(SEEN) > 200_000:
+        SEEN.clear()
     row = list(range(len(y) + 1))
     for i, u in enumerate(x, 1):
         last, row[0] = row[0], i
         for j, v in enumerate(y, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (u != v))
-    return 1 - row[-1] / max(len(x), len(y))
+    SEEN[x, y] = 1 - row[-1] / max(len(x), len(y))
+    return SEEN[x, y]
 
 
 def spelled(words: list[str]) -> int | None:
