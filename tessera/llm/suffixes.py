@@ -25,7 +25,7 @@ from .common import STRETCH, Filed, dealt_join, gathered, lean, prefix_hash, sli
 WORDS = [f"w{i}" for i in range(4)] + ["digest0", "digest1"]
 SUFFIX = "bucket int, rid long, place long, " + ", ".join(f"{w} long" for w in WORDS)
 MET = "bucket int, rid long, place long, state int, edge binary"
-CONTEXT = "home int, rid long, place long, weight int, lead binary, context binary"
+CONTEXT = "rid long, place long, weight int, lead binary, context binary"
 SPAN = "rid long, start long, end long"
 _PA = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "string": pa.string()}
 TWICE, ASK, HOT, FIRST, LAST, HEAD, TAIL = (1 << i for i in range(7))  # bits of a state
@@ -336,15 +336,15 @@ def remove_repeats(docs: DataFrame, length: int = 200, window: int = 150, gram:
     edges = [(r.bucket, r.place, bytes(r.edge)) for r in met.filter("edge is not null").select("bucket", "place", "edge").collect()]
     settled = spark.createDataFrame(exchanged(edges, hot), "bucket int, flag int, asked boolean, very boolean, low boolean, high boolean, home int")
     met = met.filter("edge is null")
-    inner = met.filter(f"state & {FIRST | LAST | HEAD | TAIL} = 0").select("rid", "place", (F.expr(f"state & {TWICE}") > 0).alias("twice"), (F.expr(f"state & {ASK}") > 0).alias("ask"), (F.expr(f"state & {HOT}") > 0).alias("hot"), F.col("bucket").alias("home"))
+    inner = met.filter(f"state & {FIRST | LAST | HEAD | TAIL} = 0").select("rid", "place", (F.expr(f"state & {TWICE}") > 0).alias("twice"), (F.expr(f"state & {ASK}") > 0).alias("ask"), (F.expr(f"state & {HOT}") > 0).alias("hot"))
     outer = met.filter(f"state & {FIRST | LAST | HEAD | TAIL} > 0").withColumn("flag", F.expr(f"if(state & {FIRST | HEAD} > 0, {FIRST}, {LAST})"))
     outer = outer.join(settled, ["bucket", "flag"]).select(
-        "rid", "place", F.expr(f"state & {TWICE} > 0 or state & {HEAD} > 0 and low or state & {TAIL} > 0 and high").alias("twice"), F.expr(f"state & {FIRST | LAST} > 0 and asked").alias("ask"), F.col("very").alias("hot"), "home"
+        "rid", "place", F.expr(f"state & {TWICE} > 0 or state & {HEAD} > 0 and low or state & {TAIL} > 0 and high").alias("twice"), F.expr(f"state & {FIRST | LAST} > 0 and asked").alias("ask"), F.col("very").alias("hot")
     )
     met = inner.unionByName(outer)
     place = {"a": "shiftright(place, 16)", "d": "shiftright(place, 8) & 255", "n": "place & 255"}
     whole = met.filter("twice").select("rid", F.expr(place["a"]).alias("start"), F.expr(f"{place['a']} + ({place['n']}) - 1 + {length}").alias("end"))
-    asked = met.filter("ask").select("rid", "place", F.expr("if(twice, 2, 1)").alias("weight"), "hot", "home")
+    asked = met.filter("ask").select("rid", "place", F.expr("if(twice, 2, 1)").alias("weight"), "hot")
     read = have.reader(["ztext"])
 
     def fetch(hot_ones: bool):
@@ -360,7 +360,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, window: int = 150, gram:
                     for k in c["place"][i:j].tolist():
                         a, d, n = k >> 16, k >> 8 & 255, k & 255
                         out.append((text[a + d : a + d + 32], text[a : a + n - 1 + length]))
-                    yield _batch(CONTEXT, [c["home"][i:j], c["rid"][i:j], c["place"][i:j], c["weight"][i:j], [x for x, _ in out], [x for _, x in out]])
+                    yield _batch(CONTEXT, [c["rid"][i:j], c["place"][i:j], c["weight"][i:j], [x for x, _ in out], [x for _, x in out]])
 
         return have.tasks(asked.filter("hot" if hot_ones else "not hot").drop("hot")).mapInArrow(lean(run), CONTEXT)
 
@@ -401,7 +401,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, window: int = 150, gram:
     spans, n_asked = whole, asked.groupBy("hot").count().collect()
     n_asked = {r.hot: r["count"] for r in n_asked}
     if n_asked.get(False):
-        cold = fetch(False).repartitionById(buckets, "home").sortWithinPartitions("lead")
+        cold = fetch(False).repartition(buckets, "lead").sortWithinPartitions("lead")  # by class, whatever bucket it was in
         spans = spans.unionByName(cold.mapInArrow(lean(compare), SPAN))
     if n_asked.get(True):
         each = stored(fetch(True).mapInArrow(lean(windows), "rid long, start long, weight int, digest binary"), "windows")
