@@ -81,7 +81,9 @@ def g11(t):
 @query("g12_overlap_semi", f"WITH {TURNS}, q AS (SELECT turn_id, user_id, a, b FROM i WHERE turn_id % 4 = 1), o AS (SELECT user_id, a, b FROM i WHERE turn_id % 4 = 3) SELECT DISTINCT turn_id FROM q JOIN o USING (user_id) WHERE q.a < o.b AND o.a < q.b")
 def g12(t):
     _, i = turns(t)
-    cut = lambda df: df.filter("a < b").withColumn("cell", F.explode(F.sequence(F.floor(F.col("a") / 86400), F.floor((F.col("b") - 1) / 86400))))
+    # an interval that is empty or runs backwards overlaps those that hold b to a inside, so it stands in b's cell alone
+    last = F.when(F.col("a") < F.col("b"), F.col("b") - 1).otherwise(F.col("b"))
+    cut = lambda df: df.filter("a IS NOT NULL AND b IS NOT NULL").withColumn("cell", F.explode(F.sequence(F.floor(F.least("a", "b") / 86400), F.floor(last / 86400))))
     q, o = cut(i.filter("turn_id % 4 = 1")), cut(i.filter("turn_id % 4 = 3")).select("user_id", "cell", F.col("a").alias("oa"), F.col("b").alias("ob"))
     return q.join(o, (q.user_id == o.user_id) & (q.cell == o.cell) & (q.a < o.ob) & (o.oa < q.b), "left_semi").select("turn_id").distinct()
 
