@@ -82,7 +82,7 @@ def restored(text: Column) -> Column:
     runs = F.regexp_extract_all(text, F.lit(f"(?s){LOST}+|[^{LOST}]+"), F.lit(0))
     blank = lambda c: c.isin("\n", " ", "\t")
 
-    def mended(run: Column, i: Column) -> Column:
+    def mended(runs: Column, run: Column, i: Column) -> Column:
         n = F.length(run)
         before, after = F.coalesce(F.get(runs, i - 1), F.lit("\n")), F.coalesce(F.get(runs, i + 1), F.lit("\n"))
         left, right = F.right(before, F.lit(1)), F.left(after, F.lit(1))
@@ -102,4 +102,6 @@ def restored(text: Column) -> Column:
         long = F.concat(first, F.repeat(F.lit("…"), n - 2), last)
         return F.when(~run.startswith(LOST), run).when(n == 1, single).otherwise(long)
 
-    return F.when(F.contains(text, F.lit(LOST)), F.array_join(F.transform(runs, mended), "")).otherwise(text)
+    # the runs are bound to a name of their own, so a text is cut once and not for each neighbour of each run
+    whole = F.get(F.transform(F.array(runs), lambda r: F.array_join(F.transform(r, lambda run, i: mended(r, run, i)), "")), F.lit(0))
+    return F.when(F.contains(text, F.lit(LOST)), whole).otherwise(text)

@@ -1,11 +1,12 @@
 """Queries on tables where forms that looked right gave other rows than their SQL, and steps that grew faster than their input."""
 
+import time
 from datetime import datetime
 
 import duckdb
-import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import numerals as N
 from tessera.plans import catalogue
 
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
@@ -42,3 +43,11 @@ def test_names_end_before_letters_beyond_ascii(spark, tmp_path):
     benchmark = [(1, "Chgeß Adojaó Maria, Peters_ éPaul Anna"), (2, None)]
     conversations = [(1, 1, "Chge und Maria"), (1, 2, "Adoja Anna"), (2, 0, "Peters Anna"), (3, 1, "Paul Chge"), (3, 2, None)]
     assert len(same_as_sql(spark, tmp_path, "h13_co_mentions", benchmark=(benchmark, "item_id long, text string"), conversations=(conversations, "conv_id long, turn long, text string"))) == 5
+
+
+def test_lost_characters_of_a_long_text(spark):
+    n = 20_000
+    rows = spark.createDataFrame([(f"don{N.LOST}t " * n,)], "s string").withColumn("got", N.restored(F.col("s")))
+    start = time.monotonic()
+    assert rows.first().got == "don’t " * n
+    assert time.monotonic() - start < 30
