@@ -1,11 +1,13 @@
 """Queries on tables where forms that looked right gave other rows than their SQL, and steps that grew faster than their input."""
 
+import random
 import time
 from datetime import datetime
 
 import duckdb
 from pyspark.sql import functions as F
 
+from tessera.functions import lattice
 from tessera.functions import numerals as N
 from tessera.plans import catalogue
 
@@ -51,3 +53,15 @@ def test_lost_characters_of_a_long_text(spark):
     start = time.monotonic()
     assert rows.first().got == "don’t " * n
     assert time.monotonic() - start < 30
+
+
+def test_the_way_through_a_lattice_looks_at_few_cells(monkeypatch):
+    rng = random.Random(1)
+    b = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(200)]
+    a = [w[:-1] if i % 7 == 6 and len(w) > 4 else w for i, w in enumerate(b)]
+    a[50:52] = [a[50] + a[51]]
+    seen, edges = [], lattice.edges
+    monkeypatch.setattr(lattice, "edges", lambda *x: seen.append(x[2:4]) or edges(*x))
+    steps = lattice.path(a, b)
+    assert (50, 1, 50, 2, "joined") in steps and sum(s[1] for s in steps) == len(a) and sum(s[3] for s in steps) == len(b)
+    assert len(seen) < len(a) * len(b) / 10
