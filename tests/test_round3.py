@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import lattice
 from tessera.functions import numerals as N
+from tessera.operators import alignment
 from tessera.plans import catalogue
 
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
@@ -65,3 +66,15 @@ def test_the_way_through_a_lattice_looks_at_few_cells(monkeypatch):
     steps = lattice.path(a, b)
     assert (50, 1, 50, 2, "joined") in steps and sum(s[1] for s in steps) == len(a) and sum(s[3] for s in steps) == len(b)
     assert len(seen) < len(a) * len(b) / 10
+
+
+def test_sources_meet_chunks_where_they_are_read(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("the of a cat sat on mat and dog ran far off".split()) for _ in range(rng.randrange(120))) for _ in range(30)]
+    chunks = spark.createDataFrame([(i, " ".join(t.split()[3:20]) if t else None) for i, t in enumerate(texts[:12])] + [(3, "the cat of dogs and mats")], "c long, text string")
+    sources = spark.createDataFrame([*enumerate(texts), (4, texts[4]), (99, None)], "s long, text string")
+    found = alignment.best_matches(chunks, sources, "c", "s")
+    want = sorted(map(tuple, found.collect()))
+    assert len(want) >= 12 and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(alignment, "BLOCK", 40)  # several blocks of chunks
+    assert sorted(map(tuple, alignment.best_matches(chunks, sources, "c", "s").collect())) == want
