@@ -78,3 +78,10 @@ def test_sources_meet_chunks_where_they_are_read(spark, monkeypatch):
     assert len(want) >= 12 and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(alignment, "BLOCK", 40)  # several blocks of chunks
     assert sorted(map(tuple, alignment.best_matches(chunks, sources, "c", "s").collect())) == want
+
+
+def test_parts_meet_by_the_names_they_share(spark, tmp_path):
+    part = [(50 * i, *x) for i, x in enumerate([("A", "B"), ("A", "B"), ("B", "C"), ("A", None), (None, None), (None, "B"), ("B", "B"), ("B", "A"), ("C", "A")])] + [(1, "A", "B")]
+    same_as_sql(spark, tmp_path, "g06_alias_groups", part=(part, "p_partkey long, p_brand string, p_type string"))
+    plan = QUERIES["g06_alias_groups"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_overlap" not in plan
