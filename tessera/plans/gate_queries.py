@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import ended_by_stops
 from ..operators import gates as G
 from ..operators.evidence import chunk_gate
 from .registry import query
@@ -17,7 +18,7 @@ def quoted(t):
 
 def segments(t):
     """Regions as entries, some in eleven damaged: the wrong kind, no text, a Cyrillic letter, a mark inside, another kind, the line given again."""
-    regions = G.quote_regions(quoted(t), "doc_id", "source")
+    regions = G.quote_regions(quoted(t), "doc_id", "source", listed=False)
     kind = F.pmod(F.col("doc_id") + F.col("region") * 3, F.lit(41))
     other = F.when(F.col("kind") == "SPOKEN", "NARRATOR").otherwise("SPOKEN")
     entries = regions.select(
@@ -29,8 +30,8 @@ def segments(t):
 
 @query("f18_regions")
 def f18_regions(t):
-    regions = G.quote_regions(quoted(t), "doc_id", "source")
-    return regions.groupBy("doc_id").agg(F.count_if(F.col("kind") == "SPOKEN").alias("spoken"), F.count_if(F.col("kind") == "NARRATOR").alias("narrated"), F.sum(F.when(F.col("kind") == "SPOKEN", F.col("end") - F.col("start")).otherwise(0)).alias("spoken_chars"), F.max(F.size("repairs")).cast("long").alias("repairs"), F.md5(F.concat_ws("\n", F.sort_array(F.collect_list("text"))).cast("binary")).alias("digest"))
+    regions = G.quote_regions(quoted(t), "doc_id", "source", listed=False)
+    return regions.groupBy("doc_id").agg(F.count_if(F.col("kind") == "SPOKEN").alias("spoken"), F.count_if(F.col("kind") == "NARRATOR").alias("narrated"), F.sum(F.when(F.col("kind") == "SPOKEN", F.col("end") - F.col("start")).otherwise(0)).alias("spoken_chars"), F.max("n_repairs").alias("repairs"), F.md5(F.concat_ws("\n", F.sort_array(F.collect_list("text"))).cast("binary")).alias("digest"))
 
 
 @query("j04_segment_gate")
@@ -43,7 +44,7 @@ def j04(t):
 
 def damaged_entries(t):
     """Sentences as entries: two of nine are given again, an empty one stands after each sixth, every seventh has Cyrillic letters."""
-    said = F.transform(F.regexp_extract_all(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), F.lit(r"[^.]+\."), F.lit(0)), F.trim)
+    said = F.transform(ended_by_stops(F.replace("text", F.lit("\n"), F.lit(" "))), F.trim)
     each = t.documents.select("doc_id", F.posexplode(said).alias("i", "text"))
     shown = F.when(F.col("i") % 7 == 3, F.translate("text", "aeo", "аео")).otherwise(F.col("text"))
     first = each.select("doc_id", (F.col("i") * 10).alias("pos"), shown.alias("text"))
