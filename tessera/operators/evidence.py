@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.pairing import edit_counts
+from ..functions.pairing import edit_counts, edits
+from ..functions.tasks import lean
 from ..functions.stats import beta_quantile, exact_interval, incomplete_beta
 
 ASCII = "[A-Za-z0-9_]"
@@ -162,7 +163,7 @@ def word_errors(pairs: DataFrame, said: str, heard: str) -> DataFrame:
             found = []
             for a, b in zip(batch.column("_a").to_pylist(), batch.column("_b").to_pylist()):
                 x, y = " ".join(a), " ".join(b)
-                found.append((len(a), *trimmed_edits(a, b), len(x), sum(trimmed_edits(x, y))))
+                found.append((len(a), *trimmed(edit_counts, a, b), len(x), trimmed(edits, x, y)))
             columns = [pa.array(c, pa.int64()) for c in zip(*found)] if found else [pa.array([], pa.int64())] * 6
             yield pa.record_batch([*(batch.column(c) for c in names), *columns], names=[*names, *added])
 
@@ -172,12 +173,12 @@ def word_errors(pairs: DataFrame, said: str, heard: str) -> DataFrame:
     return out.withColumn("char_rate", F.when(F.col("n_chars") > 0, F.round(F.col("char_errors") / F.col("n_chars"), 6)))
 
 
-def trimmed_edits(a, b) -> tuple[int, int, int]:
-    """``edit_counts`` of what is left between equal ends."""
+def trimmed(count, a, b):
+    """``count`` of what is left between equal ends."""
     tail = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    return edit_counts(a[head:], b[head:])
+    return count(a[head:], b[head:])
 
 
 def word_error_gate(rows: DataFrame, share: float = 0.2) -> DataFrame:
@@ -189,21 +190,49 @@ def word_error_gate(rows: DataFrame, share: float = 0.2) -> DataFrame:
 def chunk_gate(rows: DataFrame, keys: list[str], source: str, output: str, least: float = 0.9) -> DataFrame:
     """Multiset recall of words and of trigrams, ratio of lengths, and the defects among them; 1.0 where the source has none.
 
-    Both sides are counted in one aggregation by (row, gram), so each gram is shuffled once.
+    Rows of equal keys are counted together: their texts are shuffled, and a task counts one key's grams at a time.
     """
+    words = lambda c: F.filter(F.split(F.lower(c), " "), lambda x: x != "")
+    known = rows.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    sorted_rows = known.select(*keys, F.col(source).alias("_a"), F.col(output).alias("_b")).repartition(*keys).sortWithinPartitions(*keys).select(*keys, words("_a").alias("_a"), words("_b").alias("_b"))
+    measures = ["met0", "a0", "b0", "met1", "a1"]
 
-    def grams(column: str):
-        w = F.filter(F.split(F.lower(column), " "), lambda x: x != "")
-        n = F.greatest(F.size(w) - 2, F.lit(0))
-        three = F.transform(F.arrays_zip(F.slice(w, 1, n).alias("a"), F.slice(w, 2, n).alias("b"), F.slice(w, 3, n).alias("c")), lambda z: F.concat_ws(" ", z["a"], z["b"], z["c"]))  # no word is looked up by its place
-        return F.concat(F.transform(w, lambda x: F.struct(F.lit(0).alias("kind"), x.alias("x"))), F.transform(three, lambda x: F.struct(F.lit(1).alias("kind"), x.alias("x"))))
-
-    side = lambda column, a, b: rows.select(*keys, F.explode(grams(column)).alias("g")).select(*keys, "g.kind", "g.x", F.lit(a).alias("a"), F.lit(b).alias("b"))
-    counted = side(source, 1, 0).unionByName(side(output, 0, 1)).groupBy(*keys, "kind", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
-    both = F.least("a", "b")
-    ratio = lambda x, y: F.coalesce(x / F.when(y > 0, y), F.lit(1.0))
-    found = counted.groupBy(*keys).agg(ratio(of(0, both), of(0, F.col("a"))).alias("recall"), ratio(of(1, both), of(1, F.col("a"))).alias("trigrams"), ratio(of(0, F.col("b")), of(0, F.col("a"))).alias("ratio"))
+    def run(batches):
+        from collections import Counter
+
+        import pyarrow as pa
+
+        now, held, done = None, None, []
+        kinds: list = []
+
+        def counted():
+            (x, u), (y, v) = held
+            return (*now, (x & y).total(), x.total(), y.total(), (u & v).total(), u.total())
+
+        def made():
+            columns = list(zip(*done)) or [()] * (len(keys) + len(measures))
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, [*kinds, *[pa.int64()] * len(measures)])], names=[*keys, *measures])
+
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in keys]
+            for *key, a, b in zip(*(batch.column(k).to_pylist() for k in keys), batch.column("_a"), batch.column("_b")):
+                if key != now:
+                    if held:
+                        done.append(counted())
+                    now, held = key, [(Counter(), Counter()), (Counter(), Counter())]
+                for value, (one, three) in zip((a, b), held):
+                    w = value.as_py() or []
+                    one.update(w)
+                    three.update(zip(w, w[1:], w[2:]))
+            yield made()
+            done = []
+        if held:
+            done.append(counted())
+            yield made()
+
+    schema = T.StructType([*(known.schema[k] for k in keys), *(T.StructField(c, T.LongType()) for c in measures)])
+    ratio = lambda x, y: F.coalesce(F.col(x) / F.when(F.col(y) > 0, F.col(y)), F.lit(1.0))
+    found = sorted_rows.mapInArrow(lean(run), schema).select(*keys, ratio("met0", "a0").alias("recall"), ratio("met1", "a1").alias("trigrams"), ratio("b0", "a0").alias("ratio"))
     defect = lambda name, bad: F.when(bad, name)
     full = rows.select(*keys).join(found, keys, "left").withColumns({c: F.coalesce(c, F.lit(1.0)) for c in ("recall", "trigrams", "ratio")})
     defects = F.concat_ws(",", defect("recall", F.col("recall") < least), defect("trigrams", F.col("trigrams") < least), defect("ratio", ~F.col("ratio").between(0.9, 1.1)))
