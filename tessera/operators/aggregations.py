@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.tasks import lean
 
 # Recall bands, lower limit inclusive.
 BANDS = [("<0.30", 0.0), ("0.30-0.60", 0.30), ("0.60-0.75", 0.60), ("0.75-0.90", 0.75), (">=0.90", 0.90)]
@@ -32,6 +35,51 @@ def multiset_recall(source: DataFrame, output: DataFrame, keys: list[str]) -> Da
     return both.groupBy(*keys).agg((F.sum(F.least("n", F.coalesce("m", F.lit(0)))) / F.sum("n")).alias("recall"), F.sum("n").alias("n_source"))
 
 
+def shared_words(rows: DataFrame, keys: list[str], source: str, output: str, pattern: str = r"[\p{L}\p{N}_]+") -> DataFrame:
+    """keys, n_source, n_output, met: lower-case tokens of both texts, and those that they share, counted with repeats.
+
+    Keys without a token are not in the result. Rows of equal keys count together: texts are shuffled rather than tokens, and a task counts
+    one key's tokens at a time.
+    """
+    tokens = lambda c: F.regexp_extract_all(F.lower(F.col(c)), F.lit(pattern), F.lit(0)).alias(c)
+    dealt = rows.select(*keys, F.col(source).alias("_a"), F.col(output).alias("_b")).repartition(*keys).sortWithinPartitions(*keys).select(*keys, tokens("_a"), tokens("_b"))
+    measures = ["n_source", "n_output", "met"]
+
+    def run(batches):
+        from collections import Counter
+
+        import pyarrow as pa
+
+        now, held, kinds, done = None, None, [], []
+
+        def counted():
+            x, y = held
+            if x or y:
+                done.append((*now, x.total(), y.total(), (x & y).total()))
+
+        def made():
+            columns = list(zip(*done)) or [()] * (len(keys) + len(measures))
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, [*kinds, *[pa.int64()] * len(measures)])], names=[*keys, *measures])
+
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in keys]
+            for *key, a, b in zip(*(batch.column(k).to_pylist() for k in keys), batch.column("_a"), batch.column("_b")):
+                if key != now:
+                    if held:
+                        counted()
+                    now, held = key, (Counter(), Counter())
+                for value, side in zip((a, b), held):
+                    side.update(value.as_py() or [])
+            yield made()
+            done.clear()
+        if held:
+            counted()
+            yield made()
+
+    schema = T.StructType([*(rows.schema[k] for k in keys), *(T.StructField(c, T.LongType()) for c in measures)])
+    return dealt.mapInArrow(lean(run), schema)
+
+
 def majority_vote(votes: DataFrame, keys: list[str], vote: str, pos: str) -> DataFrame:
     """The most frequent vote; of equally frequent ones the first cast. Null votes abstain; confidence is the share of votes cast."""
     counts = votes.filter(F.col(vote).isNotNull()).groupBy(*keys, vote).agg(F.count("*").alias("n"), F.min(pos).alias("first"))

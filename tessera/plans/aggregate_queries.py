@@ -15,8 +15,7 @@ BAND_SQL = "CASE WHEN {x} >= 0.90 THEN '>=0.90' WHEN {x} >= 0.75 THEN '0.75-0.90
 
 def halves(t):
     """Each document's first half of characters as output, the whole as source."""
-    docs = t.documents.select("doc_id", "text")
-    return docs, docs.select("doc_id", F.expr("substring(text, 1, length(text) div 2)").alias("text"))
+    return t.documents.select("doc_id", "text", F.expr("substring(text, 1, length(text) div 2)").alias("output"))
 
 
 HALF_SQL = f"""
@@ -27,18 +26,15 @@ o AS (SELECT doc_id, token, count(*) AS m FROM (SELECT doc_id, unnest({TOKENS})
 
 @query("e01_multiset_recall", HALF_SQL + "SELECT d.doc_id, round(coalesce(r.recall, 1.0), 6) AS recall FROM documents d LEFT JOIN (SELECT doc_id, sum(least(n, coalesce(m, 0)))::DOUBLE / sum(n) AS recall FROM s LEFT JOIN o USING (doc_id, token) GROUP BY doc_id) r USING (doc_id)")
 def e01(t):
-    source, output = halves(t)
-    recall = A.multiset_recall(A.word_counts(source, ["doc_id"], "text"), A.word_counts(output, ["doc_id"], "text"), ["doc_id"])
+    source = halves(t)
+    recall = A.shared_words(source, ["doc_id"], "text", "output").filter("n_source > 0").select("doc_id", (F.col("met") / F.col("n_source")).alias("recall"))
     return source.select("doc_id").join(recall, "doc_id", "left").select("doc_id", r6(F.coalesce("recall", F.lit(1.0))).alias("recall"))
 
 
 @query("e02_coverage", HALF_SQL + "SELECT d.doc_id, round(coalesce(r.coverage, 0.0), 6) AS coverage, coalesce(r.missing, 0)::BIGINT AS missing, coalesce(r.extra, 0)::BIGINT AS extra FROM documents d LEFT JOIN (SELECT doc_id, sum(least(coalesce(n, 0), coalesce(m, 0)))::DOUBLE / nullif(sum(coalesce(n, 0)), 0) AS coverage, sum(greatest(coalesce(n, 0) - coalesce(m, 0), 0)) AS missing, sum(greatest(coalesce(m, 0) - coalesce(n, 0), 0)) AS extra FROM s FULL JOIN o USING (doc_id, token) GROUP BY doc_id) r USING (doc_id)")
 def e02(t):
-    source, output = halves(t)
-    s = A.word_counts(source, ["doc_id"], "text")
-    o = A.word_counts(output, ["doc_id"], "text").withColumnRenamed("n", "m")
-    n, m = F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))
-    both = s.join(o, ["doc_id", "token"], "full").groupBy("doc_id").agg((F.sum(F.least(n, m)) / F.nullif(F.sum(n), F.lit(0))).alias("coverage"), F.sum(F.greatest(n - m, F.lit(0))).alias("missing"), F.sum(F.greatest(m - n, F.lit(0))).alias("extra"))
+    source, n, m, met = halves(t), F.col("n_source"), F.col("n_output"), F.col("met")
+    both = A.shared_words(source, ["doc_id"], "text", "output").select("doc_id", (met / F.nullif(n, F.lit(0))).alias("coverage"), (n - met).alias("missing"), (m - met).alias("extra"))
     return source.select("doc_id").join(both, "doc_id", "left").select("doc_id", r6(F.coalesce("coverage", F.lit(0.0))).alias("coverage"), F.coalesce("missing", F.lit(0)).alias("missing"), F.coalesce("extra", F.lit(0)).alias("extra"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import pairing
 from tessera.functions.text import ended_by_stops
+from tessera.operators import aggregations as A
 from tessera.operators import evidence as V
 from tessera.operators import gates as G
 from tessera.operators import greedy
@@ -80,3 +81,10 @@ def test_colours_of_cells_are_those_of_their_pairs(spark):
     for block in (1 << 20, 70):
         got = greedy.clique_colours(rows, "n", ["a", "b"], order, [-F.col("use")], block)
         assert {r.n: r.colour for r in got.collect()} == want
+
+
+def test_coverage_shuffles_texts_not_tokens(spark):
+    frame = spark.createDataFrame([(1, "A b b c", "b B x"), (2, "", "y"), (3, None, None), (None, "a", "a"), (1, "x", None)], "k int, s string, o string")
+    found = A.shared_words(frame, ["k"], "s", "o")
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.k: (r.n_source, r.n_output, r.met) for r in found.collect()} == {1: (5, 3, 3), 2: (0, 1, 0), None: (1, 1, 1)}
