@@ -54,3 +54,50 @@ def test_best_matches_of_short_and_long_chunks(spark):
             if spans:
                 want[i, j] = min(spans)[1:]
     assert got == want
+
+
+def test_like_texts_meet_in_blocks(spark):
+    rng = random.Random(9)
+    texts: dict = {}
+    for i in range(90):
+        near = [w if rng.random() < 0.85 else rng.choice("abcdefgh") for w in texts.get(rng.randrange(90), "").split()]
+        texts[i] = " ".join(near or [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.choice([1, 2, 5, 9, 10, 30]))])
+    texts |= {200: texts[3], 201: texts[3], 202: "", 203: None}
+    frame = spark.createDataFrame(list(texts.items()), "i int, text string").repartition(3)
+    lists = {i: (t or "").split() for i, t in texts.items() if t}
+    first = {tuple(w): i for i, w in sorted(lists.items(), reverse=True)}
+    heads = sorted(first.values())
+    alike = lambda a, b: 10 * 2 * common_length(a, b) >= 7 * (len(a) + len(b))
+    want = {(a, b) for a in heads for b in heads if a < b and alike(lists[a], lists[b])} | {(first[tuple(w)], i) for i, w in lists.items() if first[tuple(w)] != i}
+    assert len(want) > 20
+    for block in (40, 300, 1 << 20):  # one block, or many of few words
+        got = [(r.a, r.b) for r in L.like_texts(frame, "i", "text", block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_hits_of_blocks_are_taken_some_at_a_time():
+    rng = random.Random(10)
+    n = 40
+    sizes = np.array(sorted(rng.randrange(1, 12) for _ in range(n)))
+    words = np.array([rng.randrange(6) for _ in range(int(sizes.sum()))], np.int64)
+
+    class Often:
+        value = np.zeros(L.CLASSES, np.int64)
+
+    import pyarrow as pa
+
+    ends = np.r_[0, np.cumsum(sizes)]
+    lists = [words[a:b].tolist() for a, b in zip(ends, ends[1:])]
+    batch = pa.record_batch([pa.array(range(n)), pa.array(lists, pa.list_(pa.int64()))], names=["a", "w"])
+    L_blocks = L._blocks(Often, 1 << 20, (7, 10))
+    import pyspark
+
+    context, pyspark.TaskContext.get = pyspark.TaskContext.get, lambda: type("C", (), {"partitionId": lambda self: 0})()
+    try:
+        (made,) = L_blocks([batch])
+    finally:
+        pyspark.TaskContext.get = context
+    side = {c: made.column(c)[0].values.to_numpy() for c in ("words", "feature", "size", "owner", "place")}
+    want = [(i, j) for i in range(n) for j in range(i + 1, n) if 20 * common_length(lists[i], lists[j]) >= 7 * (len(lists[i]) + len(lists[j]))]
+    for some in (1, 50, 1 << 22):
+        assert sorted(L._alike(side, side, True, (7, 10), some)) == want
