@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.tasks import lean
+from .similarity import cut
 
 # Recall bands, lower limit inclusive.
 BANDS = [("<0.30", 0.0), ("0.30-0.60", 0.30), ("0.60-0.75", 0.60), ("0.75-0.90", 0.75), (">=0.90", 0.90)]
@@ -110,6 +111,31 @@ def paired_counts(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFram
     return pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(~x & y).alias("fixed"), F.count_if(x & ~y).alias("broke"))
 
 
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """keys, and p10 for 0.1 and so on: exact percentiles, linear between two ranks; null where a key has no values.
+
+    Values are counted, their counts dealt out by ranges of keys and values and added up within a range, after the sums of the ranges before: no
+    task gets a key's values whole.
+    """
+    counts = df.groupBy(F.struct(*keys).alias("_k"), F.col(value).alias("_v")).agg(F.count(value).alias("_n"))
+    n_tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(counts.repartitionByRange(n_tasks, "_k", "_v").withColumn("_p", F.spark_partition_id()))
+    w = Window.partitionBy("_k")
+    sums = ranged.groupBy("_k", "_p").agg(F.sum("_n").alias("_s")).withColumn("_total", F.sum("_s").over(w)).withColumn("_before", F.sum("_s").over(w.orderBy("_p")) - F.col("_s"))
+    rows = ranged.join(F.broadcast(sums), ["_k", "_p"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy("_k", "_p").orderBy("_v")))
+    at = {f"p{round(100 * p)}": (F.col("_total") - 1) * F.lit(float(p)) for p in shares}
+    ends = [F.min(F.when(F.col("_upto") > f(x), F.col("_v"))).alias(f"{name}_{side}") for name, x in at.items() for side, f in (("low", F.floor), ("high", F.ceil))]
+    found = rows.groupBy("_k").agg(F.max("_total").alias("_total"), *ends)
+    between = lambda name, x: F.when(F.col(f"{name}_low") == F.col(f"{name}_high"), F.col(f"{name}_low")).otherwise((F.ceil(x) - x) * F.col(f"{name}_low") + (x - F.floor(x)) * F.col(f"{name}_high"))
+    return found.select("_k.*", *(between(name, x).alias(name) for name, x in at.items()))
+
+
+def dealt(df: DataFrame, *keys: str, rows: int = 1 << 20) -> DataFrame:
+    """The rows dealt out by keys over as many tasks as shuffles have, or more: about ``rows`` a task at most, however well they compress."""
+    n_tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(n_tasks, -(-df.count() // rows)), *keys)
+
+
 def average_rank(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
     """Rank within keys, equal values sharing their average rank."""
     w = Window.partitionBy(*keys)

@@ -151,7 +151,8 @@ def e19(t):
 
 @query("e20_spearman", "WITH r AS (SELECT l_suppkey, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_suppkey, l_quantity) - 1) / 2 AS x, rank() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_suppkey, l_extendedprice) - 1) / 2 AS y FROM lineitem) SELECT l_suppkey, round(corr(x, y), 6) AS rho FROM r GROUP BY 1")
 def e20(t):
-    x = A.average_rank(A.average_rank(t.lineitem, ["l_suppkey"], "l_quantity", "x"), ["l_suppkey"], "l_extendedprice", "y")
+    l = A.dealt(t.lineitem.select("l_suppkey", "l_quantity", "l_extendedprice"), "l_suppkey")  # noqa: E741
+    x = A.average_rank(A.average_rank(l, ["l_suppkey"], "l_quantity", "x"), ["l_suppkey"], "l_extendedprice", "y")
     return x.groupBy("l_suppkey").agg(r6(F.corr("x", "y")).alias("rho"))
 
 

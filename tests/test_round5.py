@@ -5,7 +5,10 @@ from fractions import Fraction
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from tessera.functions.pairing import common_length
+from tessera.operators import aggregations as A
 from tessera.operators import alignment as L
 from tessera.operators import cascades
 
@@ -138,3 +141,24 @@ def test_cascade_against_all_pairs(spark):
     frame = lambda x, i: spark.createDataFrame(list(x.items()), f"{i} int, text string")
     got = {r.raw: (r.name, r.tier, round(r.score, 9)) for r in cascades.fuzzy_cascade(frame(raws, "raw"), frame(names, "name"), "raw", "name", "text").collect()}
     assert got == want and {x[1] for x in want.values()} == {1, 2, 3}
+
+
+def test_percentiles_are_those_of_spark_and_no_task_has_a_key(spark):
+    rng = random.Random(13)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 1.5, rng.random() * 9])) for _ in range(400)] + [("none", None), ("one", 2.0)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    shares = [0.0, 0.1, 0.5, 0.9, 1.0]
+    found = A.percentiles(frame, ["k"], "v", shares)
+    want = frame.groupBy("k").agg(*(F.percentile("v", F.lit(p)).alias(f"p{round(100 * p)}") for p in shares))
+    near = lambda df: {r[0]: [x if x is None else round(x, 9) for x in r[1:]] for r in df.collect()}
+    assert near(found) == near(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan
+
+
+def test_rows_are_dealt_out_by_their_number(spark):
+    frame = spark.range(1000).withColumn("k", F.col("id") % 50)
+    found = A.dealt(frame, "k", rows=10)
+    assert found.rdd.getNumPartitions() == 100 and found.select("id").distinct().count() == 1000
+    ranked = A.average_rank(found, ["k"], "id", "r")
+    assert "ENSURE_REQUIREMENTS" not in ranked._jdf.queryExecution().executedPlan().toString()
