@@ -125,11 +125,11 @@ def j07_whole(t):
 @query("j11_contract_whole", "WITH k AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL), s AS (SELECT l_orderkey, count(*) AS rows, count(DISTINCT l_linenumber) AS ids, max(l_linenumber) AS last FROM lineitem GROUP BY 1) SELECT 'duplicate' AS finding, l_orderkey, CAST(l_linenumber AS BIGINT) AS detail FROM k WHERE n > 1 UNION ALL SELECT 'missing_id', l_orderkey, CAST(last - ids AS BIGINT) FROM s WHERE last > ids UNION ALL SELECT 'summary', l_orderkey, rows - last FROM s WHERE rows <> last UNION ALL SELECT 'unknown_arm', l_orderkey, count(*) FROM lineitem WHERE l_returnflag = 'N' AND l_linestatus = 'F' GROUP BY 2 UNION ALL SELECT 'no_rows', o_orderkey, 0 FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def j11_whole(t):
     # rows of an order are numbered from 1, each number once; the last number is the recorded count; N goes with O alone; every order has rows
-    l = t.lineitem  # noqa: E741
+    l = A.dealt(t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"), "l_orderkey")  # noqa: E741
     k = l.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
     s = k.groupBy("l_orderkey").agg(F.sum("n").alias("rows"), F.count("*").alias("ids"), F.max("l_linenumber").cast("long").alias("last"))
     row = lambda df, finding, detail: df.select(F.lit(finding).alias("finding"), "l_orderkey", F.expr(detail).cast("long").alias("detail"))
-    lost = t.orders.select(F.col("o_orderkey").alias("l_orderkey")).join(l.select("l_orderkey"), "l_orderkey", "left_anti")
+    lost = A.dealt(t.orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").join(l.select("l_orderkey"), "l_orderkey", "left_anti")
     arm = l.filter("l_returnflag = 'N' AND l_linestatus = 'F'").groupBy("l_orderkey").agg(F.count("*").alias("n"))
     return row(k.filter("n > 1"), "duplicate", "l_linenumber").unionByName(row(s.filter("last > ids"), "missing_id", "last - ids")).unionByName(row(s.filter("rows <> last"), "summary", "rows - last")).unionByName(row(arm, "unknown_arm", "n")).unionByName(row(lost, "no_rows", "0"))
 
