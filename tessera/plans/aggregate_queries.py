@@ -94,7 +94,8 @@ def e10(t):
 
 @query("e11_percentile_linear", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY 1")
 def e11(t):
-    return t.lineitem.groupBy("l_returnflag").agg(*[F.round(F.percentile("l_extendedprice", F.lit(p)), 4).alias(f"p{round(100 * p)}") for p in (0.1, 0.5, 0.9)])
+    found = A.percentiles(t.lineitem, ["l_returnflag"], "l_extendedprice", [0.1, 0.5, 0.9])
+    return found.withColumns({c: F.round(c, 4) for c in ("p10", "p50", "p90")})
 
 
 @query("e12_percentile_half_even", "WITH s AS (SELECT l_linestatus, list_sort(list(l_quantity)) AS x FROM lineitem GROUP BY 1) SELECT l_linestatus, x[round_even(0.9 * (len(x) - 1), 0)::BIGINT + 1] AS p90 FROM s")
