@@ -13,6 +13,13 @@ from ..functions.pairing import blocks, common_pairs, ratio
 WORD = r"[\p{L}\p{N}_']+"
 
 
+def each_row(batch, *names: str, some: int = 64):
+    """Rows of columns as Python values, a few at a time: a batch's words are many times larger as Python strings."""
+    for at in range(0, batch.num_rows, some):
+        part = batch.slice(at, some)
+        yield from zip(*(part.column(c).to_pylist() for c in names))
+
+
 def adjacent_near_repeats(rows: DataFrame, keys: list[str], pos: str, text: str, least: float, words: int) -> DataFrame:
     """Rows whose words nearly repeat those of the row before: keys, pos, ratio.
 
@@ -27,7 +34,7 @@ def adjacent_near_repeats(rows: DataFrame, keys: list[str], pos: str, text: str,
         import pyarrow as pa
 
         for batch in batches:
-            alike = [ratio(a, b, least) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
+            alike = [ratio(a, b, least) for a, b in each_row(batch, "a", "b")]
             yield pa.record_batch([*(batch.column(c) for c in (*keys, pos)), pa.array(alike, pa.float64())], names=[*keys, pos, "ratio"])
 
     schema = T.StructType([*(rows.schema[c] for c in (*keys, pos)), T.StructField("ratio", T.DoubleType())])
@@ -199,7 +206,7 @@ def missing_spans(rows: DataFrame, key: str, a: str, b: str, least: int, top: in
 
         for batch in batches:
             of, out = [], []
-            for i, (x, y) in enumerate(zip(batch.column("_a").to_pylist(), batch.column("_b").to_pylist())):
+            for i, (x, y) in enumerate(each_row(batch, "_a", "_b")):
                 k = next((n for n, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
                 for rank, (start, length) in enumerate(missing(x[k:], y[k:], least, top), 1):
                     of.append(i)

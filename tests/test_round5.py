@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.pairing import common_length
 from tessera.operators import aggregations as A
 from tessera.operators import alignment as L
-from tessera.operators import cascades
+from tessera.operators import cascades, scripts
 
 
 def test_windows_are_tested_side_by_side_as_one_by_one():
@@ -162,3 +162,19 @@ def test_rows_are_dealt_out_by_their_number(spark):
     assert found.rdd.getNumPartitions() == 100 and found.select("id").distinct().count() == 1000
     ranked = A.average_rank(found, ["k"], "id", "r")
     assert "ENSURE_REQUIREMENTS" not in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_a_batch_become_strings_a_few_rows_at_a_time(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([["word"] * 300] * 2000)] * 2, names=["a", "b"])
+    tracemalloc.start()
+    n = sum(len(a) + len(b) for a, b in scripts.each_row(batch, "a", "b"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 1_200_000 and peak < 8 << 20
+    frame = spark.createDataFrame([(i, "a b c d e f g", "a g") for i in range(150)], "i int, x string, y string")
+    got = {(r.i, r["rank"], r.start, r.length) for r in scripts.missing_spans(frame, "i", "x", "y", 5, 3).collect()}
+    assert got == {(i, 1, 1, 5) for i in range(150)}
