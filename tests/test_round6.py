@@ -1,9 +1,26 @@
 """Queries that did less than their whole job, or took too much of one machine, held against plain forms."""
 
+import random
+
 from test_round3 import same_as_sql
 
+from tessera.operators import matching as M
+
 
 def test_parts_of_all_keys_meet_by_their_names(spark, tmp_path):
     part = [(k, *x) for k, x in zip((1, 2, 51, 60, 75, 99, 100), [("A", "B"), ("B", "C"), ("A", "B"), ("A", None), (None, None), ("B", "A"), ("D", "D")])]
     got = same_as_sql(spark, tmp_path, "g06_alias_groups", part=(part, "p_partkey long, p_brand string, p_type string"))
     assert len(got) == 9 and "(1, 2)" in got  # keys that differ by other than fifties
+
+
+def test_pairs_that_share_names_are_not_shuffled(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, *range(60)]), *(rng.choice([None, "x", "y", "z", f"n{rng.randrange(9)}"]) for _ in "ab")) for _ in range(150)]
+    names = lambda r: {r[1], r[2]} - {None}
+    want = sorted((r[0], s[0]) for r in rows for s in rows if None not in (r[0], s[0]) and r[0] < s[0] and names(r) & names(s))
+    table = spark.createDataFrame(rows, "k int, one string, two string")
+    for block in (1 << 18, 20):
+        found = M.sharing_pairs(table, "k", ("one", "two"), block)
+        assert sorted(map(tuple, found.collect())) == want and found.dtypes == [("a", "int"), ("b", "int")]
+    plan = M.sharing_pairs(table.repartition(8), "k", ("one", "two"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Join" not in plan
