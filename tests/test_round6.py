@@ -4,6 +4,7 @@ import random
 
 from test_round3 import same_as_sql
 
+from tessera.functions import lattice
 from tessera.operators import matching as M
 
 
@@ -24,3 +25,16 @@ def test_pairs_that_share_names_are_not_shuffled(spark):
         assert sorted(map(tuple, found.collect())) == want and found.dtypes == [("a", "int"), ("b", "int")]
     plan = M.sharing_pairs(table.repartition(8), "k", ("one", "two"))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "Join" not in plan
+
+
+def test_long_lists_go_the_cheapest_way_too():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(250)]
+    steps = lattice.long_path([w + "r" for w in words], [w + "s" for w in words])
+    assert {s[4] for s in steps} == {"pairs"} and len(steps) == 125  # none is skipped, though no two words are equal
+    some = ["one", "two", "hundred", "and", "21", "100", "the", "then", "a", "lab", "coat", "labcoat", "some", "thing", "something"]
+    for k in range(60):
+        a, b = ([rng.choice(some) for _ in range(rng.randrange(25))] for _ in "ab")
+        b = b if k % 2 else [w for i, w in enumerate(a) if i % 6]
+        want = lattice.path(a, b)
+        assert all(lattice.long_path(a, b, cells=cells, held=held) == want for cells, held in ((0, 1 << 24), (5, 25), (20, 1)))
