@@ -2,9 +2,12 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from test_round3 import same_as_sql
 
 from tessera.functions import lattice
+from tessera.llm import common
 from tessera.operators import matching as M
 
 
@@ -38,3 +41,17 @@ def test_long_lists_go_the_cheapest_way_too():
         b = b if k % 2 else [w for i, w in enumerate(a) if i % 6]
         want = lattice.path(a, b)
         assert all(lattice.long_path(a, b, cells=cells, held=held) == want for cells, held in ((0, 1 << 24), (5, 25), (20, 1)))
+
+
+def test_stored_tables_that_grow_are_not_broadcast(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "_LOCAL", {"dir": str(tmp_path)})
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    numbers = own.range(200_000).selectExpr("id AS node", "xxhash64(id) AS comp")
+    table = common.stored(numbers, "numbers")  # 2 MB
+    plan = lambda: table.join(table.select("node", F.col("comp").alias("other")), "node")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan() and table.join(F.broadcast(table), "node").count() == 200_000
+    explicit = spark.newSession()
+    explicit.conf.set("spark.sql.autoBroadcastJoinThreshold", "3m")
+    common.small_batches(explicit)
+    assert explicit.conf.get("spark.sql.autoBroadcastJoinThreshold") == "3m"
